@@ -280,24 +280,22 @@ def _with_ranges(docs: DataFrame, id_col: str, text_col: str, window: int, gram:
     return docs.join(cut, (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__tag")), "left").drop("__id", "__tag")
 
 
-def _keep_mask(n: int, cut) -> np.ndarray | None:
-    if not cut:
-        return None
+def _keep_mask(n: int, lo, hi) -> np.ndarray:
     edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, [min(c["lo"], n) for c in cut], 1)
-    np.add.at(edge, [min(c["hi"], n) for c in cut], -1)
+    np.add.at(edge, np.minimum(lo, n), 1)
+    np.add.at(edge, np.minimum(hi, n), -1)
     return np.cumsum(edge[:n]) == 0
 
 
-def cut_text(text: str, cut) -> str:
+def cut_text(text: str, lo, hi) -> str:
     """The text without the words of the ranges; every other byte stays but the white space after a removed word."""
     raw = text.encode()
     b = np.frombuffer(raw, np.uint8)
     blank = (b == 32) | ((b >= 9) & (b <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
     starts = edge[0::2]
-    keep = _keep_mask(len(starts), cut)
-    if keep is None or keep.all():
+    keep = _keep_mask(len(starts), lo, hi)
+    if keep.all():
         return text
     if not keep.any():
         return ""
@@ -312,11 +310,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = _with_ranges(docs, id_col, text_col, window, gram)
 
     @F.pandas_udf("string")
-    def cut(text: pd.Series, ranges: pd.Series) -> pd.Series:
-        return pd.Series([t if r is None or t is None else cut_text(t, r) for t, r in zip(text, ranges)], dtype=object)
+    def cut(text: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
+        return pd.Series([cut_text(t, x, y) for t, x, y in zip(text, lo, hi)], dtype=object)
 
     plain = marked.where("__cut IS NULL")
-    done = marked.where("__cut IS NOT NULL").withColumn("__cut", cut(F.col(text_col).cast("string"), F.col("__cut")))
+    done = marked.where("__cut IS NOT NULL").withColumn("__cut", cut(F.col(text_col).cast("string"), F.col("__cut.lo"), F.col("__cut.hi")))
     done = done.where(F.trim("__cut") != "").withColumn(text_col, F.col("__cut"))
     if length_col:
         done = done.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
@@ -331,11 +329,11 @@ def op5(docs: DataFrame) -> DataFrame:
     def finish(batches):
         for part in pieces(batches, "text", 4 << 20):
             n, gone, sha = [], [], []
-            for t, lo, hi in zip(part.column(1), part.column(2).to_pylist(), part.column(3).to_pylist()):
+            for t, a, b in zip(part.column(1), part.column(2).to_pylist(), part.column(3).to_pylist()):
                 words = t.as_py().split() if t.is_valid else []
                 n.append(len(words))
-                if lo:
-                    keep = _keep_mask(len(words), [{"lo": x, "hi": y} for x, y in zip(lo, hi)])
+                if a:
+                    keep = _keep_mask(len(words), a, b)
                     words = [w for w, k in zip(words, keep.tolist()) if k]
                 gone.append(n[-1] - len(words))
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
