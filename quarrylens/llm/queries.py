@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, substring
+from . import langid, simhash, substring
 from .common import prepare, table
 
 
@@ -21,6 +21,7 @@ def _of(name: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessio
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": _of("documents", simhash.op2),
+        "op10_langid": _of("documents", langid.op10),
         "op5_substring": _of("documents", substring.op5),
     }
 
