@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, simhash, substring
+from . import langid, simhash, substring, toxicity
 from .common import prepare, table
 
 
@@ -18,11 +18,17 @@ def _of(name: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessio
     return run
 
 
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return toxicity.op6(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": _of("documents", simhash.op2),
         "op10_langid": _of("documents", langid.op10),
         "op5_substring": _of("documents", substring.op5),
+        "op6_toxicity": _op6,
     }
 
 
