@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, simhash, substring, toxicity
+from . import htmltext, langid, simhash, substring, toxicity
 from .common import prepare, table
 
 
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": _of("documents", simhash.op2),
         "op10_langid": _of("documents", langid.op10),
+        "op4_htmltext": _of("pages", htmltext.op4),
         "op5_substring": _of("documents", substring.op5),
         "op6_toxicity": _op6,
     }
