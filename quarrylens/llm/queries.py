@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import htmltext, langid, simhash, substring, toxicity
+from . import htmltext, langid, simhash, substring, toxicity, warc
 from .common import prepare, table
 
 
@@ -26,6 +26,7 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": _of("documents", simhash.op2),
+        "op9_warc": _of("pages", warc.op9),
         "op10_langid": _of("documents", langid.op10),
         "op4_htmltext": _of("pages", htmltext.op4),
         "op5_substring": _of("documents", substring.op5),
@@ -34,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": warc.ORACLE}
