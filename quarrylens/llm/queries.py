@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import htmltext, langid, simhash, substring, toxicity, warc
+from . import htmltext, langid, mixing, simhash, substring, toxicity, warc
 from .common import prepare, table
 
 
@@ -25,6 +25,7 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": _of("documents", mixing.op1),
         "op2_simhash": _of("documents", simhash.op2),
         "op9_warc": _of("pages", warc.op9),
         "op10_langid": _of("documents", langid.op10),
