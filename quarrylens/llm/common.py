@@ -103,7 +103,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get("n")
     if have is None or len(have) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 2 * HASH_BLOCK)
         for key, base in (("n", _MULT), ("i", _INV)):
             _POWERS[key] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, base, np.uint64))])
     return _POWERS["n"], _POWERS["i"]
@@ -118,15 +118,38 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+HASH_BLOCK = 256 << 10
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every span raw[start:end]; equal bytes hash alike wherever they stand."""
+    """A 64-bit hash of every span raw[start:end]; equal bytes hash alike wherever they stand.
+
+    Spans in order of their starts are taken block by block, so that the arrays behind the sums stay small."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    if len(raw) > 2 * HASH_BLOCK and (starts[1:] >= starts[:-1]).all():
+        cuts = np.unique(np.searchsorted(starts, np.arange(0, int(starts[-1]) + HASH_BLOCK + 1, HASH_BLOCK)))
+        return np.concatenate([_block_hashes(raw, starts[i:j], ends[i:j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())])
+    return _block_hashes(raw, starts, ends)
+
+
+def span_sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of raw, and the factors that take a span's start out of them; with hash_of: hashes of any spans."""
     up, down = _powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix64(h ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return sums, down
+
+
+def hash_of(between: np.ndarray, down: np.ndarray, length) -> np.ndarray:
+    """Hashes of spans by the difference of their sums, the factors of their starts and their lengths."""
+    return mix64(between * down ^ np.asarray(length).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _block_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    low = int(starts.min())
+    sums, down = span_sums(raw[low : int(ends.max())])
+    return hash_of(sums[ends - low] - sums[starts - low], down[starts - low], ends - starts)
 
 
 def words_of(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
