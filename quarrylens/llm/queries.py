@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import htmltext, langid, mixing, simhash, substring, toxicity, warc
+from . import htmltext, langid, mixing, pieces, simhash, substring, toxicity, warc
 from .common import prepare, table
 
 
@@ -29,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": _of("documents", simhash.op2),
         "op9_warc": _of("pages", warc.op9),
         "op10_langid": _of("documents", langid.op10),
+        "op3_pieces": _of("documents", pieces.op3),
         "op4_htmltext": _of("pages", htmltext.op4),
         "op5_substring": _of("documents", substring.op5),
         "op6_toxicity": _op6,
