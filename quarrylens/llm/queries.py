@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import htmltext, langid, mixing, pieces, simhash, substring, toxicity, warc
+from . import covertree, htmltext, langid, mixing, pieces, simhash, substring, topk, toxicity, warc
 from .common import prepare, table
 
 
@@ -27,6 +27,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": _of("documents", mixing.op1),
         "op2_simhash": _of("documents", simhash.op2),
+        "op7_topk": _of("embeddings", topk.op7),
+        "op8_covertree": _of("embeddings", covertree.op8),
         "op9_warc": _of("pages", warc.op9),
         "op10_langid": _of("documents", langid.op10),
         "op3_pieces": _of("documents", pieces.op3),
@@ -37,4 +39,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": warc.ORACLE}
+    return {"op5_substring": substring.ORACLE, "op7_topk": topk.ORACLE, "op8_covertree": covertree.ORACLE, "op9_warc": warc.ORACLE}

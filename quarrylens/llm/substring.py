@@ -340,3 +340,19 @@ def op5(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return marked.mapInArrow(finish, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS t FROM x),
+f AS (SELECT t, min(doc_id) AS least FROM g GROUP BY t),
+hit AS (SELECT DISTINCT g.doc_id, unnest(range(g.i, g.i + 13)) AS j FROM g JOIN f USING (t) WHERE f.least < g.doc_id),
+gone AS (SELECT doc_id, list(j) AS js, count(*) AS n FROM hit GROUP BY doc_id),
+kept AS (
+  SELECT a.doc_id, string_agg(a.word, ' ' ORDER BY a.j) AS t
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d) a
+  ANTI JOIN hit ON a.doc_id = hit.doc_id AND a.j = hit.j GROUP BY a.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
