@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import covertree, htmltext, langid, mixing, pieces, simhash, substring, topk, toxicity, warc
 from .common import prepare, table
 
@@ -31,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_covertree": _of("embeddings", covertree.op8),
         "op9_warc": _of("pages", warc.op9),
         "op10_langid": _of("documents", langid.op10),
+        "pipeline": corpus_pipeline.run,
         "op3_pieces": _of("documents", pieces.op3),
         "op4_htmltext": _of("pages", htmltext.op4),
         "op5_substring": _of("documents", substring.op5),
