@@ -279,6 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2500) -> Model:
         return Model(None, None, None, None)
     limits = {k: min(2**63 - 1, int(min(1.0, 1.5 * (per_label + 100) / n) * 2**64) - 2**63) for k, n in sizes.items()}
     near = known.where(F.col("h") <= F.when(F.col("toxic") == 1, limits[1]).otherwise(limits[0]))
+    near = F.broadcast(near.orderBy("h").limit(4 * (per_label + 100)))  # at most that many ids are sent
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(near, "doc_id").select("h", "toxic", "text")
 
     def train(frame: pd.DataFrame) -> pd.DataFrame:
