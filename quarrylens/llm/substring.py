@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, pieces, prepare, span_hashes, total_bytes, words_of
+from .common import materialize, mix64, pieces, prepare, span_hashes, total_bytes, words_of
 
 SLICE_BYTES = 6 << 20
 BUCKET_BYTES = 48 << 20
@@ -88,7 +88,7 @@ def crowded_minimisers(docs: DataFrame, window: int, gram: int) -> np.ndarray:
         ks, cs = [x for x, _ in found] + [0], [c for _, c in found] + [total]
         yield pa.RecordBatch.from_arrays([pa.array(np.array(ks, np.uint64).view(np.int64)), pa.array(cs, pa.int64()), pa.array([False] * len(found) + [True])], ["k", "n", "total"])
 
-    counted = docs.mapInArrow(run, "k long, n long, total boolean").groupBy("total", "k").agg(F.sum("n").alias("n"))
+    counted = materialize(docs.mapInArrow(run, "k long, n long, total boolean").groupBy("total", "k").agg(F.sum("n").alias("n")), "minimisers")
     total = counted.where("total").agg(F.sum("n")).first()[0] or 0
     heavy = counted.where(~F.col("total") & (F.col("n") > max(HEAVY_MIN, total // HEAVY_MAX))).select("k")
     return np.sort(np.array([r.k for r in heavy.collect()], np.int64).view(np.uint64))
