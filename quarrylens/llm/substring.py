@@ -141,7 +141,7 @@ def _pack(joined, starts, ends, counts, ids, tags, window, gram, heavy, buckets)
     edges = np.searchsorted(to[by], np.arange(buckets + 1))
     direct = np.array(known, np.int64).reshape(-1, 3)
     home = int(np.abs(ids[0]) % buckets) if len(ids) else 0
-    press = zstandard.ZstdCompressor(level=3)
+    press = zstandard.ZstdCompressor(level=6)
     for t in range(buckets):
         own = by[edges[t] : edges[t + 1]]
         if not len(own) and not (t == home and len(direct)):
@@ -233,14 +233,14 @@ def _bucket(blobs: list[bytes], window: int):
     return [np.concatenate(c) for c in zip(*out)] if out else None
 
 
-def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 4) -> DataFrame:
+def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 3) -> DataFrame:
     """(id, tag, lo, hi): words lo to hi - 1 of a text (tag: its hash) lie in windows that start in a document with a smaller id."""
     spark = docs.sparkSession
     prepare(spark)
     gram = min(gram, window)
     slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     slim = slim.select("id", F.xxhash64("t").alias("tag"), F.col("t").cast("binary").alias("text"))
-    volume = 3.2 * total_bytes(slim, "text")
+    volume = 3.0 * total_bytes(slim, "text")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(volume // BUCKET_BYTES) + 1)
     heavy = crowded_minimisers(slim, window, gram)
 
@@ -304,7 +304,7 @@ def cut_text(text: str, lo, hi) -> str:
     return (head + b"".join([raw[s:e] for s, e, k in zip(starts.tolist(), ends.tolist(), keep.tolist()) if k])).decode()
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, window: int = 13, gram: int = 4) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, window: int = 13, gram: int = 3) -> DataFrame:
     """docs with repeated windows cut from the text (length_col: gets the new number of code points); a document left without words goes, one that had none stays."""
     prepare(docs.sparkSession)
     marked = _with_ranges(docs, id_col, text_col, window, gram)
@@ -323,7 +323,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op5(docs: DataFrame) -> DataFrame:
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    marked = _with_ranges(slim, "doc_id", "text", 13, 4)
+    marked = _with_ranges(slim, "doc_id", "text", 13, 3)
     marked = marked.select("doc_id", F.col("text").cast("binary").alias("text"), F.col("__cut.lo").alias("lo"), F.col("__cut.hi").alias("hi"))
 
     def finish(batches):
