@@ -25,8 +25,11 @@ from .common import materialize, prepare
 from .components import components
 
 PIVOTS = 2_048
-BLOCK = 2_048
-FRONTIER = 500_000
+BLOCK = 4_096
+FRONTIER = 40_000
+BATCH = 64
+DENSE = 4_096
+ROWS = 512
 SLACK = 1e-9
 
 
@@ -41,9 +44,8 @@ class CoverTree:
         self.point, self.radius, self.lo, self.hi = point, radius, lo, hi
 
         def add(p: int, own: np.ndarray, at: int) -> int:
-            d = np.sqrt(np.maximum(0, ((x[own] - x[p]) ** 2).sum(axis=1)))
             point.append(p)
-            radius.append(float(d.max()) if len(own) > 1 else 0.0)
+            radius.append(float(np.sqrt(((x[own] - x[p]) ** 2).sum(axis=1).max())) if len(own) > 1 else 0.0)
             lo.append(at)
             hi.append(at + len(own))
             kids.append([])
@@ -60,14 +62,7 @@ class CoverTree:
             if radius[node] == 0.0:  # equal points: one level of leaves
                 groups = [(int(p), np.array([p])) for p in own]
             else:
-                groups, left, p = [], own, point[node]
-                half = radius[node] / 2
-                while len(left):
-                    near = ((x[left] - x[p]) ** 2).sum(axis=1) <= half * half
-                    near |= left == p
-                    groups.append((p, left[near]))
-                    left = left[~near]
-                    p = int(left[0]) if len(left) else -1
+                groups = _cover(x, np.concatenate([[point[node]], own[own != point[node]]]), radius[node] / 2)
             at = lo[node]
             for p, part in groups:
                 perm[at : at + len(part)] = part
@@ -84,6 +79,35 @@ class CoverTree:
         self.lo, self.hi = np.array(lo, np.int64), np.array(hi, np.int64)
 
 
+def _cover(x: np.ndarray, own: np.ndarray, half: float) -> list[tuple[int, np.ndarray]]:
+    """Centres farther apart than half, the first of own among them, each with the points within half that it takes.
+
+    Candidates come in batches, so that distances are matrix products."""
+    groups: list[tuple[int, np.ndarray]] = []
+    left = own
+    while len(left):
+        few = left[:BATCH]
+        close = 2 - 2 * (x[left] @ x[few].T) <= half * half
+        centre: list[int] = []
+        shut = np.zeros(len(few), bool)
+        for i in range(len(few)):
+            if not shut[i]:
+                centre.append(i)
+                shut |= close[: len(few), i]
+        near = close[:, centre]
+        near[centre, range(len(centre))] = True
+        taken = near.any(axis=1)
+        first = near.argmax(axis=1)
+        first[centre] = range(len(centre))
+        own, first = left[taken], first[taken]
+        order = np.argsort(first, kind="stable")
+        edge = np.searchsorted(first[order], range(len(centre) + 1))
+        own = own[order]
+        groups += [(int(few[i]), own[edge[c] : edge[c + 1]]) for c, i in enumerate(centre)]
+        left = left[~taken]
+    return groups
+
+
 def _open(tree: CoverTree, nodes: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each node's children, beside its partner."""
     n = tree.kid_n[nodes]
@@ -91,6 +115,22 @@ def _open(tree: CoverTree, nodes: np.ndarray, others: np.ndarray) -> tuple[np.nd
     return tree.kids[at], np.repeat(others, n)
 
 
+def _open_both(a: CoverTree, p: int, b: CoverTree, q: int, t: float, same: bool):
+    """Pairs of the children of two nodes that may hold links: all their centres' distances by matrix products."""
+    kids_p = a.kids[a.kid_at[p] : a.kid_at[p] + a.kid_n[p]] if a.kid_n[p] else np.array([p])
+    kids_q = b.kids[b.kid_at[q] : b.kid_at[q] + b.kid_n[q]] if b.kid_n[q] else np.array([q])
+    y = b.x[b.point[kids_q]]
+    for i in range(0, len(kids_p), ROWS):
+        own = kids_p[i : i + ROWS]
+        reach = t + a.radius[own][:, None] + b.radius[kids_q][None, :] + SLACK
+        live = 2 - 2 * (a.x[a.point[own]] @ y.T) <= reach * reach + SLACK
+        if same:  # one of each two mirrored pairs
+            live &= a.lo[own][:, None] <= b.lo[kids_q][None, :]
+        r, s = np.nonzero(live)
+        for k in range(0, len(r), FRONTIER):
+            yield own[r[k : k + FRONTIER]], kids_q[s[k : k + FRONTIER]]
+
+
 class Forest:
     def __init__(self, n: int):
         self.root, self.edges = list(range(n)), []
@@ -167,6 +207,10 @@ def dual(a: CoverTree, b: CoverTree, cos: float, count_a: np.ndarray, count_b: n
         rest = np.flatnonzero(live & ~whole & ~single)
         if len(rest):
             p, q = p[rest], q[rest]
+            many = np.maximum(a.kid_n[p], 1) * np.maximum(b.kid_n[q], 1) >= DENSE
+            for r, s in zip(p[many].tolist(), q[many].tolist()):
+                stack += list(_open_both(a, r, b, s, t, same and r == s))
+            p, q = p[~many], q[~many]
             wide = (a.radius[p] >= b.radius[q]) & (a.kid_n[p] > 0) | (b.kid_n[q] == 0)
             if same:
                 # an equal pair opens into the pairs of its children
