@@ -59,12 +59,16 @@ def glob_regex(pattern: str) -> str:
     return f"^{out}$"
 
 
+def _matches(regex: str):
+    return lambda c: c.rlike(regex)
+
+
 def excluded(path: str, patterns: list[str]) -> F.Column:
     """Whether a glob matches the whole path or any one component."""
     out = F.lit(False)
     for p in patterns:
         r = glob_regex(p)
-        out = out | F.col(path).rlike(r) | F.exists(components(path), lambda c, r=r: c.rlike(r))
+        out = out | F.col(path).rlike(r) | F.exists(components(path), _matches(r))
     return out
 
 

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import paths, text
-from .operators import aggregates, decorators, export, graphjson, lookup, retrieval, search, snapshots, traverse
+from .operators import aggregates, decorators, export, graphjson, lookup, resolve, retrieval, search, snapshots, traverse
 from .plans.kernels import bfs
+from .plans.lineage import shared_folder
 from .plans.views import SQL, code_graph, table
 from .schema import CodeGraph, symbol_node
+from .session import prepare
+from .sources.ingest import parse_sources, symbol_table
+from .sources.store import staleness
+from .streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,7 +28,12 @@ def query(name: str, sql: str | None = None, view: bool = True):
     """Register a query; sql follows the views' CTEs (view) or stands alone."""
 
     def register(f: Query) -> Query:
-        QUERIES[name] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            prepare(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = (SQL + "," + sql.strip()[5:] if sql.strip().startswith("WITH ") else SQL + sql) if view else sql
         return f
@@ -462,3 +473,92 @@ def g2(spark, sf):
 @query("g2_symbol_graph_edges")
 def g2b(spark, sf):
     return graphjson.symbol_graph(code_graph(spark, sf))[1]
+
+
+# Ingest and live updates over the same tables
+
+RELATIONS = """WITH calls_by_name AS (SELECT 'lib/c' || o_custkey || '.py' AS src, 'fn' || (o_orderkey % 4001) AS name FROM orders), defs AS (SELECT 'fn' || (p_partkey * 7 % 5003) AS name, p_partkey AS symbol_id FROM part),
+one AS (SELECT name, min(symbol_id) AS id FROM defs GROUP BY name HAVING count(*) = 1) SELECT src, 's:' || id AS dst FROM calls_by_name JOIN one USING (name)"""
+
+
+@query("j6_unique_calls", RELATIONS, view=False)
+def j6(spark, sf):
+    calls = table(spark, sf, "orders").selectExpr("'lib/c' || o_custkey || '.py' AS path", "array(named_struct('from_name', cast(NULL AS string), 'to_name', 'fn' || (o_orderkey % 4001), 'kind', 'Calls', 'line', 1)) AS relationships")
+    defs = table(spark, sf, "part").selectExpr("p_partkey AS symbol_id", "'fn' || (p_partkey * 7 % 5003) AS name")
+    return resolve.unique_calls(CodeGraph.empty(spark).with_(symbols=defs), calls)
+
+
+@query("j12_implicit_interfaces", """WITH h AS (SELECT DISTINCT l_suppkey AS s, 'm' || (l_partkey % 40) AS m FROM lineitem WHERE l_quantity < 12), w AS (SELECT DISTINCT c_custkey % 200 AS i, 'm' || (c_custkey * 13 % 47) AS m FROM customer), z AS (SELECT i, count(*) AS n FROM w GROUP BY i)
+SELECT s AS struct_id, h.i AS iface_id FROM (SELECT s, i, count(*) AS k FROM h JOIN w USING (m) GROUP BY s, i) h JOIN z ON z.i = h.i AND z.n = h.k""", view=False)
+def j12(spark, sf):
+    has = table(spark, sf, "lineitem").where("l_quantity < 12").selectExpr("l_suppkey AS struct_id", "'m' || (l_partkey % 40) AS method")
+    wants = table(spark, sf, "customer").selectExpr("c_custkey % 200 AS iface_id", "'m' || (c_custkey * 13 % 47) AS method")
+    return resolve.implicit_interfaces(has, wants)
+
+
+@query("j2_external_packages", """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM pages), s AS (SELECT page_id, href, CASE WHEN page_id % 3 = 0 THEN '@org' || href || '/x' ELSE substr(href, 2) || '/deep' END AS spec FROM l)
+SELECT page_id, spec, CASE WHEN spec LIKE '@%' THEN split_part(spec, '/', 1) || '/' || split_part(spec, '/', 2) ELSE split_part(spec, '/', 1) END AS package, NOT (starts_with(spec, '.') OR starts_with(spec, '/')) AS external FROM s""", view=False)
+def j2(spark, sf):
+    links = table(spark, sf, "pages").select("page_id", F.explode(F.expr("regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)")).alias("href"))
+    s = links.select("page_id", F.expr("CASE WHEN page_id % 3 = 0 THEN '@org' || href || '/x' ELSE substr(href, 2) || '/deep' END").alias("spec"))
+    return s.select("page_id", "spec", resolve.package_name(F.col("spec")).alias("package"), resolve.is_external(F.col("spec")).alias("external"))
+
+
+EVENT_PATH = "CASE user_id % 5 WHEN 0 THEN 'src/u' || user_id || '.rs' WHEN 1 THEN 'lib/u' || user_id || '/mod.rs' WHEN 2 THEN 'node_modules/u' || user_id || '.ts' WHEN 3 THEN 'u' || user_id || '.md' ELSE 'p/u' || user_id || '/package.json' END"
+
+
+@query("w2_classify_events", f"""SELECT event_id, path, CASE WHEN path LIKE 'node_modules/%' OR path LIKE '%.md' THEN NULL WHEN path LIKE '%/mod.rs' THEN 'CrateRootChanged' WHEN path LIKE '%/package.json' THEN 'ConfigChanged' WHEN e THEN 'Modified' ELSE 'Deleted' END AS event FROM (SELECT event_id, {EVENT_PATH} AS path, event_type <> 'error' AS e FROM events)""", view=False)
+def w2(spark, sf):
+    e = table(spark, sf, "events").selectExpr("event_id", f"{EVENT_PATH} AS path", "event_type <> 'error' AS exists")
+    return e.select("event_id", "path", watch.classify().alias("event"))
+
+
+@query("w1_debounce", """WITH e AS (SELECT user_id, ts, event_type <> 'error' AS x, CASE WHEN ts < lag(ts) OVER w + INTERVAL 3 HOUR THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM e)
+SELECT 'u' || user_id AS path, CAST(epoch_us(max(ts)) AS BIGINT) AS us, arg_max(x, ts) AS exists FROM b GROUP BY user_id, burst""", view=False)
+def w1(spark, sf):
+    e = table(spark, sf, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("exists"))
+    return watch.debounce(e, "3 hours").select("path", F.unix_micros("ts").alias("us"), "exists")
+
+
+@query("w1_debounce_stream")
+def w1s(spark, sf):
+    """The same bursts from a stream over the events file, drained; bursts that the watermark has not closed yet stay open."""
+    import uuid
+
+    src = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    e = src.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("exists"))
+    name = "debounced_" + uuid.uuid4().hex
+    folder = shared_folder(spark, name)
+    q = watch.debounce(e, "3 hours", "1 day").writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema("path string, ts timestamp, exists boolean").parquet(f"{folder}/out")
+
+
+@query("w6_staleness", """WITH a AS (SELECT p_partkey AS k, p_size AS s FROM part WHERE p_partkey % 10 <> 1), b AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS s FROM part WHERE p_partkey % 10 <> 2)
+SELECT 'p' || coalesce(a.k, b.k) AS path, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.s <> b.s""", view=False)
+def w6(spark, sf):
+    p = table(spark, sf, "part")
+    old = p.where("p_partkey % 10 <> 1").selectExpr("'p' || p_partkey AS path", "cast(p_size AS long) AS size", "cast(0 AS long) AS mtime")
+    new = p.where("p_partkey % 10 <> 2").selectExpr("'p' || p_partkey AS path", "cast(if(p_partkey % 7 = 0, p_size + 1, p_size) AS long) AS size", "cast(0 AS long) AS mtime")
+    return staleness(old, new)[0]
+
+
+@query("w4_delete_files", """WITH gone AS (SELECT path FROM files WHERE path LIKE 'lib/n1/%') SELECT src, 'unresolved' AS dst, dst AS specifier FROM imports WHERE dst IN (SELECT path FROM gone) AND src NOT IN (SELECT path FROM gone)
+UNION ALL SELECT src, dst, dst FROM imports WHERE dst NOT IN (SELECT path FROM gone) AND src NOT IN (SELECT path FROM gone)""")
+def w4(spark, sf):
+    g = code_graph(spark, sf)
+    out = watch.delete_files(g, g.files.where("path LIKE 'lib/n1/%'").select("path"))
+    return out.edges.where("kind = 'ResolvedImport' AND NOT startswith(dst, 'pkg:')").select("src", F.when(F.col("dst").startswith("unresolved:"), "unresolved").otherwise(F.col("dst")).alias("dst"), "specifier")
+
+
+@query("s3_exclude_globs", "SELECT path, regexp_matches(path, '(^|/)(tests|n1)(/|$)') OR regexp_matches(path, '^src/b2/[^/]*$') AS excluded FROM files")
+def s3(spark, sf):
+    return code_graph(spark, sf).files.select("path", paths.excluded("path", ["tests", "n1", "src/b2/*"]).alias("excluded"))
+
+
+@query("p1_parse_sources")
+def p1(spark, sf):
+    """Generated sources of four languages, one a customer, parsed to symbols."""
+    body = """CASE c_custkey % 4 WHEN 0 THEN 'export class C' || c_custkey || ' { run() { go(); } }\nexport const f = () => 1;\n' WHEN 1 THEN 'pub struct S' || c_custkey || ';\nimpl S { pub fn new() {} }\n' WHEN 2 THEN 'class C' || c_custkey || ':\n    def m(self): pass\n' ELSE 'package p\ntype T' || c_custkey || ' struct {}\nfunc (t *T) M() {}\n' END"""
+    files = table(spark, sf, "customer").selectExpr("'f' || c_custkey || CASE c_custkey % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.rs' WHEN 2 THEN '.py' ELSE '.go' END AS path", f"{body} AS content")
+    return symbol_table(parse_sources(files)).select("file", "name", "kind", "line", "line_end", "is_exported")
