@@ -16,12 +16,18 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+BATCH_ROWS = 1_000
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver was started."""
+    """Let Python workers import this package wherever the driver was started, and keep Arrow batches small."""
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    # rows hold whole documents: the default of 10,000 a batch would hold tens of megabytes on both sides
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,20 +85,41 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off
 
 
+def _sizes(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    """Where each row's bytes of a column begin, and where the last ends."""
+    col = batch.column(batch.schema.get_field_index(column))
+    if col.null_count:
+        return np.concatenate([[0], np.cumsum([len(v.as_buffer()) if v.is_valid else 0 for v in col])])
+    _, off = byte_view(col)
+    return off - off[0]
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Cut record batches into slices of about `limit` bytes of one column; a longer row travels alone, and whole."""
+    """Join and cut record batches into slices of about `limit` bytes of one column; a longer row travels alone, and whole."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        col = batch.column(batch.schema.get_field_index(column))
-        _, off = byte_view(col) if not col.null_count else (None, np.concatenate([[0], np.cumsum([len(v.as_buffer()) if v.is_valid else 0 for v in col])]))
-        off = off - off[0]
-        start = 0
-        while start < batch.num_rows:
-            end = int(np.searchsorted(off, off[start] + limit, "right")) - 1
-            end = min(max(end, start + 1), batch.num_rows)
-            yield batch.slice(start, end - start)
-            start = end
+        n = int(_sizes(batch, column)[-1])
+        if held and size + n > limit:
+            yield from _slices(held, column, limit)
+            held, size = [], 0
+        held.append(batch)
+        size += n
+    if held:
+        yield from _slices(held, column, limit)
+
+
+def _slices(held: list[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    batch = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    off = _sizes(batch, column)
+    start = 0
+    while start < batch.num_rows:
+        end = int(np.searchsorted(off, off[start] + limit, "right")) - 1
+        end = min(max(end, start + 1), batch.num_rows)
+        yield batch.slice(start, end - start)
+        start = end
 
 
 _MULT = 0x9E3779B97F4A7C15 | 1

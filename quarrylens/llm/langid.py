@@ -29,7 +29,7 @@ HASHES = 3
 MIN_SHARE = 2e-6
 SPECIFIC = 0.2
 KEEP = 60_000
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 384 << 10
 UNKNOWN = "und"
 
 

@@ -29,7 +29,7 @@ from .common import pieces as slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 LARGE, SMALL = 20, 16
 
 
@@ -98,7 +98,7 @@ class Vocabulary:
             maybe = np.flatnonzero(tag[at] == tags)
             at = at[maybe]
             hit = key[at] == h[maybe]
-            own.append((maybe[hit], value[at[hit]].astype(np.int64)))
+            own.append((maybe[hit], value[at[hit]]))
         return np.concatenate([x for x, _ in own]), np.concatenate([v for _, v in own])
 
 
@@ -123,7 +123,7 @@ class Lattice:
         froms, tos, ids = [], [], []
         char = _char_sizes(raw)
         covered = np.zeros(total, bool)
-        node = self.base[chunk] + pos
+        node = (self.base[chunk] + pos).astype(np.int32)
         sums, down = span_sums(raw)
         ok = np.flatnonzero(char > 0)
         for length in vocab.lengths.tolist():
@@ -134,13 +134,13 @@ class Lattice:
             own = ok[hit]
             covered[own[char[own] == length]] = True
             froms.append(node[own])
-            tos.append(node[own] + length)
+            tos.append(node[own] + np.int32(length))
             ids.append(found)
         lead = np.flatnonzero((char > 0) & ~covered)
         bare = np.repeat(lead, char[lead]) + np.arange(char[lead].sum()) - np.repeat(np.cumsum(char[lead]) - char[lead], char[lead])
         froms.append(node[bare])
-        tos.append(node[bare] + 1)
-        ids.append(vocab.byte_id[raw[bare]])
+        tos.append(node[bare] + np.int32(1))
+        ids.append(vocab.byte_id[raw[bare]].astype(np.int32))
         src, dst, piece = np.concatenate(froms), np.concatenate(tos), np.concatenate(ids)
         nodes = int(self.end[-1]) + 1
         step = np.zeros(nodes, np.uint16 if int(n.max(initial=0)) < 1 << 16 else np.int64)  # position of a node in its chunk
@@ -172,7 +172,7 @@ class Lattice:
         upto = np.cumsum(own)
         first = np.concatenate([[True], final[1:] != final[:-1]])
         begin = np.flatnonzero(first)
-        self.first = np.zeros(nodes, np.int64)  # a node's first arc
+        self.first = np.zeros(nodes, np.int32)  # a node's first arc
         self.first[final[begin]] = begin
         self.upto = upto - np.repeat(upto[begin] - own[begin], np.diff(np.append(begin, len(final))))
         self.upto[np.append(begin[1:] - 1, len(final) - 1)] = 2.0

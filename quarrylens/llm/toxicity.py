@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import mix64, pieces, prepare, span_hashes
 
 SIZE = 1 << 18
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 512 << 10
 BLOCK = 64
 PARTS = (("word", 0), ("head", 4), ("head", 5), ("head", 6), ("tail", 4))
 
