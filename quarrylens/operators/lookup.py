@@ -30,10 +30,9 @@ def find(g: CodeGraph, pattern: str, ignore_case: bool = False, kinds: list[str]
     """Symbols whose name the unanchored pattern matches, in order of path and line; language is the graph's own name."""
     pattern = f"(?i){pattern}" if ignore_case else pattern
     check_regex(g.spark, pattern)
-    hits = g.symbols.where(F.col("name").rlike(pattern))
+    out = located(g).where(F.col("name").rlike(pattern))
     if kinds:
-        hits = hits.where(F.col("kind").isin(kinds))
-    out = located(g).join(hits.select("symbol_id"), "symbol_id", "left_semi")
+        out = out.where(F.col("kind").isin(kinds))
     out = out.where(F.col("file_path").isNotNull() & under("file_path", file_prefix))
     if language:
         out = out.where(F.col("language") == parse_language(language))

@@ -96,14 +96,17 @@ def label_propagation(labels: DataFrame, links: DataFrame, rounds: int = 100) ->
 def simple_paths(entries: DataFrame, targets: DataFrame, edges: DataFrame, max_depth: int, max_paths: int) -> DataFrame:
     """(hops, depth): up to max_paths simple paths from entries to targets, shortest first, then by their hops.
 
-    A path stops at its first target; expansion stops once the paths wanted are complete, as later ones are longer."""
+    A path stops at its first target; expansion stops once the paths wanted are complete, as later ones are longer.
+    Only nodes from which a target is within the hops left are stepped on."""
     edges = cut(edges.select("src", "dst").distinct())
+    left = bfs(targets, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), max_depth).select(F.col("node").alias("dst"), F.col("depth").alias("left"))
+    edges = cut(edges.join(left, "dst"))
     marks = targets.select(F.col("node").alias("dst"), F.lit(True).alias("hit")).distinct()
     frontier = entries.select(F.array("node").alias("hops"), F.col("node").alias("at"))
     frontier = cut(frontier.join(targets.select(F.col("node").alias("at")), "at", "left_anti"))
     found = frontier.limit(0).select("hops", F.lit(0).alias("depth"))
     for depth in range(1, max_depth + 1):
-        step = frontier.join(edges, F.col("at") == F.col("src")).where(~F.expr("array_contains(hops, dst)"))
+        step = frontier.join(edges, F.col("at") == F.col("src")).where(~F.expr("array_contains(hops, dst)") & (F.col("left") <= max_depth - depth))
         step = cut(step.join(marks, "dst", "left").select(F.concat("hops", F.array("dst")).alias("hops"), F.col("dst").alias("at"), F.coalesce("hit", F.lit(False)).alias("hit")))
         found = cut(found.unionByName(step.where("hit").select("hops", F.lit(depth).alias("depth"))).orderBy("depth", "hops").limit(max_paths))
         frontier = step.where("NOT hit").select("hops", "at")

@@ -86,3 +86,16 @@ def test_staleness(spark):
     assert {tuple(r) for r in changes.collect()} == {("f3", "modified"), ("f19", "deleted")} and rebuild
     assert not staleness(old, old.where("path <> 'f1'"))[1]
     assert old.where(F.lit(False)).count() == 0
+
+
+def test_session_state(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "c")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    out = stream.groupBy("conv_id").transformWithStateInPandas(watch.Sessions(), "conv_id long, turn long, messages long", "append", "none")
+    q = out.writeStream.format("memory").queryName("sessions").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert q.exception() is None
+    assert sorted(map(tuple, spark.table("sessions").collect())) == [(1, 0, 1), (1, 1, 2), (2, 0, 1)]
