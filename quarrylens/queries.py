@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import paths, text
 from .operators import aggregates, decorators, export, graphjson, lookup, resolve, retrieval, search, snapshots, traverse
-from .plans.kernels import bfs
+from .plans.kernels import bfs, simple_paths
 from .plans.lineage import shared_folder
 from .plans.views import SQL, code_graph, table
 from .schema import CodeGraph, symbol_node
@@ -206,22 +206,19 @@ def i3(spark, sf):
     return traverse.circular(code_graph(spark, sf)).select(F.array_join("files", ",").alias("files"))
 
 
-@query("i4_flow", """WITH entry AS (SELECT min(symbol_id) AS e FROM syms WHERE name = 'parseUser0'),
-w(hops, here, d) AS (SELECT ['s:' || e], 's:' || e, 0 FROM entry UNION ALL SELECT list_append(hops, dst), dst, d + 1 FROM w JOIN calls c ON c.src = w.here WHERE d < 3 AND NOT list_contains(hops, dst))
-SELECT array_to_string(hops, '>') AS path, CAST(d AS INT) AS depth FROM w WHERE d = 3 ORDER BY hops LIMIT 3""")
+@query("i4_flow", """WITH t AS (SELECT 's:' || symbol_id AS n FROM syms WHERE name LIKE 'load%'), k AS (SELECT DISTINCT src, dst FROM calls),
+w(hops, here, d, hit) AS (SELECT ['s:' || symbol_id], 's:' || symbol_id, 0, false FROM syms WHERE name LIKE 'find%'
+ UNION ALL SELECT list_append(hops, dst), dst, d + 1, dst IN (SELECT n FROM t) FROM w JOIN k ON k.src = w.here WHERE d < 4 AND NOT hit AND NOT list_contains(hops, dst))
+SELECT array_to_string(hops, '>') AS path, CAST(d AS INT) AS depth FROM w WHERE hit ORDER BY d, hops LIMIT 5000""")
 def i4(spark, sf):
-    from .plans.kernels import simple_paths
-
     g = code_graph(spark, sf)
-    e = g.edges.where("kind = 'Calls'")
-    first = g.symbols.where("name = 'parseUser0'").agg(F.min("symbol_id").alias("symbol_id")).select(symbol_node("symbol_id").alias("node"))
-    ends = bfs(first, e, 3).where("depth = 3").select("node")
-    return simple_paths(first, ends, e, 3, 3).select(F.array_join("hops", ">").alias("path"), "depth")
+    at = lambda pattern: g.symbols.where(F.col("name").like(pattern)).select(symbol_node("symbol_id").alias("node"))
+    return simple_paths(at("find%"), at("load%"), g.edges.where("kind = 'Calls'"), 4, 5000).select(F.array_join("hops", ">").alias("path"), "depth")
 
 
 @query("i4_trace_flow")
 def i4b(spark, sf):
-    return traverse.trace_flow(code_graph(spark, sf), "parseUser0", "loadOrder1")
+    return traverse.trace_flow(code_graph(spark, sf), "findUser63", "loadOrder37")
 
 
 def _lpa_sql(rounds: int) -> str:
