@@ -2,7 +2,7 @@ import hashlib
 
 import corpus_pipeline as cp
 
-from .test_simhash import brute as near
+from .test_simhash import similar
 from .test_substring import brute as repeats
 
 
@@ -27,7 +27,7 @@ def test_stages_against_brute_force(spark, tmp_path):
         if name == "language":
             state = {d: t for d, t in state.items() if t and any(c.isalpha() for c in t)}
         elif name == "near_duplicates":
-            keep = {c for _, _, c in near(list(state.items()))}
+            keep = similar(list(state.items()))
             state = {d: t for d, t in state.items() if d in keep}
         elif name == "substrings":
             left = {d: (n - g, sha) for d, n, g, sha in repeats(list(state.items()))}
