@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 from pathlib import Path
 
 import numpy as np
@@ -111,6 +113,20 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
         yield from _slices(held, column, limit)
 
 
+@cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0  # another C library: nothing to give back
+
+
+def release() -> None:
+    """Give memory that the last slice used back to the system: a worker is kept for the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def _slices(held: list[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     batch = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
     off = _sizes(batch, column)
@@ -120,6 +136,7 @@ def _slices(held: list[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.
         end = min(max(end, start + 1), batch.num_rows)
         yield batch.slice(start, end - start)
         start = end
+        release()
 
 
 _MULT = 0x9E3779B97F4A7C15 | 1

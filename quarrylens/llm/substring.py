@@ -22,16 +22,15 @@ import pickle
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, pieces, prepare, span_hashes, total_bytes, words_of
+from .common import materialize, mix64, pieces, prepare, release, span_hashes, total_bytes, words_of
 
-SLICE_BYTES = 6 << 20
-BUCKET_BYTES = 48 << 20
+SLICE_BYTES = 3 << 20
+BUCKET_BYTES = 32 << 20
 HEAVY_MIN, HEAVY_MAX = 20_000, 65_536
 LOCAL_MIN = 8
 SORT_ENTRIES = 20_000
@@ -187,10 +186,12 @@ def _bucket(blobs: list[bytes], window: int):
         doc = np.concatenate([p[3].astype(np.int64) + n for p, n in zip(got, doc_at)])
         first = np.concatenate([p[4] for p in got])
         length = np.concatenate([p[5] for p in got]).astype(np.int64)
-        text = b"".join([p[6] for p in got])
+        texts = [p[6] for p in got]
+        source = np.repeat(np.arange(len(got)), [len(p[0]) for p in got])
+        text_at = np.cumsum([0] + [len(x) for x in texts])
         repeats, again = np.concatenate([p[7] for p in got]).astype(np.int64), np.concatenate([p[8] for p in got])
         del got
-        offset, again_at = np.cumsum(length) - length, np.cumsum(repeats) - repeats
+        offset, again_at = np.cumsum(length) - length - text_at[source], np.cumsum(repeats) - repeats
         order = np.argsort(keys, kind="stable")
         cut = np.flatnonzero(np.diff(keys[order])) + 1
         lows, highs = np.concatenate([[0], cut]), np.concatenate([cut, [len(keys)]])
@@ -204,7 +205,7 @@ def _bucket(blobs: list[bytes], window: int):
             for r in range(rounds):
                 found: list[tuple[bytes, int, int, int]] = []
                 for e, i in zip(own.tolist(), who.tolist()):
-                    p = text[offset[e] : offset[e] + length[e]]
+                    p = texts[source[e]][offset[e] : offset[e] + length[e]]
                     ws = [0]
                     x = p.find(b" ")
                     while x >= 0:
@@ -264,6 +265,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     if (cols := _bucket(blobs, window)) is not None:
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
                     blobs = []
+                    release()
                 now = t
                 blobs.append(x.as_py())
         if blobs and (cols := _bucket(blobs, window)) is not None:
@@ -309,16 +311,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prepare(docs.sparkSession)
     marked = _with_ranges(docs, id_col, text_col, window, gram)
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
-        return pd.Series([cut_text(t, x, y) for t, x, y in zip(text, lo, hi)], dtype=object)
+    names = docs.columns
+    at = names.index(text_col)
+    count_at = names.index(length_col) if length_col else None
 
-    plain = marked.where("__cut IS NULL")
-    done = marked.where("__cut IS NOT NULL").withColumn("__cut", cut(F.col(text_col).cast("string"), F.col("__cut.lo"), F.col("__cut.hi")))
-    done = done.where(F.trim("__cut") != "").withColumn(text_col, F.col("__cut"))
-    if length_col:
-        done = done.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
-    return plain.unionByName(done.withColumn("__cut", F.lit(None).cast(marked.schema["__cut"].dataType))).drop("__cut")
+    def run(batches):
+        for part in pieces(batches, text_col, SLICE_BYTES):
+            lo, hi = part.column(len(names)).to_pylist(), part.column(len(names) + 1).to_pylist()
+            columns = [part.column(i) for i in range(len(names))]
+            text = [v.as_py() if x is None else cut_text(v.as_py(), x, y) for v, x, y in zip(columns[at], lo, hi)]
+            keep = [x is None or bool(t.strip()) for t, x in zip(text, lo)]
+            columns[at] = pa.array(text, columns[at].type)
+            if count_at is not None:
+                old = columns[count_at]
+                columns[count_at] = pa.array([c.as_py() if x is None else len(t) for c, t, x in zip(old, text, lo)], old.type)
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
+
+    kinds = docs.select(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in names]).schema
+    rows = marked.select(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in names], F.col("__cut.lo").alias("__lo"), F.col("__cut.hi").alias("__hi"))
+    return rows.mapInArrow(run, kinds)
 
 
 def op5(docs: DataFrame) -> DataFrame:
