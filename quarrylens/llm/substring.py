@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, mix64, pieces, prepare, release, span_hashes, total_bytes, words_of
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 5 << 20
 BUCKET_BYTES = 32 << 20
 HEAVY_MIN, HEAVY_MAX = 20_000, 65_536
 LOCAL_MIN = 8
