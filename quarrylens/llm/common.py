@@ -113,6 +113,10 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
         yield from _slices(held, column, limit)
 
 
+RELEASE_BYTES = 4 << 20  # of slices between two releases, as pages given back must be faulted in again
+_used = [0]
+
+
 @cache
 def _trim():
     try:
@@ -135,8 +139,11 @@ def _slices(held: list[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.
         end = int(np.searchsorted(off, off[start] + limit, "right")) - 1
         end = min(max(end, start + 1), batch.num_rows)
         yield batch.slice(start, end - start)
+        _used[0] += int(off[end] - off[start])
+        if _used[0] >= RELEASE_BYTES:
+            _used[0] = 0
+            release()
         start = end
-        release()
 
 
 _MULT = 0x9E3779B97F4A7C15 | 1
