@@ -28,6 +28,7 @@ from .components import components
 SEED = 42
 SLICE_BYTES = 1 << 20
 BANDS, ROWS = 14, 4
+BLOCK, TOKENS = 256, 4096
 
 
 def fingerprint_words(words: list[bytes], shingle: int, out: list[int]) -> int:
@@ -185,13 +186,80 @@ def _within(buckets: DataFrame, crowd: int) -> DataFrame:
     return two.unionByName(few).unionByName(star)
 
 
+def spanning_links(sets: list[np.ndarray], comp: np.ndarray, side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """(row, row) links that join all rows of side against the others at a Jaccard similarity, components aside."""
+    n, size = len(sets), np.array([len(x) for x in sets], np.int64)
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(n), size)
+    often = np.bincount(token)[token] > 1  # what one row alone holds is in no pair
+    row, token = row[often], np.unique(token[often], return_inverse=True)[1]
+    order = np.argsort(token, kind="stable")
+    row, token = row[order], token[order]
+    common = np.zeros((n, n), np.float32)
+    last = int(token[-1]) + 1 if len(token) else 0
+    for low in range(0, last, TOKENS):
+        a, b = np.searchsorted(token, [low, low + TOKENS])
+        held = np.zeros((n, min(TOKENS, last - low)), np.float32)
+        held[row[a:b], token[a:b] - low] = 1
+        common += held @ held.T
+    common = common.astype(np.int64)
+    close = (common >= similarity * (size[:, None] + size[None, :] - common)) & (comp[:, None] != comp[None, :]) & (side[:, None] | side[None, :])
+    seen, out = np.zeros(n, bool), []
+    for first in range(n):
+        if seen[first]:
+            continue
+        seen[first] = True
+        stack = [first]
+        while stack:
+            x = stack.pop()
+            fresh = np.flatnonzero(close[x] & ~seen)
+            seen[fresh] = True
+            stack += fresh.tolist()
+            out += [(x, y) for y in fresh.tolist()]
+    return out
+
+
+def crowd_links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(u, v): verified links between different components c of the rows (t, k, rep, c) of each crowded bucket.
+
+    Rows outside a bucket's largest component are held against all its rows, block by block: a group never has more
+    than some 2 * BLOCK rows, and buckets of one component are not looked at."""
+    sizes = members.groupBy("t", "k", "c").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("t", "k").agg(F.sum("n").alias("rows"), F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("largest")).where("rows > largest")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("long")
+    own = members.join(most, ["t", "k"]).withColumn("left", blocks(F.col("rows") - F.col("largest"))).withColumn("right", blocks(F.col("rows")))
+    h = F.xxhash64("rep", F.lit(5))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    stray = own.where("c <> main").withColumn("i", F.pmod(h, F.col("left"))).select("t", "k", "rep", "c", "i", every("right").alias("j"), F.lit(True).alias("side"))
+    rest = own.withColumn("j", F.pmod(h, F.col("right"))).select("t", "k", "rep", "c", every("left").alias("i"), "j", F.lit(False).alias("side"))
+    dealt = stray.unionByName(rest.select(stray.columns)).groupBy("t", "k", "i", "j", "rep", "c").agg(F.max("side").alias("side"))
+    dealt = materialize(dealt, "crowd_blocks")
+    if dealt.isEmpty():
+        return members.limit(0).select(F.col("rep").alias("u"), F.col("rep").alias("v"))
+    ids = dealt.select(F.col("rep").alias("__id")).distinct()
+    some = docs.select(id_col, text_col).join(ids, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
+    sets = materialize(shingle_sets(some, id_col, text_col, shingle), "shingles")
+
+    def compare(frame):
+        import pandas as pd
+
+        side = frame.side.to_numpy(bool)
+        rep = frame.rep.to_numpy()
+        found = spanning_links(frame.s.tolist(), frame.c.to_numpy(), side, similarity) if side.any() else []
+        at = np.array(found, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"u": rep[at[:, 0]], "v": rep[at[:, 1]]})
+
+    return dealt.join(sets.withColumnRenamed("id", "rep"), "rep").groupBy("t", "k", "i", "j").applyInPandas(compare, "u long, v long").distinct()
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 2, crowd: int = 64) -> DataFrame:
     """(id, component) per row with an id: documents linked by a Jaccard similarity of shingle sets, verified exactly.
 
     At this similarity fingerprints differ in 10 bits and more, far beyond what blocks of 64 bits can find, so
     candidates come from two searches: fingerprints within `distance` by pigeonhole blocks, and bands of least
     hashes, which miss a pair at 0.8 once in some 1,700 times. Documents of equal words are one row in both. Buckets
-    of over crowd rows pair all rows that also share the next band, and every row with the bucket's least."""
+    of over crowd rows first pair all rows that also share the next band, and every row with the bucket's least; rows
+    that this leaves in different components are then held against each other in full (crowd_links)."""
     own = materialize(sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle), "sketches")
     reps = materialize(own.groupBy("key").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "representatives")
     by_fp = materialize(reps.groupBy("fp").agg(F.min("rep").alias("least"), F.count("*").alias("n")), "classes")
@@ -209,8 +277,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets = materialize(shingle_sets(some, id_col, text_col, shingle), "shingles")
     both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
-    links = both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
+    links = materialize(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"), "links")
     comp = materialize(components(links), "components")
+    members = materialize(keyed.join(crowded, ["t", "k"], "left_semi").select("t", "k", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("t", "k", "rep", F.coalesce("component", "rep").alias("c")), "crowd_members")
+    more = materialize(crowd_links(members, docs, id_col, text_col, shingle, similarity), "crowd_links")
+    if not more.isEmpty():
+        comp = materialize(components(links.unionByName(more)), "components")
     named = reps.select("key", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component"))
     return own.select("id", "key").join(named, "key").select("id", "component")
 

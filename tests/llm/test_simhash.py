@@ -72,6 +72,27 @@ def test_similar_documents_against_all_pairs(spark):
     assert {r.component for r in few.collect()} == similar(rows)
 
 
+def test_star_of_copies_around_a_base_of_middle_id(spark):
+    import random
+
+    rnd = random.Random(23)
+    words = [f"w{i}" for i in range(5000)]
+    base = rnd.choices(words, k=300)
+    rows = []
+    for i in range(400):
+        copy = list(base)
+        for at in rnd.sample(range(8, 290), 5):
+            copy[at] = f"own{i}x{at}"
+        rows.append((i if i < 200 else i + 1, " ".join(copy)))
+    rows.append((200, " ".join(base)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert similar(rows) == {0}
+    assert {r.component for r in simhash.similar_groups(df).collect()} == similar(rows)
+    rows = [r for r in rows if r[0] != 200]  # without the base the copies are only as close as chance has it
+    kept = {r.component for r in simhash.similar_groups(df.where("doc_id <> 200")).collect()}
+    assert kept == similar(rows) and len(kept) > 100
+
+
 def test_documents_against_all_pairs(spark):
     rows = [(1, "a b c d e f g h"), (2, "A B\tC d e f g h"), (3, None), (4, ""), (5, "x"), (6, "x y"), (7, "ü ö ß word"), (5, "x"), (None, "x y"), (8, "z " * 9000), (9, "Z " * 9001)]
     rows += [(100 + i, " ".join(f"w{j}" for j in range(300) if j != i)) for i in range(25)]
