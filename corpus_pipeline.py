@@ -3,7 +3,7 @@
 language: documents whose language cannot be told go. near_duplicates: one document of each SimHash group stays.
 substrings: words of windows that an earlier document holds are cut from the texts; a document left with none goes.
 mix: rows are put into the order of the source schedule (file by file, row by row). encode: one row per document
-with its sampled piece ids, and the file and row it was read from, which carry the mixed order."""
+with its sampled piece ids, and the file and row it was read from: sorted by these, rows stand in the mixed order."""
 
 from __future__ import annotations
 
@@ -31,7 +31,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.tokenize(docs, ["doc_id", "source"])
+    # the writer's random id goes, so that names sort by partition and are the same in every run
+    file = F.regexp_replace("_metadata.file_name", r"^(part-\d+)-.*(-c\d+)\..*$", "$1$2")
+    placed = docs.select("doc_id", "source", "text", file.alias("file"), F.col("_metadata.row_index").alias("row"))
+    return pieces.tokenize(placed, ["doc_id", "source", "file", "row"])
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("substrings", substrings), ("mix", mix), ("encode", encode)]

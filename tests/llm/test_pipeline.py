@@ -1,6 +1,8 @@
 import hashlib
+import random
 
 import corpus_pipeline as cp
+from quarrylens.llm import mixing
 
 from .test_simhash import similar
 from .test_substring import brute as repeats
@@ -45,3 +47,16 @@ def test_empty_documents(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_file_and_row_give_the_schedules_order(spark, tmp_path):
+    rnd = random.Random(4)
+    rows = [(i, " ".join(f"the{rnd.randrange(10**6)} house{rnd.randrange(10**6)}" for _ in range(600 + 600 * (i % 7))), "en", "aab"[i % 3], 0) for i in range(60)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    cp.mix(spark, docs, "").write.parquet(f"{tmp_path}/mix")
+    out, slots = mixing.interleave(docs)
+    want = [r.doc_id for r in sorted(out.collect(), key=lambda r: (r["__slot"], r["__shuffle"]))]
+    got = cp.encode(spark, spark.read.parquet(f"{tmp_path}/mix"), "").collect()
+    assert slots > 4 and len({r.file for r in got}) > 1
+    assert [r.doc_id for r in sorted(got, key=lambda r: (r.file, r.row))] == want
