@@ -307,6 +307,12 @@ def df3(spark, sf):
     return snapshots.rotate(e)
 
 
+@query("df3_rotate_all", "SELECT name, created_at FROM (SELECT DISTINCT 's' || event_id AS name, CAST(floor(epoch(ts)) AS BIGINT) AS created_at FROM events) ORDER BY created_at DESC, name LIMIT 9", view=False)
+def df3_all(spark, sf):
+    """df3_rotate over all events; its own SQL holds the first 500 only."""
+    return snapshots.rotate(table(spark, sf, "events").selectExpr("'s' || event_id AS name", "unix_seconds(cast(ts AS timestamp)) AS created_at"))
+
+
 @query("df5_export_counts", "SELECT (SELECT count(*) FROM files WHERE NOT regexp_matches(path, '^lib/n1/[^/]*$')) AS node_count, (SELECT count(*) FROM imports WHERE NOT regexp_matches(src, '^lib/n1/[^/]*$') AND NOT regexp_matches(dst, '^lib/n1/[^/]*$')) AS edge_count")
 def df5(spark, sf):
     return export.counts(code_graph(spark, sf), export.Export("file", exclude=["lib/n1/*"]), True).drop("warnings")
@@ -371,6 +377,20 @@ def t6(spark, sf):
     return search.fuse(a, b).select("symbol_name", "line", F.round("score", 6).alias("score"))
 
 
+FUSED_SQL = BM25_SQL.replace("'blue', 'ring'", "'cold', 'widget'")
+
+
+@query("t6_rank_fusion_all", f"""WITH {FUSED_SQL}, td AS (SELECT DISTINCT p_name AS name, list_distinct([substr(lower(p_name), i, 3) FOR i IN range(1, len(p_name) - 1)]) AS g FROM part), tq AS (SELECT list_distinct([substr('cold widget', i, 3) FOR i IN range(1, 10)]) AS h),
+ts AS (SELECT name, len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))) AS score FROM td, tq), x AS (SELECT p_name AS symbol_name, p_partkey AS line, row_number() OVER (ORDER BY score DESC, p_brand, p_partkey, p_name) AS rank FROM part JOIN ts ON ts.name = p_name WHERE score >= 0.3),
+y AS (SELECT p_name AS symbol_name, p_partkey AS line, row_number() OVER (ORDER BY round(score, 9) DESC, p_brand, p_partkey, p_name) AS rank FROM part JOIN s ON s.name = p_name), z AS (SELECT * FROM x WHERE rank <= 500 UNION ALL SELECT * FROM y WHERE rank <= 500)
+SELECT symbol_name, line, round(sum(1.0 / (60 + rank)), 6) AS score FROM z GROUP BY symbol_name, line""", view=False)
+def t6_all(spark, sf):
+    """Fusion of two searches of the whole table at a search's largest limit; t6_rank_fusion's own SQL holds some ids only."""
+    docs = _part_docs(spark, sf)
+    a, b = search.trigram_search(docs, "cold widget", 500), search.bm25_search(docs, "cold widget", 500)
+    return search.fuse(search.ranked(a), search.ranked(b)).select("symbol_name", "line", F.round("score", 6).alias("score"))
+
+
 @query("t7_search", "SELECT s.name AS symbol_name, s.kind, coalesce(s.file, p.file) AS file_path, s.line FROM syms s LEFT JOIN syms p ON s.parent_id = p.symbol_id WHERE regexp_matches(s.name, '(?i)finduser63') AND coalesce(s.file, p.file) IS NOT NULL ORDER BY string_split(coalesce(s.file, p.file), '/'), s.line LIMIT 20")
 def t7(spark, sf):
     return search.search(code_graph(spark, sf), "finduser63").select("symbol_name", "kind", "file_path", "line")
@@ -436,6 +456,15 @@ def r7(spark, sf):
     return retrieval.merge(a, b)
 
 
+@query("r7_merge_all", """WITH u AS (SELECT p_brand AS f, p_name AS n, p_partkey AS l, p_partkey AS i, 0 AS s FROM part WHERE p_name = 'cold widget' AND p_brand = 'Brand#13' UNION ALL SELECT p_brand, p_name, p_partkey, -p_partkey, 1 FROM part),
+k AS (SELECT *, row_number() OVER (PARTITION BY f, n ORDER BY s, i) AS r FROM u) SELECT CAST(row_number() OVER (ORDER BY s, i) AS INT) AS index, f AS file_path, l AS line_start, n AS symbol_name FROM k WHERE r = 1 ORDER BY s, i LIMIT 5""", view=False)
+def r7_all(spark, sf):
+    """The matches of a name, then all parts from the last one on; r7_merge's own SQL holds some ids only."""
+    p = table(spark, sf, "part").select(F.col("p_brand").alias("file_path"), F.col("p_partkey").alias("line_start"), F.col("p_name").alias("symbol_name"))
+    a = p.where("symbol_name = 'cold widget' AND file_path = 'Brand#13'").withColumn("index", F.col("line_start"))
+    return retrieval.merge(a, p.withColumn("index", -F.col("line_start")))
+
+
 @query("r10_sessions", """WITH t AS (SELECT conv_id, turn, role, conv_id * 7919 % 1000 + turn AS u FROM conversations), l AS (SELECT conv_id, max(u) AS last_used FROM t GROUP BY conv_id ORDER BY last_used DESC, conv_id LIMIT 100)
 SELECT conv_id, last_used, count(*) AS messages, string_agg(role, ',' ORDER BY turn) AS roles FROM t JOIN l USING (conv_id) GROUP BY ALL""", view=False)
 def r10(spark, sf):
