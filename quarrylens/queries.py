@@ -232,12 +232,12 @@ u AS (SELECT src, dst FROM k UNION ALL SELECT dst, src FROM k), l0 AS (SELECT n,
 
 @query("i6_clusters", _lpa_sql(3))
 def i6(spark, sf):
-    return traverse.cluster_members(code_graph(spark, sf), rounds=3)
+    return traverse.cluster_members(code_graph(spark, sf))
 
 
 @query("i6_cluster_report")
 def i6b(spark, sf):
-    return traverse.clusters(code_graph(spark, sf), rounds=3)
+    return traverse.clusters(code_graph(spark, sf))
 
 
 @query("i7_directory_label", "SELECT path, CASE WHEN NOT contains(path, '/') THEN 'core' WHEN split_part(path, '/', 1) IN ('src', 'lib') THEN CASE WHEN len(string_split(path, '/')) > 2 THEN split_part(path, '/', 2) ELSE 'core' END ELSE split_part(path, '/', 1) END AS label FROM files")

@@ -342,3 +342,16 @@ def test_bfs_keeps_searches_apart(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string")
     got = {(r.who, r.node): r.depth for r in bfs(seeds, edges, 2, "who").collect()}
     assert got == {("p", "a"): 0, ("p", "b"): 1, ("p", "c"): 2, ("q", "b"): 0, ("q", "c"): 1, ("q", "a"): 2}
+
+
+def test_labels_spread_until_nothing_changes(spark, monkeypatch):
+    from quarrylens import queries
+
+    # links thin out along the line, so each node takes the label of the one before it, one step a round
+    n = 8
+    symbols = [{"name": f"f{i}", "file": f"{'a' if i == 1 else f'z{i}'}/x.py"} for i in range(1, n + 1)]
+    links = [(f"s:{i}", f"s:{i + 1}", "Calls") for i in range(1, n) for _ in range(4 * (n - i))] + [("s:1", "s:1", "Calls")] * 200
+    g = graph(spark, [s["file"] for s in symbols], symbols, links)
+    monkeypatch.setattr(queries, "code_graph", lambda *_: g)
+    assert {r.label for r in queries.QUERIES["i6_clusters"](spark, "").collect()} == {"a"}
+    assert [(r.label, r.member_count) for r in queries.QUERIES["i6_cluster_report"](spark, "").collect()] == [("a", n)]
