@@ -1,8 +1,8 @@
 """Exact top-k inner products: a ball tree per shard, searched by branch and bound for blocks of queries.
 
 Rows are dealt into shards by a hash of their id, queries into blocks; each (block, shard) is one task of bounded
-size. In a shard, equal vectors keep their k + 1 least ids (no other can be among the k best), the rest make a ball
-tree. All queries of a block go down together: nodes wait in a heap by their largest bound q.c + |q| r, a popped node
+size. In a shard, equal vectors keep the rows of least ids that can be among the k best of some query (k rows besides
+those of any one id), the rest make a ball tree. All queries of a block go down together: nodes wait in a heap by their largest bound q.c + |q| r, a popped node
 keeps the queries whose bound still reaches their current k-th score (ties: whose least id could win), leaves are
 scored by one matrix product and raise the k-th scores that all later nodes are held against. Those start from the
 k-th score against PILOT rows of the table with the least hash, so every shard prunes from its first node on. The k best of each
@@ -123,13 +123,20 @@ def search(tree: BallTree, q: np.ndarray, q_ids: np.ndarray, k: int, floor: np.n
     return scores, ids
 
 
-def least_ids(x: np.ndarray, ids: np.ndarray, keep: int) -> np.ndarray:
-    """Rows to keep: of equal vectors, those with the `keep` smallest ids."""
+def least_ids(x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Rows to keep: of equal vectors, those that are among the k least ids once the rows of any other id are left out."""
     order = np.lexsort((ids, *x.T[::-1]))
-    s = x[order]
+    s, i = x[order], ids[order]
+    at = np.arange(len(order))
     new = np.append(True, (s[1:] != s[:-1]).any(axis=1))
-    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    return order[rank < keep]
+    group = np.maximum.accumulate(np.where(new, at, 0))
+    run = np.flatnonzero(new | np.append(True, i[1:] != i[:-1]))  # where the rows of one id and vector begin
+    rows = np.diff(np.append(run, len(order)))
+    # the most rows that one id before has in the group: group numbers lift the running maximum past earlier groups
+    lift = np.cumsum(new)[run] * (len(order) + 1)
+    most = np.append(0, np.maximum.accumulate(lift + rows)[:-1]) - lift
+    before = np.repeat(np.maximum(most, 0), rows)
+    return order[at - group - before < k]
 
 
 def exact_small(x, ids, q, q_ids, k) -> list[tuple[int, int, int]]:
@@ -173,7 +180,7 @@ def top_k(table: DataFrame, is_query, k: int = 5, scale: float = 256.0, id_col:
         x = np.stack(frame.x.to_numpy())
         ids = frame.id.to_numpy()
         q, q_ids, x, ids = x[is_q], ids[is_q], x[~is_q], ids[~is_q]
-        keep = least_ids(x, ids, k + 1)
+        keep = least_ids(x, ids, k)
         x, ids = x[keep], ids[keep]
         if np.abs(x).max() * np.abs(q).max() * x.shape[1] >= EXACT:
             found = exact_small(x, ids, q, q_ids, k)

@@ -51,3 +51,26 @@ def test_tree_search_equals_all_products():
 def test_large_components_use_integers():
     x = np.array([[1e15, 1.0], [1e15, 2.0], [3.0, 4.0]])
     assert topk.exact_small(x, np.array([1, 2, 3]), x[:1], np.array([1]), 2) == [(1, 2, 10**30 + 2), (1, 3, 3 * 10**15 + 4)]
+
+
+def test_repeated_rows_of_the_query_leave_k_others():
+    ids = np.array([50, 50, 51, 52, 53, 54, 55, 56, 7, 9, 9, 9, 8, 8, 8])
+    x = np.array([[1.0, 2.0]] * 8 + [[0.0, 3.0]] * 7)
+    kept = topk.least_ids(x, ids, 5)
+    assert sorted(ids[kept]) == [7, 8, 8, 8, 9, 9, 9, 50, 50, 51, 52, 53, 54, 55]
+    rng = random.Random(8)
+    for _ in range(200):
+        ids = np.array([rng.randrange(9) for _ in range(rng.randrange(1, 40))])
+        x = np.array([[float(rng.randrange(3))] for _ in ids])
+        kept = topk.least_ids(x, ids, 3)
+        for v in range(3):
+            for own in range(-1, 9):
+                best = lambda at: sorted(int(ids[r]) for r in at if x[r, 0] == v and ids[r] != own)[:3]  # noqa: B023, E731
+                assert best(kept) == best(range(len(ids)))
+
+
+def test_repeated_query_rows_against_sql(spark):
+    rows = [(i, [4.0, 4.0]) for i in (50, 50, 51, 52, 53, 54, 55)] + [(60 + i, [1.0, float(i % 3)]) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk.op7(df).select("query_id", "rank", "vec_id").collect())
+    assert got == [(50, i + 1, 51 + i) for i in range(5)]
