@@ -548,15 +548,25 @@ def w1(spark, sf):
 
 @query("w1_debounce_stream")
 def w1s(spark, sf):
-    """The same bursts from a stream over the events file, drained; bursts that the watermark has not closed yet stay open."""
+    """The same bursts from a stream over the events file, drained; then an event past the watermark closes the last ones."""
     import uuid
 
-    src = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    events = table(spark, sf, "events")
+    src = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     e = src.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("exists"))
-    name = "debounced_" + uuid.uuid4().hex
-    folder = shared_folder(spark, name)
-    q = watch.debounce(e, "3 hours", "1 day").writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    folder = shared_folder(spark, "debounced_" + uuid.uuid4().hex)
+    # all bursts that end before the closing event less a day are out; its own stays open
+    end = events.agg(F.max(F.col("ts").cast("timestamp")).alias("ts")).where("ts IS NOT NULL").select(F.lit(None).cast("string").alias("path"), F.expr("ts + INTERVAL 2 DAYS").alias("ts"), F.lit(True).alias("exists"))
+    end.limit(0).write.parquet(f"{folder}/end")
+    both = e.unionByName(spark.readStream.schema(end.schema).parquet(f"{folder}/end"))
+
+    def drain():
+        q = watch.debounce(both, "3 hours", "1 day").writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    drain()
+    end.write.mode("append").parquet(f"{folder}/end")  # only now: before, it would make events of later files late
+    drain()
     return spark.read.schema("path string, ts timestamp, exists boolean").parquet(f"{folder}/out")
 
 

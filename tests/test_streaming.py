@@ -99,3 +99,14 @@ def test_session_state(spark, tmp_path):
     q.awaitTermination(120)
     assert q.exception() is None
     assert sorted(map(tuple, spark.table("sessions").collect())) == [(1, 0, 1), (1, 1, 2), (2, 0, 1)]
+
+
+def test_drained_query_gives_the_last_bursts_too(spark, tmp_path):
+    from quarrylens.queries import QUERIES
+
+    t = datetime(2024, 1, 1)
+    rows = [(i, t + timedelta(minutes=47 * i * (i % 7)), i % 4, ["view", "error"][i % 3 == 0]) for i in range(200)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").coalesce(1).write.parquet(f"{tmp_path}/e")
+    next(tmp_path.glob("e/*.parquet")).rename(tmp_path / "events.parquet")
+    got, want = (sorted(map(tuple, QUERIES[n](spark, str(tmp_path)).selectExpr("path", c, "exists").collect())) for n, c in (("w1_debounce_stream", "unix_micros(ts)"), ("w1_debounce", "us")))
+    assert got == want
