@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import sys
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,7 +102,7 @@ def barrels(parsed: DataFrame, files: DataFrame) -> DataFrame:
     return _pick(x, _ts_candidates(_joined(directory("src"), F.col("specifier"))), files).where("target IS NOT NULL").select("src", F.col("target").alias("dst"), "specifier", "seq")
 
 
-def named_reexports(parsed: DataFrame, files: DataFrame, linked: DataFrame, max_hops: int = 32) -> DataFrame:
+def named_reexports(parsed: DataFrame, files: DataFrame, linked: DataFrame) -> DataFrame:
     """(src, dst, specifier): from an importer of a name to the file behind its chain of re-exports, where not linked yet.
 
     linked: (src, dst, specifier) of resolved imports. A chain that comes back to itself gives no edge."""
@@ -112,9 +113,11 @@ def named_reexports(parsed: DataFrame, files: DataFrame, linked: DataFrame, max_
     specs = parsed.select(F.col("path").alias("src"), F.explode("imports").alias("i")).select("src", F.col("i.module_path").alias("specifier"), F.explode("i.specifiers").alias("s"))
     walk = specs.join(linked.select("src", "specifier", F.col("dst").alias("file")).distinct(), ["src", "specifier"]).select("src", "specifier", F.coalesce("s.alias", "s.name").alias("name"), "file", F.array("file").alias("seen"), F.lit(False).alias("moved"))
     ended = walk.limit(0)
-    for _ in range(max_hops):
+    for hop in count(1):  # a chain never holds a file twice, so it ends
         step = walk.join(named, ["file", "name"], "left")
         ended = ended.unionByName(step.where("next IS NULL AND moved").select(ended.columns))
+        if hop % 16 == 0:
+            ended = cut(ended)
         walk = cut(step.where("next IS NOT NULL AND NOT array_contains(seen, next)").select("src", "specifier", "name", F.col("next").alias("file"), F.concat("seen", F.array("next")).alias("seen"), F.lit(True).alias("moved")))
         if walk.isEmpty():
             break
@@ -151,7 +154,7 @@ def unique_calls(g: CodeGraph, parsed: DataFrame) -> DataFrame:
 # Rust
 
 
-def module_tree(parsed: DataFrame, files: DataFrame, crates: DataFrame, max_depth: int = 64) -> DataFrame:
+def module_tree(parsed: DataFrame, files: DataFrame, crates: DataFrame) -> DataFrame:
     """(crate_name, path, module): files of each crate's tree of `mod x;`, by their module paths.
 
     mod.rs, lib.rs and main.rs keep their modules beside them, others in a folder of their name."""
@@ -163,13 +166,12 @@ def module_tree(parsed: DataFrame, files: DataFrame, crates: DataFrame, max_dept
     steps = cut(_pick(rs, F.array(F.concat(base, F.lit(".rs")), F.concat(base, F.lit("/mod.rs"))), files).where("target IS NOT NULL").select("path", "mod", "target"))
     level = cut(crates.join(files.select(F.col("path").alias("root")), "root", "left_semi").select("crate_name", F.col("root").alias("path"), F.lit("crate").alias("module")))
     tree = level
-    for _ in range(max_depth):
+    while True:  # a file enters a crate's tree once, so it ends
         level = level.join(steps, "path").select("crate_name", F.col("target").alias("path"), F.concat_ws("::", "module", "mod").alias("module"))
         level = cut(level.join(tree.select("crate_name", "path"), ["crate_name", "path"], "left_anti").dropDuplicates(["crate_name", "path"]))
         if level.isEmpty():
             return tree
         tree = cut(tree.unionByName(level))
-    return tree
 
 
 def rust_imports(parsed: DataFrame, tree: DataFrame, crates: DataFrame) -> DataFrame:

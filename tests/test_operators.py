@@ -355,3 +355,26 @@ def test_labels_spread_until_nothing_changes(spark, monkeypatch):
     monkeypatch.setattr(queries, "code_graph", lambda *_: g)
     assert {r.label for r in queries.QUERIES["i6_clusters"](spark, "").collect()} == {"a"}
     assert [(r.label, r.member_count) for r in queries.QUERIES["i6_cluster_report"](spark, "").collect()] == [("a", n)]
+
+
+def test_long_chains_are_followed_to_their_end(spark):
+    from quarrylens.operators import resolve
+
+    n = 36
+    exports = "array<struct<kind: string, source: string, names: array<string>>>"
+    imports = "array<struct<module_path: string, specifiers: array<struct<name: string, alias: string>>>>"
+    rows = [("use.ts", [], [("./c0", [("f", None)])])] + [(f"c{i}.ts", [("ReExport", f"./c{i + 1}", ["f"])], []) for i in range(n)] + [(f"c{n}.ts", [], [])]
+    parsed = spark.createDataFrame(rows, f"path string, exports {exports}, imports {imports}").coalesce(1)
+    linked = spark.createDataFrame([("use.ts", "c0.ts", "./c0")], "src string, dst string, specifier string")
+    assert [tuple(r) for r in resolve.named_reexports(parsed, parsed.select("path"), linked).collect()] == [("use.ts", f"c{n}.ts", "./c0")]
+
+
+def test_deep_module_trees_are_walked_to_their_end(spark):
+    from quarrylens.operators import resolve
+
+    paths = ["lib.rs"]
+    for i in range(67):
+        paths.append(f"{paths[-1].removesuffix('.rs')}/m.rs" if i else "m.rs")
+    parsed = spark.createDataFrame([(p, ["m"]) for p in paths], "path string, mods array<string>").coalesce(1)
+    tree = resolve.module_tree(parsed, parsed.select("path"), spark.createDataFrame([("k", "lib.rs")], "crate_name string, root string"))
+    assert {r.path for r in tree.collect()} == set(paths)
