@@ -33,9 +33,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; set to a temporary one only where it is unset (tests, local mode)."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset in local mode (tests)."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder: executors need a shared one")
         given = "file://" + tempfile.mkdtemp(prefix="quarrylens-")
         spark.conf.set("spark.checkpoint.dir", given)
     return given.rstrip("/")
@@ -62,6 +64,15 @@ def drop_folder(spark: SparkSession, path: str | None) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df does not have (names are compared as Spark does, without regard to case)."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{base}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,12 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, pieces, prepare
-from .components import components
+from .common import free_name, materialize, mix64, pieces, prepare
+from .components import components, spread_join
 
 SEED = 42
 SLICE_BYTES = 1 << 20
-BANDS, ROWS = 14, 4
+BANDS, ROWS = 20, 4
 BLOCK, TOKENS = 256, 4096
 
 
@@ -126,8 +126,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select("id", "fp", "component")
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, key, fp, bands) per row: a digest of the words, the fingerprint, and least hashes of the shingles, by bands."""
+def sketches(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(id, tag, key, fp, bands) per row (id, tag, text): a digest of the words, the fingerprint, and least hashes of the shingles, by bands."""
     prepare(docs.sparkSession)
     rng = np.random.default_rng(20)
     mult, add = (rng.integers(0, 1 << 63, bands * rows, np.int64).astype(np.uint64) for _ in range(2))
@@ -136,7 +136,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: i
     def run(batches):
         for part in pieces(batches, "text", SLICE_BYTES // 2):
             hashes, counts, keys = [], [], []
-            for v in part.column(1):
+            for v in part.column(2):
                 words = v.as_py().lower().split() if v.is_valid else []
                 counts.append(fingerprint_words(words, shingle, hashes))
                 keys.append(hashlib.md5(b" ".join(words), usedforsecurity=False).digest())
@@ -152,14 +152,14 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: i
                         acc = mix64(acc ^ np.minimum.reduceat(h * mult[r] + add[r], first))
                     out[full, band] = acc
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * bands, pa.int32()), pa.array(out.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(fp.view(np.int64)), lists], ["id", "key", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(fp.view(np.int64)), lists], ["id", "tag", "key", "fp", "bands"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return slim.mapInArrow(run, "id long, key binary, fp long, bands array<long>")
+    slim = docs.select("id", "tag", F.col("text").cast("binary").alias("text"))
+    return slim.mapInArrow(run, "id long, tag long, key binary, fp long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, s): the different shingle hashes of each text."""
+def shingle_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, s): the different shingle hashes of the text of each node (node, id, tag)."""
     prepare(docs.sparkSession)
 
     def run(batches):
@@ -169,10 +169,10 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
                 h: list[int] = []
                 fingerprint_words(v.as_py().lower().split() if v.is_valid else [], shingle, h)
                 out.append(np.unique(np.array(h, np.uint64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.int64()))], ["id", "s"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.int64()))], ["node", "s"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return slim.mapInArrow(run, "id long, s array<long>")
+    own = docs.join(nodes, ["id", "tag"]).dropDuplicates(["node"]).select("node", F.col("text").cast("binary").alias("text"))
+    return own.mapInArrow(run, "node long, s array<long>")
 
 
 def _within(buckets: DataFrame, crowd: int) -> DataFrame:
@@ -219,7 +219,7 @@ def spanning_links(sets: list[np.ndarray], comp: np.ndarray, side: np.ndarray, s
     return out
 
 
-def crowd_links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+def crowd_links(members: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(u, v): verified links between different components c of the rows (t, k, rep, c) of each crowded bucket.
 
     Rows outside a bucket's largest component are held against all its rows, block by block: a group never has more
@@ -236,9 +236,8 @@ def crowd_links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     dealt = materialize(dealt, "crowd_blocks")
     if dealt.isEmpty():
         return members.limit(0).select(F.col("rep").alias("u"), F.col("rep").alias("v"))
-    ids = dealt.select(F.col("rep").alias("__id")).distinct()
-    some = docs.select(id_col, text_col).join(ids, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    sets = materialize(shingle_sets(some, id_col, text_col, shingle), "shingles")
+    own = nodes.join(dealt.select(F.col("rep").alias("node")).distinct(), "node", "left_semi")
+    sets = materialize(shingle_sets(docs, own, shingle), "shingles")
 
     def compare(frame):
         import pandas as pd
@@ -249,19 +248,31 @@ def crowd_links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str,
         at = np.array(found, np.int64).reshape(-1, 2)
         return pd.DataFrame({"u": rep[at[:, 0]], "v": rep[at[:, 1]]})
 
-    return dealt.join(sets.withColumnRenamed("id", "rep"), "rep").groupBy("t", "k", "i", "j").applyInPandas(compare, "u long, v long").distinct()
+    return dealt.join(sets.withColumnRenamed("node", "rep"), "rep").groupBy("t", "k", "i", "j").applyInPandas(compare, "u long, v long").distinct()
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, tag, text) of the rows with an id; tag is a hash of the text that tells rows of one id apart."""
+    text = F.col(text_col).cast("string")
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 2, crowd: int = 64) -> DataFrame:
-    """(id, component) per row with an id: documents linked by a Jaccard similarity of shingle sets, verified exactly.
+    """(id, tag, component, first) per row with an id: documents linked by a Jaccard similarity of shingle sets, verified exactly.
 
-    At this similarity fingerprints differ in 10 bits and more, far beyond what blocks of 64 bits can find, so
+    component is the least id of a group, first the tag (hash of the text) of its least row. At this similarity
+    fingerprints differ in 10 bits and more, far beyond what blocks of 64 bits can find, so
     candidates come from two searches: fingerprints within `distance` by pigeonhole blocks, and bands of least
-    hashes, which miss a pair at 0.8 once in some 1,700 times. Documents of equal words are one row in both. Buckets
+    hashes, which miss a pair at 0.8 once in some 38,000 times. Texts of equal words are one node in both, whatever
+    their ids: a node is a text, not an id. Buckets
     of over crowd rows first pair all rows that also share the next band, and every row with the bucket's least; rows
     that this leaves in different components are then held against each other in full (crowd_links)."""
-    own = materialize(sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle), "sketches")
-    reps = materialize(own.groupBy("key").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "representatives")
+    docs = _rows(docs, id_col, text_col)
+    own = materialize(sketches(docs, shingle), "sketches")
+    reps = own.groupBy("key").agg(F.min(F.struct("id", "tag")).alias("r"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    # the numbers stand once the table is written, whatever task wrote which row
+    reps = materialize(reps.select(F.monotonically_increasing_id().alias("rep"), "key", "r.id", "r.tag", "fp", "bands"), "representatives")
+    nodes = reps.select(F.col("rep").alias("node"), "id", "tag")
     by_fp = materialize(reps.groupBy("fp").agg(F.min("rep").alias("least"), F.count("*").alias("n")), "classes")
     near = close_pairs(by_fp.select("fp"), distance, crowd)
     least = by_fp.select("fp", "least")
@@ -272,27 +283,40 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     deeper = keyed.join(crowded, ["t", "k"], "left_semi").select("rep", F.xxhash64("t", "k").alias("t"), F.xxhash64("k", F.element_at("all", F.pmod(F.col("t") + 1, F.size("all")) + 1)).alias("k"))
     pairs = close.unionByName(equal).unionByName(_within(keyed.select("rep", "t", "k"), crowd)).unionByName(_within(deeper, crowd))
     pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "candidates")
-    ids = pairs.select(F.col("u").alias("__id")).unionByName(pairs.select(F.col("v").alias("__id"))).distinct()
-    some = docs.select(id_col, text_col).join(ids, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    sets = materialize(shingle_sets(some, id_col, text_col, shingle), "shingles")
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
+    some = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    sets = materialize(shingle_sets(docs, nodes.join(some, "node", "left_semi"), shingle), "shingles")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     links = materialize(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"), "links")
     comp = materialize(components(links), "components")
     members = materialize(keyed.join(crowded, ["t", "k"], "left_semi").select("t", "k", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("t", "k", "rep", F.coalesce("component", "rep").alias("c")), "crowd_members")
-    more = materialize(crowd_links(members, docs, id_col, text_col, shingle, similarity), "crowd_links")
+    more = materialize(crowd_links(members, docs, nodes, shingle, similarity), "crowd_links")
     if not more.isEmpty():
         comp = materialize(components(links.unionByName(more)), "components")
-    named = reps.select("key", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component"))
-    return own.select("id", "key").join(named, "key").select("id", "component")
+    # texts of one row a group are their own answer; only linked ones are named by their group
+    linked = materialize(reps.select("key", "rep", "id", "tag").join(comp, F.col("rep") == F.col("node")).select("key", "component", "id", "tag"), "linked")
+    names = linked.groupBy("component").agg(F.min(F.struct("id", "tag")).alias("r"), F.count("*").alias("n"))
+    named = spread_join(linked.select("key", "component"), names, "component", linked.count()).select("key", "r")
+    named = named.unionByName(reps.join(comp, F.col("rep") == F.col("node"), "left_anti").select("key", F.struct("id", "tag").alias("r")))
+    sizes = own.groupBy("key").agg(F.count("*").alias("n"))
+    named = materialize(named.join(sizes, "key"), "named")
+    return spread_join(own.select("id", "tag", "key"), named, "key", own.count()).select("id", "tag", F.col("r.id").alias("component"), F.col("r.tag").alias("first"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without all but one document (the smallest id) of each group of similar ones; one row of repeated ids; null ids stay."""
+    """docs without all but one row (the smallest id) of each group of similar texts; rows without an id stay.
+
+    Rows are judged by their texts: different texts under one id are documents of their own, repeated rows are copies."""
     found = similar_groups(docs, id_col, text_col, shingle, similarity)
-    gone = found.where("component <> id").select(F.col("id").alias("__gone")).distinct()
-    kept = docs.where(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col("__gone"), "left_anti").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    found = materialize(found.select("id", "tag", ((F.col("id") == F.col("component")) & (F.col("tag") == F.col("first"))).alias("stays")).groupBy("id", "tag", "stays").agg(F.count("*").alias("n")), "decisions")
+    key, mark = free_name(docs, "id"), free_name(docs, "tag")
+    name = lambda df: df.select(F.col("id").alias(key), F.col("tag").alias(mark))
+    same = (F.col(id_col).cast("long") == F.col(key)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(mark))
+    again = found.where("stays AND n > 1")
+    if again.isEmpty():
+        return docs.join(name(found.where("NOT stays")), same, "left_anti")
+    once = docs.join(name(found.where("NOT stays OR n > 1")), same, "left_anti")
+    return once.unionByName(docs.join(name(again), same, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def op2(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import xxhash
+from pyspark.sql import functions as F
 
 from quarrylens.llm import simhash
 
@@ -134,3 +135,18 @@ def test_crowded_blocks_find_the_same_links(spark):
         assert comps(got) == comps(true)
     got = {r.node: r.component for r in simhash.components(simhash.close_pairs(df, 2, 3)).collect()}
     assert {x: got.get(x, x) for x in signed} == comps(true)
+
+
+def test_rows_are_judged_by_text_not_by_id(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(1, a, "x"), (2, a, "y"), (2, b, "z"), (3, b, "v"), (4, "own words only here now", "r"), (4, "own words only here now", "r"), (None, a, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id string").withColumn("__tag", F.col("__id"))
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted([tuple(r)[:3] for r in kept.collect()], key=str) == sorted([rows[0], rows[2], rows[4], rows[6]], key=str)
+
+
+def test_a_hot_key_meets_by_broadcast(spark):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(40)], "u long, v long")
+    got = {r.node: r.component for r in simhash.components(edges).collect()}
+    assert got == {i: 0 for i in range(3000)} | {5000 + i: 5000 for i in range(41)}
