@@ -4,8 +4,10 @@ Every node gets its characters per tag, lowered by how much of both is links (ag
 node's density sum is the sum of its children's densities. The subtree with the largest sum is content; the least
 density on its way up to the body is the threshold, and every other subtree whose way down from the body stays at or
 over that threshold gives up its own largest-sum subtree too. A chosen node inside an `article` or `main` element
-grows to that element. Elements that are never article text (scripts, forms, navigation, notices, adverts, reader
-comments, hidden ones; by tag, role or words of class and id) carry no characters and give no text.
+grows to that element. Elements that are never article text (scripts, forms, navigation, asides and the like; by tag,
+role or being hidden) carry no characters and give no text. Words of class and id that tell of notices, adverts or
+reader comments do the same where an `article` or `main` element holds text without them. Elsewhere they only weigh:
+a marked element counts MARKED of its density, so that density decides whether it is the page's text after all.
 
 Defined cases: a null or blank page, or one without text, gives an empty string; a page cut off anywhere is read as
 far as it goes, unclosed elements end with their parent; repeated rows give equal text; other columns are not read."""
@@ -60,44 +62,57 @@ ATTR = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+MARKED = 1 / 16
+
+
 class Dom:
-    """A page's elements in document order, by column, and its pieces of text (element, text); element -1: a block begins or ends."""
+    """A page's elements in document order, by column, and its pieces of text (element, text); element -1: a block begins or ends.
+
+    skip: never content; mark: the nearest element at or above whose class or id tells of something beside the text (-1: none);
+    article: the nearest article element at or above (-1: none)."""
 
     def __init__(self):
-        self.tag, self.parent, self.skip, self.text = ["html"], [-1], [False], []
+        self.tag, self.parent, self.skip, self.mark, self.article, self.text = ["html"], [-1], [False], [-1], [-1], []
 
 
-def _skipped(tag: str, raw: str, within_article: bool) -> bool:
-    if tag in NEVER:
-        return True
-    if tag == "header" and not within_article:
-        return True
+def _judged(tag: str, raw: str, within_article: bool) -> tuple[bool, bool]:
+    """(never content, marked by a word of class or id)."""
+    if tag in NEVER or tag == "header" and not within_article:
+        return True, False
     if not raw or "=" not in raw and "hidden" not in raw:
-        return False
+        return False, False
+    marked = False
     for name, a, b, c in ATTR.findall(raw):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
             words = {w.lower() for w in PART.findall(value)} & WORDS
-            if words and not (words <= {"header"} and within_article) and tag not in ("html", "body", "article", "main"):
-                return True
+            marked |= bool(words) and not (words <= {"header"} and within_article) and tag not in ("html", "body", "article", "main")
         elif name == "role" and value.strip().lower() in ROLES:
-            return True
+            return True, marked
         elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
-            return True
+            return True, marked
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return True, marked
+    return False, marked
+
+
+RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 
 
 def parse(page: str) -> Dom:
+    """The page's elements. Open elements are also kept by name, so that each tag costs steps by the number of names it may end, at any depth."""
     dom = Dom()
-    tags, parents, skips, texts = dom.tag, dom.parent, dom.skip, dom.text
-    stack, names, articles = [0], ["html"], [False]
+    tags, parents, skips, marks, articles, texts = dom.tag, dom.parent, dom.skip, dom.mark, dom.article, dom.text
+    stack = [0]
+    open_at: dict[str, list[int]] = {"html": [0]}  # places in the stack of the open elements of a name
     at, size = 0, len(page)
-    lower = None
+
+    def nearest(names) -> int:
+        return max((own[-1] for x in names if (own := open_at.get(x))), default=-1)
 
     def close(n: int) -> None:
-        del stack[n:], names[n:], articles[n:]
+        while len(stack) > n:
+            open_at[tags[stack.pop()]].pop()
 
     while at < size:
         m = TOKEN.search(page, at)
@@ -116,88 +131,82 @@ def parse(page: str) -> Dom:
                 texts.append((stack[-1], " "))
             if tag in BLOCK:
                 texts.append((-1, ""))
-            for i in range(len(names) - 1, 0, -1):
-                if names[i] == tag:
-                    close(i)
-                    break
+            if (i := nearest((tag,))) > 0:
+                close(i)
             continue
-        if tag == "html" or tag == "body" and "body" in names:
+        if tag == "html" or tag == "body" and open_at.get("body"):
             continue
         if tag in BLOCK:
             texts.append((-1, ""))
-            for i in range(len(names) - 1, 0, -1):
-                if names[i] == "p":
-                    close(i)
-                    break
-                if names[i] in FENCE:
-                    break
+            if (i := nearest(("p",))) > nearest(FENCE):
+                close(i)
         if tag in CLOSES:
             kind, fence = CLOSES[tag]
-            for i in range(len(names) - 1, 0, -1):
-                if names[i] in kind:
-                    close(i)
-                    break
-                if names[i] in fence:
-                    break
-        if tag == "body" and "head" in names:
-            close(names.index("head"))
-        node = len(tags)
+            if (i := nearest(kind)) > nearest(fence):
+                close(i)
+        if tag == "body" and open_at.get("head"):
+            close(open_at["head"][0])
+        node, up = len(tags), stack[-1]
+        never, marked = _judged(tag, rest, articles[up] >= 0)
         tags.append(tag)
-        parents.append(stack[-1])
-        skips.append(skips[stack[-1]] or _skipped(tag, rest, articles[-1]))
+        parents.append(up)
+        skips.append(skips[up] or never)
+        marks.append(node if marked else marks[up])
+        articles.append(node if tag in ARTICLE else articles[up])
         if tag in VOID:
             texts.append((node, " " if tag in ("br", "hr") else ""))
         elif tag in RAW:
-            lower = lower or page.lower()
-            end = lower.find("</" + tag, at)
-            at = size if end < 0 else end
-            if end >= 0:
-                stop = page.find(">", end)
-                at = size if stop < 0 else stop + 1
+            end = RAW_END[tag].search(page, at)
+            stop = page.find(">", end.end()) if end else -1
+            at = size if stop < 0 else stop + 1
         elif not rest.endswith("/") or tag in BLOCK or tag == "a":
+            open_at.setdefault(tag, []).append(len(stack))
             stack.append(node)
-            names.append(tag)
-            articles.append(articles[-1] or tag in ARTICLE)
     return dom
 
 
 def densities(dom: Dom, text: list[tuple[int, str]]) -> tuple[list[float], list[float]]:
-    """Composite density and density sum of every element."""
+    """Composite density and density sum of every element; what is marked counts MARKED of it outside itself.
+
+    The density of an element of C characters and T tags, LC and LT of them links, is C / T times the logarithm of
+    C / LC * T / LT to the base ln(LC * C / (C - LC) + C * share of links in the page + e); counts of none are one."""
     n = len(dom.tag)
-    chars, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
+    chars, links, tags, link_tags = [0.0] * n, [0.0] * n, [0.0] * n, [0.0] * n
     in_link = [False] * n
+    factor = [1.0] * n
     for i in range(n):
         up = dom.parent[i]
         in_link[i] = dom.tag[i] == "a" or up >= 0 and in_link[up]
+        factor[i] = (factor[up] if up >= 0 else 1.0) * (MARKED if dom.mark[i] == i else 1.0)
     for i, t in text:
         c = len(t) - t.count(" ")
         chars[i] += c
         links[i] += c if in_link[i] else 0
     for i in range(n - 1, 0, -1):
-        up = dom.parent[i]
         if dom.skip[i]:
             continue
-        chars[up] += chars[i]
-        links[up] += links[i]
-        tags[up] += tags[i] + 1
-        link_tags[up] += link_tags[i] + (dom.tag[i] == "a")
+        up, w = dom.parent[i], MARKED if dom.mark[i] == i else 1.0
+        chars[up] += w * chars[i]
+        links[up] += w * links[i]
+        tags[up] += w * (tags[i] + 1)
+        link_tags[up] += w * (link_tags[i] + (dom.tag[i] == "a"))
     share = links[0] / chars[0] if chars[0] else 0.0
     density = [0.0] * n
     for i in range(n):
-        if not chars[i] or dom.skip[i]:
+        c, lc = chars[i], links[i] or 1
+        if not c or dom.skip[i] or lc >= c:
             continue
-        c, t, lc, lt = chars[i], tags[i] or 1, links[i] or 1, link_tags[i] or 1
-        base = math.log(c / max(1, c - links[i]) * links[i] + share * c + math.e)
-        density[i] = c / t * max(0.0, math.log(max(1.0, c / lc * t / lt) + 1e-12)) / max(1e-9, math.log(base + 1e-9) if base > math.e else 1.0)
-        if lc >= c:
-            density[i] = 0.0
+        t, lt = tags[i] or 1, link_tags[i] or 1
+        base = math.log(lc * c / max(1, c - links[i]) + share * c + math.e)
+        density[i] = factor[i] * c / t * math.log(max(1.0, c / lc * t / lt)) / math.log(base)
     sums = [0.0] * n
     for i in range(1, n):
         sums[dom.parent[i]] += density[i]
     return density, sums
 
 
-def content_roots(dom: Dom, text: list[tuple[int, str]]) -> set[int]:
+def content_roots(dom: Dom, text: list[tuple[int, str]]) -> tuple[set[int], set[int]]:
+    """The elements whose text is content, and the marked elements that are content too."""
     density, sums = densities(dom, text)
     n = len(dom.tag)
     root = next((i for i in range(n) if dom.tag[i] == "body"), 0)
@@ -214,7 +223,12 @@ def content_roots(dom: Dom, text: list[tuple[int, str]]) -> set[int]:
             best[up] = best[i]
     top = best[root]
     if total[top] <= 0:
-        return {root} if any(own[i] for i in range(n)) else set()
+        return ({root} if any(own) else set()), set()
+    inside = {-1}  # no mark, or one that the largest sum stands in
+    i = dom.mark[top]
+    while i >= 0:
+        inside.add(i)
+        i = dom.mark[dom.parent[i]]
     threshold, i = density[top], top
     while i > root:
         i = dom.parent[i]
@@ -227,20 +241,12 @@ def content_roots(dom: Dom, text: list[tuple[int, str]]) -> set[int]:
     stack = [root]
     while stack:
         i = stack.pop()
-        if dom.skip[i] or density[i] < threshold:
+        if dom.skip[i] or dom.mark[i] not in inside or density[i] < threshold:
             continue
-        chosen.add(best[i])
+        if dom.mark[best[i]] in inside:
+            chosen.add(best[i])
         stack += children[i] if best[i] != i else []
-    grown = set()
-    for i in chosen:
-        j, outer = i, i
-        while j > 0:
-            if dom.tag[j] in ARTICLE:
-                outer = j
-                break
-            j = dom.parent[j]
-        grown.add(outer)
-    return grown
+    return {dom.article[i] if dom.article[i] >= 0 else i for i in chosen}, inside
 
 
 def main_text(page: str | None) -> str:
@@ -254,8 +260,11 @@ def main_text(page: str | None) -> str:
         headed[dom.parent[i]] |= headed[i]
     for i in range(1, n):
         dom.skip[i] |= dom.skip[dom.parent[i]] or dom.tag[i] == "header" and not headed[i]
+    if any(i >= 0 and not dom.skip[i] and dom.mark[i] < 0 and dom.article[i] >= 0 and t.strip() for i, t in dom.text):
+        for i in range(1, n):
+            dom.skip[i] |= dom.mark[i] >= 0
     text = [(i, html.unescape(t)) for i, t in dom.text if i < 0 or t and not dom.skip[i]]
-    roots = content_roots(dom, [(i, " ".join(t.split())) for i, t in text if i >= 0])
+    roots, marks = content_roots(dom, [(i, " ".join(t.split())) for i, t in text if i >= 0])
     if not roots:
         return ""
     inside = [False] * n
@@ -265,7 +274,7 @@ def main_text(page: str | None) -> str:
     for i, t in text:
         if i < 0:
             blocks.append([])
-        elif inside[i]:
+        elif inside[i] and (not marks or dom.mark[i] in marks):
             blocks[-1].append(t)
     return " ".join(x for x in (" ".join("".join(b).split()) for b in blocks) if x)
 

@@ -42,3 +42,72 @@ def test_query(spark):
     got = sorted([tuple(r) for r in htmltext.op4(df).collect()], key=str)
     assert got == sorted([(i, u, main_text(h), len(main_text(h))) for i, u, h in rows], key=str)
     assert htmltext.op4(df.limit(0)).count() == 0
+
+
+def test_density_decides_without_an_article(monkeypatch):
+    menu = "".join(f'<li><a href="/{i}">Link {i}</a></li>' for i in range(20))
+    for name in ("story-header", "related-work", "reply-body", "comment-body", "post-tags-content", "recommended-reading"):
+        page = wrap(f'<div><ul>{menu}</ul></div><div class="{name}"><p>{LONG}</p><p>{LONG} more</p></div><div class="cookie-note">We use cookies</div><p><a href=t>Terms</a></p>')
+        assert main_text(page) == f"{LONG} {LONG} more"
+    # where there is text without such words, they tell it from the rest
+    both = wrap(f'<div><p>{LONG}</p></div><div class="comments"><div class="comment"><p>{LONG} one</p></div><div class="comment"><p>{LONG} two</p></div></div>')
+    assert main_text(both) == LONG
+    two = wrap(f"<article><p>{LONG}</p><p>{LONG} more</p></article><article><a href=x>Teaser</a></article>")
+    assert main_text(two) == f"{LONG} {LONG} more"
+    monkeypatch.setattr(htmltext, "densities", lambda dom, text: ([1.0] * len(dom.tag), [1.0] * len(dom.tag)))
+    assert main_text(page) != f"{LONG} {LONG} more" and main_text(two) != f"{LONG} {LONG} more"
+
+
+def brute_densities(page):
+    """Density and sum of each unskipped element from its own subtree, by the published formula, one element at a time."""
+    import math
+
+    dom = htmltext.parse(page)
+    n = len(dom.tag)
+
+    def below(i, j):
+        while j >= 0 and j != i:
+            j = dom.parent[j]
+        return j == i
+
+    def linked(i):
+        while i >= 0 and dom.tag[i] != "a":
+            i = dom.parent[i]
+        return i >= 0
+
+    def counts(i):
+        text = [(j, "".join(t.split())) for j, t in dom.text if j >= 0 and below(i, j) and not dom.skip[j]]
+        kids = [j for j in range(n) if j != i and below(i, j) and not dom.skip[j]]
+        return sum(len(t) for _, t in text), sum(len(t) for j, t in text if linked(j)), len(kids), sum(dom.tag[j] == "a" for j in kids)
+
+    c0, l0, _, _ = counts(0)
+    out = []
+    for i in range(n):
+        c, links, t, lt = counts(i)
+        lc = links or 1
+        if dom.skip[i] or lc >= c:
+            out.append(0.0)
+            continue
+        base = math.log(lc * c / (c - links) + l0 / c0 * c + math.e)
+        out.append(c / (t or 1) * math.log(max(1, c / lc * (t or 1) / (lt or 1)), base))
+    return out, [sum(out[j] for j in range(1, n) if dom.parent[j] == i) for i in range(n)]
+
+
+def test_densities_against_the_formula():
+    page = wrap(f'<div>own <a href=x>link text</a><p>{LONG}</p><ul><li><a>{LONG}</a></li><li>z</li></ul></div><nav>no</nav><section><p>{LONG} <b>bold</b></p>tail</section>')
+    dom = htmltext.parse(page)
+    got = htmltext.densities(dom, [(i, " ".join(t.split())) for i, t in dom.text if i >= 0 and not dom.skip[i]])
+    for a, b in zip(got, brute_densities(page)):
+        assert all(abs(x - y) < 1e-9 * max(1, y) for x, y in zip(a, b))
+
+
+def test_offsets_and_depth():
+    import time
+
+    assert main_text("<article><p>" + "İ" * 20 + f"</p><script>x</script><p>{LONG}</p></article>") == "İ" * 20 + " " + LONG
+    start = time.perf_counter()
+    assert main_text("<div>" * 100_000 + LONG) == LONG
+    assert main_text("<article>" + "</em>" * 100_000 + LONG + "</article>") == LONG
+    assert main_text("<ul>" * 50_000 + "<li>" + LONG) == LONG
+    assert main_text("<article>" * 50_000 + LONG) == LONG
+    assert time.perf_counter() - start < 20
