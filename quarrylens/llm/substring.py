@@ -6,10 +6,13 @@ minimiser, so all equal windows meet in one bucket; sorting the windows there te
 their bytes, and gives the least document id of each. The bucket replies with word ranges of the documents that came
 later; ranges are merged per document and the words outside them are kept.
 
-Skew: a map task sends a string once, for its smallest id; its other holders are covered there and then. A minimiser
-that very many different strings share (the words around a common passage) is found by a counting pass over all
-rows, and its windows travel one by one to the bucket of their own hash. The list of such minimisers is at most
-HEAVY_MAX long, so it is sent with the task.
+Skew: a map task sends a string of a passage once or twice, for its smallest id; its other holders are covered there
+and then. A bucket does the same as strings arrive, so a passage of any number of documents takes the room of one. A
+minimiser that very many different strings share (the words around a common passage) is found by a counting pass over
+all rows, with counters that keep every share of 2 / HEAVY_MAX or more, and its windows travel one by one to the bucket
+of their own hash; the list of such minimisers is at most HEAVY_MAX long, so it is sent with the task. Should the
+strings of a bucket still pass HELD_BYTES, the windows of its largest minimisers go on to a second exchange, by the
+windows themselves, where they are only streamed in order.
 
 Defined cases: null and blank texts have no words; windows are judged on the input; repeated rows of one id have
 equal ids and do not remove each other's words; rows without an id lose nothing and cover nothing; an empty table
@@ -19,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +29,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, pieces, prepare, release, span_hashes, total_bytes, words_of
+from .common import free_name, materialize, mix64, pieces, prepare, release, span_hashes, total_bytes, words_of
 
 SLICE_BYTES = 5 << 20
 BUCKET_BYTES = 32 << 20
 HEAVY_MIN, HEAVY_MAX = 20_000, 65_536
-LOCAL_MIN = 8
+HELD_BYTES = 128 << 20
+MEMORY_BYTES = 16 << 20
+SLOTS = 1 << 20
 SORT_ENTRIES = 20_000
 
 
@@ -67,25 +71,34 @@ def _texts(part: pa.RecordBatch) -> list[bytes]:
     return [v.as_py() if v.is_valid else b"" for v in part.column(part.schema.get_field_index("text"))]
 
 
+def add_counts(keys: np.ndarray, counts: np.ndarray, k: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Running counts with those of (k, n) added; beyond `most` keys all counts fall by that of the first key too many, so none is short by over one part in `most` of all."""
+    every, at = np.unique(np.concatenate([keys, k]), return_inverse=True)
+    total = np.bincount(at, weights=np.concatenate([counts, n])).astype(np.int64)
+    if len(every) <= most:
+        return every, total
+    total -= np.partition(total, len(total) - most - 1)[len(total) - most - 1]
+    return every[total > 0], total[total > 0]
+
+
 def crowded_minimisers(docs: DataFrame, window: int, gram: int) -> np.ndarray:
-    """Minimisers that more than HEAVY_MIN different strings (and 1 / HEAVY_MAX of all) share, counted over all rows."""
+    """Minimisers that more than HEAVY_MIN different strings (and 1 / HEAVY_MAX of all, 2 / HEAVY_MAX for sure) share, counted over all rows."""
 
     def run(batches):
-        many, total = Counter(), 0
+        keys, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         for part in pieces(batches, "text", SLICE_BYTES):
-            joined, starts, ends, counts = words_of(_texts(part))
-            key, a, b = super_kmers(joined, starts, ends, counts, window, gram)
+            joined, starts, ends, words = words_of(_texts(part))
+            key, a, b = super_kmers(joined, starts, ends, words, window, gram)
             if not len(key):
                 continue
             whole = span_hashes(np.frombuffer(joined, np.uint8), starts[a], ends[b + window - 1])
             _, one = np.unique(whole, return_index=True)
             k, n = np.unique(key[one], return_counts=True)
             total += len(one)
-            for x, c in zip(k[n > 1].tolist(), n[n > 1].tolist()):
-                many[x] += c
-        found = [(x, c) for x, c in many.items() if c >= LOCAL_MIN]
-        ks, cs = [x for x, _ in found] + [0], [c for _, c in found] + [total]
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(ks, np.uint64).view(np.int64)), pa.array(cs, pa.int64()), pa.array([False] * len(found) + [True])], ["k", "n", "total"])
+            keys, counts = add_counts(keys, counts, k, n, HEAVY_MAX)
+        sure = counts > 1
+        ks, cs = np.append(keys[sure], np.uint64(0)), np.append(counts[sure], total)
+        yield pa.RecordBatch.from_arrays([pa.array(ks.view(np.int64)), pa.array(cs, pa.int64()), pa.array(np.arange(len(ks)) == len(ks) - 1)], ["k", "n", "total"])
 
     counted = materialize(docs.mapInArrow(run, "k long, n long, total boolean").groupBy("total", "k").agg(F.sum("n").alias("n")), "minimisers")
     total = counted.where("total").agg(F.sum("n")).first()[0] or 0
@@ -93,7 +106,32 @@ def crowded_minimisers(docs: DataFrame, window: int, gram: int) -> np.ndarray:
     return np.sort(np.array([r.k for r in heavy.collect()], np.int64).view(np.uint64))
 
 
-def _pack(joined, starts, ends, counts, ids, tags, window, gram, heavy, buckets):
+class Memory:
+    """Strings that a task has met in two of its slices, each with the least id it was sent for.
+
+    Which strings were met before is kept by their hashes in a table of fixed size; those met again are kept by their
+    bytes, up to MEMORY_BYTES. What is forgotten is only sent once more."""
+
+    def __init__(self):
+        self.least: dict[bytes, int] = {}
+        self.size = 0
+        self.table = np.zeros(SLOTS, np.int64)
+
+    def learn(self, strings: list[bytes], ids: list[int]) -> None:
+        if not strings:
+            return
+        h = np.fromiter(map(hash, strings), np.int64, len(strings)) | 1
+        at = (h >> 8) & (SLOTS - 1)
+        for i in np.flatnonzero(self.table[at] == h).tolist():
+            self.size += 0 if strings[i] in self.least else len(strings[i]) + 100
+            self.least[strings[i]] = ids[i]
+        self.table[at] = h
+        if self.size > MEMORY_BYTES:
+            self.least.clear()
+            self.size = 0
+
+
+def _pack(joined, starts, ends, counts, ids, tags, window, gram, heavy, buckets, memory):
     """Blobs (bucket, bytes) of one slice of documents in order of their ids."""
     key, a, b = super_kmers(joined, starts, ends, counts, window, gram)
     doc = np.repeat(np.arange(len(counts)), counts)
@@ -107,27 +145,34 @@ def _pack(joined, starts, ends, counts, ids, tags, window, gram, heavy, buckets)
             key, a, b = np.concatenate([key[~single], k]), np.concatenate([a[~single], w]), np.concatenate([b[~single], w])
             order = np.argsort(a, kind="stable")
             key, a, b = key[order], a[order], b[order]
-    seen: dict[bytes, int] = {}
+    seen: dict[bytes, int] = {}  # the entry of a string; -1: an earlier slice has sent it for a smaller id
     sent: list[tuple[int, int]] = []  # index of the super-k-mer, document
     more: list[tuple[int, int]] = []  # entry, first word of a repeat in the same document
-    known: list[list[int]] = []  # document, from, to: covered by an earlier document of this slice
+    known: list[list[int]] = []  # document, from, to: covered by an earlier document of this task
+    before = memory.least
     rows = zip(range(len(key)), doc[a].tolist() if len(a) else [], a.tolist(), b.tolist(), starts[a].tolist() if len(a) else [], ends[b + window - 1].tolist() if len(b) else [])
     for i, d, x, y, s, e in rows:
         p = joined[s:e]
         at = seen.setdefault(p, len(sent))
         if at == len(sent):
-            sent.append((i, d))
-            continue
-        other = sent[at][1]
-        if ids[other] == ids[d]:
-            if other == d:
-                more.append((at, int(x - base[d])))
-            elif tags[other] != tags[d]:
-                sent.append((i, d))  # another text under the same id: asks for itself
-        elif known and known[-1][0] == d and known[-1][2] >= x - base[d]:
+            if p not in before or before[p] >= ids[d]:
+                sent.append((i, d))
+                continue
+            seen[p] = at = -1
+        if at >= 0:
+            other = sent[at][1]
+            if ids[other] == ids[d]:
+                if other == d:
+                    more.append((at, int(x - base[d])))
+                elif tags[other] != tags[d]:
+                    sent.append((i, d))  # another text under the same id: asks for itself
+                continue
+        if known and known[-1][0] == d and known[-1][2] >= x - base[d]:
             known[-1][2] = int(y - base[d] + window)
         else:
             known.append([d, int(x - base[d]), int(y - base[d] + window)])
+    fresh = [(p, at) for p, at in seen.items() if at >= 0]
+    memory.learn([p for p, _ in fresh], [ids[sent[at][1]] for _, at in fresh])
     out = []
     pick = np.array([i for i, _ in sent], np.int64)
     which = np.array([d for _, d in sent], np.int64)
@@ -174,67 +219,170 @@ def _runs(offsets: list[int]) -> list[tuple[int, int]]:
     return [(x, y) for x, y in out]
 
 
-def _bucket(blobs: list[bytes], window: int):
-    """Columns (id, tag, from, to) that one bucket finds."""
-    load = zstandard.ZstdDecompressor().decompress
-    got = [pickle.loads(load(x)) for x in blobs]
-    out: list[tuple[np.ndarray, ...]] = [p[9] for p in got if p[9] is not None]
-    keys = np.concatenate([p[0] for p in got])
-    if len(keys):
+class Entries:
+    """Super-k-mers of some blobs, by column: key, document (an index of ids and tags), first word, text and repeats."""
+
+    def __init__(self, got: list[tuple]):
         doc_at = np.cumsum([0] + [len(p[1]) for p in got])
-        ids, tags = np.concatenate([p[1] for p in got]), np.concatenate([p[2] for p in got])
-        doc = np.concatenate([p[3].astype(np.int64) + n for p, n in zip(got, doc_at)])
-        first = np.concatenate([p[4] for p in got])
-        length = np.concatenate([p[5] for p in got]).astype(np.int64)
-        texts = [p[6] for p in got]
-        source = np.repeat(np.arange(len(got)), [len(p[0]) for p in got])
-        text_at = np.cumsum([0] + [len(x) for x in texts])
-        repeats, again = np.concatenate([p[7] for p in got]).astype(np.int64), np.concatenate([p[8] for p in got])
-        del got
-        offset, again_at = np.cumsum(length) - length - text_at[source], np.cumsum(repeats) - repeats
-        order = np.argsort(keys, kind="stable")
-        cut = np.flatnonzero(np.diff(keys[order])) + 1
-        lows, highs = np.concatenate([[0], cut]), np.concatenate([cut, [len(keys)]])
+        self.keys = np.concatenate([p[0] for p in got])
+        self.ids, self.tags = np.concatenate([p[1] for p in got]), np.concatenate([p[2] for p in got])
+        self.doc = np.concatenate([p[3].astype(np.int64) + n for p, n in zip(got, doc_at)])
+        self.first = np.concatenate([p[4] for p in got])
+        self.length = np.concatenate([p[5] for p in got]).astype(np.int64)
+        self.texts = [p[6] for p in got]
+        self.source = np.repeat(np.arange(len(got)), [len(p[0]) for p in got])
+        text_at = np.cumsum([0] + [len(x) for x in self.texts])
+        self.repeats, self.again = np.concatenate([p[7] for p in got]).astype(np.int64), np.concatenate([p[8] for p in got])
+        self.offset, self.again_at = np.cumsum(self.length) - self.length - text_at[self.source], np.cumsum(self.repeats) - self.repeats
+
+    def text(self, e: int) -> bytes:
+        return self.texts[self.source[e]][self.offset[e] : self.offset[e] + self.length[e]]
+
+    def places(self, e: int) -> list[int]:
+        """First words of every occurrence of the string in its document."""
+        return [int(self.first[e]), *self.again[self.again_at[e] : self.again_at[e] + self.repeats[e]].tolist()]
+
+    def pick(self, rows: np.ndarray) -> tuple:
+        """These entries as one payload."""
+        again = [self.again[self.again_at[e] : self.again_at[e] + self.repeats[e]] for e in rows[self.repeats[rows] > 0].tolist()]
+        used, local = np.unique(self.doc[rows], return_inverse=True)
+        text = b"".join([self.text(e) for e in rows.tolist()])
+        return self.keys[rows], self.ids[used], self.tags[used], local.astype(np.uint32), self.first[rows], self.length[rows], text, self.repeats[rows], np.concatenate(again or [np.zeros(0, np.int64)]), None
+
+
+def _word_starts(p: bytes) -> list[int]:
+    """Where each word of a packed string begins, and one past its end where another would."""
+    ws = [0]
+    x = p.find(b" ")
+    while x >= 0:
+        ws.append(x + 1)
+        x = p.find(b" ", x + 1)
+    ws.append(len(p) + 1)
+    return ws
+
+
+class Bucket:
+    """What one bucket has received. `add` and `finish` return rows (id, tag, from, to, window): found ranges (window None),
+    and windows that the second exchange judges."""
+
+    def __init__(self, window: int, held_bytes: int = HELD_BYTES):
+        self.window, self.most = window, held_bytes
+        self.got: list[tuple] = []
+        self.size = 0
+        self.passed = np.zeros(0, np.uint32)  # keys whose windows go on to the second exchange
+
+    def add(self, blob: bytes) -> list[tuple]:
+        p = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+        rows = list(zip(*[x.tolist() for x in p[9]], [None] * len(p[9][0]))) if p[9] is not None else []
+        if len(self.passed) and (on := np.isin(p[0], self.passed)).any():
+            e = Entries([p])
+            rows += self._windows(e, np.flatnonzero(on))
+            p = e.pick(np.flatnonzero(~on))
+        if len(p[0]):
+            self.got.append(p)
+            self.size += len(p[6]) + 40 * len(p[0])
+        if self.size > self.most:
+            rows += self._reduce()
+        return rows
+
+    def _windows(self, e: Entries, which: np.ndarray) -> list[tuple]:
+        out = []
+        for x in which.tolist():
+            p, d = e.text(x), e.doc[x]
+            ws = _word_starts(p)
+            for s in e.places(x):
+                out += [(int(e.ids[d]), int(e.tags[d]), s + j, s + j + self.window, p[ws[j] : ws[j + self.window] - 1]) for j in range(len(ws) - self.window)]
+        return out
+
+    def _reduce(self) -> list[tuple]:
+        """Of equal strings one stays, of the least id; then the largest keys go on, until half of the room is free."""
+        e, rows = Entries(self.got), []
+        best: dict[bytes, int] = {}
+        keep = np.ones(len(e.keys), bool)
+        who, tag = e.ids[e.doc], e.tags[e.doc]
+        for x in range(len(e.keys)):
+            p = e.text(x)
+            y = best.setdefault(p, x)
+            if x == y:
+                continue
+            if who[x] == who[y]:
+                keep[x] = tag[x] != tag[y]  # a repeated row asks once
+                continue
+            if who[x] < who[y]:
+                best[p], x, y = x, y, x
+            keep[x] = False
+            n = len(_word_starts(p)) - 1
+            rows += [(int(who[x]), int(tag[x]), s, s + n, None) for s in e.places(x)]
+        left = np.flatnonzero(keep)
+        keys, at = np.unique(e.keys[left], return_inverse=True)
+        weight = np.bincount(at, weights=e.length[left] + 40)
+        if weight.sum() > self.most / 2:
+            order = np.argsort(-weight, kind="stable")
+            out = order[: 1 + int(np.searchsorted(np.cumsum(weight[order]), weight.sum() - self.most / 2))]
+            gone = np.isin(at, out)
+            rows += self._windows(e, left[gone])
+            self.passed = np.union1d(self.passed, keys[out])
+            left = left[~gone]
+        self.got = [e.pick(left)] if len(left) else []
+        self.size = sum(len(p[6]) + 40 * len(p[0]) for p in self.got)
+        return rows
+
+    def finish(self) -> list[tuple]:
+        if not self.got:
+            return []
+        e, window, rows = Entries(self.got), self.window, []
+        self.got = []
+        order = np.argsort(e.keys, kind="stable")
+        cut = np.flatnonzero(np.diff(e.keys[order])) + 1
+        lows, highs = np.concatenate([[0], cut]), np.concatenate([cut, [len(e.keys)]])
         flagged: dict[int, list[int]] = {}
         for lo, hi in zip(lows[highs - lows > 1].tolist(), highs[highs - lows > 1].tolist()):
             own = order[lo:hi]
-            who = ids[doc[own]]
+            who = e.ids[e.doc[own]]
             if (who == who[0]).all():
                 continue
+            spans = list(zip(own.tolist(), who.tolist(), e.source[own].tolist(), e.offset[own].tolist(), (e.offset[own] + e.length[own]).tolist()))
             rounds = -(-len(own) // SORT_ENTRIES)
             for r in range(rounds):
                 found: list[tuple[bytes, int, int, int]] = []
-                for e, i in zip(own.tolist(), who.tolist()):
-                    p = texts[source[e]][offset[e] : offset[e] + length[e]]
-                    ws = [0]
-                    x = p.find(b" ")
-                    while x >= 0:
-                        ws.append(x + 1)
-                        x = p.find(b" ", x + 1)
-                    ws.append(len(p) + 1)
+                for x, i, source, low, high in spans:
+                    p = e.texts[source][low:high]
+                    ws = _word_starts(p)
                     for j in range(len(ws) - window):
                         w = p[ws[j] : ws[j + window] - 1]
                         if rounds == 1 or hash(w) % rounds == r:
-                            found.append((w, i, e, j))
+                            found.append((w, i, x, j))
                 found.sort()
                 before, least = None, 0
-                for w, i, e, j in found:
+                for w, i, x, j in found:
                     if w != before:
                         before, least = w, i
                     elif i > least:
-                        flagged.setdefault(e, []).append(j)
-        rows = []
-        for e, offsets in flagged.items():
-            for x, y in _runs(sorted(offsets)):
-                for s in [int(first[e]), *again[again_at[e] : again_at[e] + repeats[e]].tolist()]:
-                    rows.append((doc[e], s + x, s + y + window))
-        if rows:
-            r = np.array(rows, np.int64)
-            out.append((ids[r[:, 0]], tags[r[:, 0]], r[:, 1], r[:, 2]))
-    return [np.concatenate(c) for c in zip(*out)] if out else None
-
-
-def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 3) -> DataFrame:
+                        flagged.setdefault(x, []).append(j)
+        for x, offsets in flagged.items():
+            i, t = int(e.ids[e.doc[x]]), int(e.tags[e.doc[x]])
+            for lo, hi in _runs(sorted(offsets)):
+                rows += [(i, t, s + lo, s + hi + window, None) for s in e.places(x)]
+        return rows
+
+
+def _judge_windows(rows: DataFrame) -> DataFrame:
+    """(id, tag, lo, hi) of the windows (w) that a smaller id holds too: equal ones stand together, the least id first."""
+
+    def run(batches):
+        before, least = None, 0
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for r, (w, i) in enumerate(zip(batch.column(4).to_pylist(), batch.column(0).to_pylist())):
+                if w != before:
+                    before, least = w, i
+                keep[r] = i > least
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep))
+
+    return rows.repartition("w").sortWithinPartitions("w", "id").mapInArrow(run, "id long, tag long, lo long, hi long")
+
+
+def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 3, held_bytes: int = HELD_BYTES) -> DataFrame:
     """(id, tag, lo, hi): words lo to hi - 1 of a text (tag: its hash) lie in windows that start in a document with a smaller id."""
     spark = docs.sparkSession
     prepare(spark)
@@ -246,40 +394,43 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heavy = crowded_minimisers(slim, window, gram)
 
     def send(batches):
+        memory = Memory()
         for part in pieces(batches, "text", SLICE_BYTES):
             ids, tags = part.column(0).to_numpy(), part.column(1).to_numpy()
             order = np.argsort(ids, kind="stable")
             texts = _texts(part)
             joined, starts, ends, counts = words_of([texts[i] for i in order])
-            rows = _pack(joined, starts, ends, counts, ids[order].tolist(), tags[order].tolist(), window, gram, heavy, buckets)
+            rows = _pack(joined, starts, ends, counts, ids[order].tolist(), tags[order].tolist(), window, gram, heavy, buckets, memory)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "blob"])
 
-    names = ["id", "tag", "lo", "hi"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def tables(rows):
+        for i in range(0, len(rows), 20_000):
+            columns = list(zip(*rows[i : i + 20_000]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "tag", "lo", "hi", "w"])
 
     def meet(batches):
-        now, blobs = None, []
+        bucket = Bucket(window, held_bytes)
         for batch in batches:
-            for t, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if t != now and blobs:
-                    if (cols := _bucket(blobs, window)) is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
-                    blobs = []
-                    release()
-                now = t
-                blobs.append(x.as_py())
-        if blobs and (cols := _bucket(blobs, window)) is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+            for x in batch.column(1):
+                yield from tables(bucket.add(x.as_py()))
+        yield from tables(bucket.finish())
+        release()
 
-    blobs = slim.mapInArrow(send, "bucket int, blob binary")
-    return blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "id long, tag long, lo long, hi long")
+    # a partition holds one bucket
+    blobs = slim.mapInArrow(send, "bucket int, blob binary").repartitionById(buckets, "bucket")
+    met = materialize(blobs.mapInArrow(meet, "id long, tag long, lo long, hi long, w binary"), "ranges")
+    return met.where("w IS NULL").drop("w").unionByName(_judge_windows(met.where("w IS NOT NULL")))
 
 
-def _with_ranges(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int) -> DataFrame:
-    """docs with __cut, the word ranges to remove (null: none)."""
-    cut = repeated_ranges(docs, id_col, text_col, window, gram).groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("__cut"))
-    cut = cut.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), "__cut")
-    return docs.join(cut, (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__tag")), "left").drop("__id", "__tag")
+def _with_ranges(docs: DataFrame, name: str, id_col: str, text_col: str, window: int, gram: int) -> DataFrame:
+    """docs with the column `name`, the word ranges to remove (null: none)."""
+    key, tag = free_name(docs, "id"), free_name(docs, "tag")
+    cut = repeated_ranges(docs, id_col, text_col, window, gram).groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias(name))
+    cut = cut.select(F.col("id").alias(key), F.col("tag").alias(tag), name)
+    return docs.join(cut, (F.col(id_col).cast("long") == F.col(key)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(tag)), "left").drop(key, tag)
 
 
 def _keep_mask(n: int, lo, hi) -> np.ndarray:
@@ -309,7 +460,8 @@ def cut_text(text: str, lo, hi) -> str:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, window: int = 13, gram: int = 3) -> DataFrame:
     """docs with repeated windows cut from the text (length_col: gets the new number of code points); a document left without words goes, one that had none stays."""
     prepare(docs.sparkSession)
-    marked = _with_ranges(docs, id_col, text_col, window, gram)
+    cut = free_name(docs, "cut")
+    marked = _with_ranges(docs, cut, id_col, text_col, window, gram)
 
     names = docs.columns
     at = names.index(text_col)
@@ -328,14 +480,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
 
     kinds = docs.select(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in names]).schema
-    rows = marked.select(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in names], F.col("__cut.lo").alias("__lo"), F.col("__cut.hi").alias("__hi"))
+    rows = marked.select(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in names], F.col(f"{cut}.lo").alias(free_name(docs, "lo")), F.col(f"{cut}.hi").alias(free_name(docs, "hi")))
     return rows.mapInArrow(run, kinds)
 
 
 def op5(docs: DataFrame) -> DataFrame:
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    marked = _with_ranges(slim, "doc_id", "text", 13, 3)
-    marked = marked.select("doc_id", F.col("text").cast("binary").alias("text"), F.col("__cut.lo").alias("lo"), F.col("__cut.hi").alias("hi"))
+    marked = _with_ranges(slim, "cut", "doc_id", "text", 13, 3)
+    marked = marked.select("doc_id", F.col("text").cast("binary").alias("text"), F.col("cut.lo").alias("lo"), F.col("cut.hi").alias("hi"))
 
     def finish(batches):
         for part in pieces(batches, "text", 4 << 20):

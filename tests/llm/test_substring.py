@@ -51,7 +51,6 @@ def test_against_all_windows(spark, monkeypatch):
     assert substring.op5(df.limit(0)).count() == 0
     heavy = substring.crowded_minimisers
     monkeypatch.setattr(substring, "HEAVY_MIN", 5)
-    monkeypatch.setattr(substring, "LOCAL_MIN", 2)
     slim = df.where("doc_id is not null").selectExpr("doc_id AS id", "xxhash64(text) AS tag", "cast(text AS binary) AS text")
     assert len(heavy(slim, 13, 4)) > 0
     monkeypatch.setattr(substring, "SORT_ENTRIES", 7)
@@ -64,3 +63,55 @@ def test_texts_keep_everything_else(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
     out = {r.doc_id: (r.text, r.n_chars) for r in substring.remove_repeats(df, length_col="n_chars").collect()}
     assert out == {1: (rows[0][1], 0), 2: ("  my own\nand tail ", 18), 4: ("", 0), 5: (None, 0)}
+
+
+def ranges(found):
+    gone = {}
+    for i, t, lo, hi in found:
+        gone.setdefault((i, t), set()).update(range(lo, hi))
+    return gone
+
+
+def test_overfull_buckets_give_the_same_ranges(spark):
+    rows = corpus()
+    rnd = random.Random(9)
+    passage = " ".join(f"everywhere{i}" for i in range(30))
+    rows += [(1000 + i, f"own{i} " * 3 + passage + f" end{i} of{rnd.randrange(9)} it") for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = ranges([tuple(r) for r in substring.repeated_ranges(df).collect()])
+    assert {i for i, _ in want if i >= 1001} == set(range(1001, 1150))
+    for held in (0, 3000):
+        assert ranges([tuple(r) for r in substring.repeated_ranges(df, held_bytes=held).collect()]) == want
+
+
+def test_slices_of_one_task_send_a_passage_few_times():
+    import numpy as np
+
+    passage = " ".join(f"p{i}" for i in range(25)).encode()
+    memory, sent, found = substring.Memory(), 0, []
+    bucket = substring.Bucket(13)
+    docs = list(range(40))
+    random.Random(1).shuffle(docs)
+    for d in docs:
+        text = b"a%d b%d c%d " % (d, d, d) + passage
+        joined, starts, ends, counts = substring.words_of([text])
+        for _, blob in substring._pack(joined, starts, ends, counts, [d], [d], 13, 3, np.zeros(0, np.uint64), 1, memory):
+            sent += len(blob)
+            found += bucket.add(blob)
+    found += bucket.finish()
+    assert memory.least and len(bucket.got) == 0
+    assert ranges([r[:4] for r in found]) == {(d, d): set(range(3, 28)) for d in range(1, 40)}
+
+
+def test_counts_fall_short_by_a_known_share():
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    every = np.minimum(rnd.zipf(1.3, 30_000), 10**6).astype(np.uint64)
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for part in np.array_split(every, 30):
+        keys, counts = substring.add_counts(keys, counts, *np.unique(part, return_counts=True), 100)
+        assert len(keys) <= 100
+    true = dict(zip(*np.unique(every, return_counts=True)))
+    got = dict(zip(keys.tolist(), counts.tolist()))
+    assert all(true[k] - got.get(int(k), 0) <= len(every) / 100 for k in true) and all(got[k] <= true[np.uint64(k)] for k in got)
