@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, prepare
+from .common import free_name, pieces, prepare
 
 SLICE_BYTES = 2 << 20
 
@@ -282,10 +282,11 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
     """The columns named in keep, with text and n_chars (code points), per row."""
     prepare(pages.sparkSession)
-    slim = pages.select(*keep, F.col(html_col).cast("string").alias("__html"))
+    whole = free_name(pages, "html")
+    slim = pages.select(*keep, F.col(html_col).cast("string").alias(whole))
 
     def run(batches):
-        for part in pieces(batches, "__html", SLICE_BYTES):
+        for part in pieces(batches, whole, SLICE_BYTES):
             text = [main_text(x) for x in part.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keep))], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], [*keep, "text", "n_chars"])
 

@@ -5,8 +5,9 @@ at HASHES places, and AND-ing the masks at those places returns every language t
 look-up. Over a whole text, the popcount of each bit is the number of n-grams that language contains plus its false
 positives, whose rate is known from how full its slice is; the corrected count decides.
 
-A language's filter holds the n-grams that make up at least MIN_SHARE of its own n-grams and are not far commoner in
-another (SPECIFIC). It is fitted on at most `per_language` labelled rows a language (least hash of id first), texts
+A language's filter holds the n-grams that make up at least MIN_SHARE of its own n-grams (the KEEP commonest at most:
+about what the array takes at one false positive in a hundred for each of the languages); others may hold them too.
+It is fitted on at most `per_language` labelled rows a language (least hash of id first), texts
 whole; the array has a fixed size, so what is sent to tasks does not grow with the data.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; ties go to the first language in order;
@@ -21,13 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, pieces, prepare
+from .common import free_name, mix64, pieces, prepare
 
 ORDERS = (1, 2, 3, 4)
 SLOTS = 1 << 20
 HASHES = 3
 MIN_SHARE = 2e-6
-SPECIFIC = 0.2
 KEEP = 60_000
 SLICE_BYTES = 384 << 10
 UNKNOWN = "und"
@@ -114,18 +114,6 @@ class Filter:
         return names, np.where(has, np.clip(score, 0, 1), 0.0)
 
 
-def choose(tables: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
-    """From each language's (n-gram hashes, shares): those to put into its filter."""
-    if not tables:
-        return {}
-    every = np.unique(np.concatenate([h for h, _ in tables.values()]))
-    most = np.zeros(len(every))
-    for h, share in tables.values():
-        at = np.searchsorted(every, h)
-        most[at] = np.maximum(most[at], share)
-    return {k: h[share >= SPECIFIC * most[np.searchsorted(every, h)]] for k, (h, share) in tables.items()}
-
-
 def gram_table(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """A language's commonest n-grams with their shares."""
     hs, ns = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -160,7 +148,7 @@ def fit(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text_c
     got = near.groupBy("lang").applyInPandas(table, "lang string, h array<long>, share array<double>").collect()
     tables = {r.lang: (np.array(r.h, np.int64).view(np.uint64), np.array(r.share)) for r in got}
     languages = sorted(tables)
-    return Filter(languages, choose(tables))
+    return Filter(languages, {k: h for k, (h, _) in tables.items()})
 
 
 def identify(docs: DataFrame, model: Filter, keep: list[str], text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
@@ -168,10 +156,11 @@ def identify(docs: DataFrame, model: Filter, keep: list[str], text_col: str = "t
     spark = docs.sparkSession
     prepare(spark)
     sent = spark.sparkContext.broadcast(model)
-    slim = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    whole = free_name(docs, "text")
+    slim = docs.select(*keep, F.col(text_col).cast("string").alias(whole))
 
     def run(batches):
-        for part in pieces(batches, "__text", SLICE_BYTES):
+        for part in pieces(batches, whole, SLICE_BYTES):
             names, score = sent.value.predict(part.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keep))], pa.array(names, pa.string()), pa.array(score, pa.float64())], [*keep, lang_as, score_as])
 
@@ -191,5 +180,6 @@ def op10(docs: DataFrame) -> DataFrame:
 def accept(docs: DataFrame, min_score: float = 0.05) -> DataFrame:
     """docs whose language can be told: a letter at all, and a score of min_score or more. All columns stay."""
     model = fit(docs.where(~held_out()))
-    found = identify(docs, model, docs.columns, lang_as="__lang", score_as="__score")
-    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= min_score)).select(*docs.columns)
+    lang, score = free_name(docs, "lang"), free_name(docs, "score")
+    found = identify(docs, model, docs.columns, lang_as=lang, score_as=score)
+    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= min_score)).select(*docs.columns)

@@ -13,7 +13,8 @@ driver holds one row a source.
 
 Defined cases: null and empty texts take no room and stand with the row after them; null is a source of its own;
 sources without a target get the least target of all, targets without rows are ignored; repeated rows keep all
-copies, side by side; an empty table gives no rows."""
+copies, side by side; a text of more than block_chars characters stays whole: its block is longer by what it has beyond
+that, and slots count blocks; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -105,6 +106,12 @@ def interleave(docs: DataFrame, weights: dict[str | None, float] | None = None,
     """docs with __source_block and __slot (order: __slot, then __shuffle), and the number of slots.
 
     weights: target of each source; None: the square root of its characters, which lifts small sources."""
+    out, slots = _interleave(docs, weights, block_chars, period, key_col, source_col, text_col, seed)
+    return out.select("row.*", F.col("block").alias("__source_block"), F.col("slot").alias("__slot"), F.col("shuffle").alias("__shuffle")), slots
+
+
+def _interleave(docs: DataFrame, weights: dict[str | None, float] | None, block_chars: int, period: int = 1000, key_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17) -> tuple[DataFrame, int]:
+    """(row: all columns of docs, block, slot, shuffle) and the number of slots; rows travel packed, so their names meet no others."""
     prepare(docs.sparkSession)
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))
     size = F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0)).cast("long")
@@ -116,18 +123,19 @@ def interleave(docs: DataFrame, weights: dict[str | None, float] | None = None,
         given = {NO_SOURCE if k is None else k: w for k, w in weights.items() if w > 0}
         target = {k: given.get(k, min(given.values(), default=1.0)) for k in sums}
     schedule = Schedule(blocks, target, period)
-    keyed = docs.withColumn("__source", source).withColumn("__size", size).withColumn("__shuffle", F.shiftrightunsigned(F.xxhash64(F.col(key_col).cast("string"), F.lit(seed)), 11))
+    shuffle = F.shiftrightunsigned(F.xxhash64(F.col(key_col).cast("string"), F.lit(seed)), 11)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source.alias("source"), size.alias("size"), shuffle.alias("shuffle"), F.col(key_col).cast("string").alias("key"))
     if not sums:
-        return keyed.withColumn("__source_block", F.lit(0).cast("long")).withColumn("__slot", F.lit(0).cast("long")).drop("__source", "__size"), 0
-    ranges = F.create_map(*[x for k, (n, _) in sums.items() for x in (F.lit(k), F.lit(max(1, math.isqrt(n))))])[F.col("__source")]
-    keyed = keyed.withColumn("__range", F.floor(F.col("__shuffle") * ranges / F.lit(float(1 << 53))).cast("long"))
-    parts = keyed.groupBy("__source", "__range").agg(F.sum("__size").alias("__chars"))
-    along = Window.partitionBy("__source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("__source", "__range", F.coalesce(F.sum("__chars").over(along), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("__source", "__range").orderBy("__shuffle", F.col(key_col).cast("string"), "__size").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("__before") + F.coalesce(F.sum("__size").over(inside), F.lit(0))
-    last = F.create_map(*[x for k, n in blocks.items() for x in (F.lit(k), F.lit(n - 1))])[F.col("__source")]
-    placed = keyed.join(parts, ["__source", "__range"]).withColumn("__source_block", F.least(F.floor(start / F.lit(block_chars)).cast("long"), last.cast("long")))
+        return keyed.select("row", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("slot"), "shuffle"), 0
+    ranges = F.create_map(*[x for k, (n, _) in sums.items() for x in (F.lit(k), F.lit(max(1, math.isqrt(n))))])[F.col("source")]
+    keyed = keyed.withColumn("range", F.floor(F.col("shuffle") * ranges / F.lit(float(1 << 53))).cast("long"))
+    parts = keyed.groupBy("source", "range").agg(F.sum("size").alias("chars"))
+    along = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("source", "range", F.coalesce(F.sum("chars").over(along), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("source", "range").orderBy("shuffle", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    last = F.create_map(*[x for k, n in blocks.items() for x in (F.lit(k), F.lit(n - 1))])[F.col("source")]
+    placed = keyed.join(parts, ["source", "range"]).withColumn("block", F.least(F.floor(start / F.lit(block_chars)).cast("long"), last.cast("long")))
     sent = docs.sparkSession.sparkContext.broadcast(schedule)
 
     @F.pandas_udf("long")
@@ -138,7 +146,7 @@ def interleave(docs: DataFrame, weights: dict[str | None, float] | None = None,
             out[at] = sent.value.slot(k, block[at])
         return pd.Series(out)
 
-    return placed.withColumn("__slot", slot("__source", "__source_block")).drop("__source", "__size", "__range", "__before"), schedule.slots
+    return placed.select("row", "block", slot("source", "block").alias("slot"), "shuffle"), schedule.slots
 
 
 def op1(docs: DataFrame) -> DataFrame:
@@ -148,7 +156,7 @@ def op1(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_chars: int = 65_536) -> DataFrame:
     """docs in mixed order: partitions hold consecutive slots, rows in order within; all rows and columns stay."""
-    out, slots = interleave(docs, weights, block_chars)
+    out, slots = _interleave(docs, weights, block_chars)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = out.repartitionById(n, F.floor(F.col("__slot") * n / max(1, slots)).cast("int")).sortWithinPartitions("__slot", "__shuffle")
-    return out.select(*docs.columns)
+    out = out.repartitionById(n, F.floor(F.col("slot") * n / max(1, slots)).cast("int")).sortWithinPartitions("slot", "shuffle")
+    return out.select("row.*")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_view, hash_of, mix64, prepare, span_hashes, span_sums
+from .common import byte_view, free_name, hash_of, mix64, prepare, span_hashes, span_sums
 from .common import pieces as slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -169,12 +169,16 @@ class Lattice:
             share[a:b] = p / np.repeat(total_p, size)
         own = np.empty(len(share))
         own[order] = share
-        upto = np.cumsum(own)
         first = np.concatenate([[True], final[1:] != final[:-1]])
         begin = np.flatnonzero(first)
         self.first = np.zeros(nodes, np.int32)  # a node's first arc
         self.first[final[begin]] = begin
-        self.upto = upto - np.repeat(upto[begin] - own[begin], np.diff(np.append(begin, len(final))))
+        # shares are summed node by node, so that no rounding of other nodes of the slice comes in
+        left, at = np.diff(np.append(begin, len(final))), begin
+        while (more := left > 1).any():
+            at, left = at[more] + 1, left[more] - 1
+            own[at] += own[at - 1]
+        self.upto = own
         self.upto[np.append(begin[1:] - 1, len(final) - 1)] = 2.0
         self.forward = forward
 
@@ -217,8 +221,11 @@ def decode(vocab: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> tuple[np.n
     return raw[keep], edge - np.concatenate([[0], np.cumsum(counts > 0)])
 
 
-def encode(vocab: Vocabulary, texts: list[bytes], seeds: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, one after another, and the number of ids of each."""
+def encode(vocab: Vocabulary, texts: list[bytes], seeds: np.ndarray, alpha: float, by_bytes: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, one after another, and the number of ids of each.
+
+    Equal chunks share a lattice, by a hash of their bytes; should the decoded texts tell that different chunks shared
+    one, texts are taken one by one, and such a text's chunks by their bytes."""
     joined = b"".join([b" " + t for t in texts if t])
     full = np.array([bool(t) for t in texts], bool)
     if not joined:
@@ -233,7 +240,11 @@ def encode(vocab: Vocabulary, texts: list[bytes], seeds: np.ndarray, alpha: floa
     a = np.flatnonzero(start)
     b = np.append(a[1:], len(raw))
     doc = np.searchsorted(begin, a, "right") - 1
-    h = span_hashes(raw, a, b)
+    if by_bytes:
+        seen: dict[bytes, int] = {}
+        h = np.array([seen.setdefault(joined[x:y], len(seen)) for x, y in zip(a.tolist(), b.tolist())], np.int64)
+    else:
+        h = span_hashes(raw, a, b)
     _, pick, which = np.unique(h, return_index=True, return_inverse=True)
     lattice = Lattice(vocab, raw, a[pick], b[pick], alpha)
     number = np.arange(len(a)) - np.searchsorted(doc, doc)
@@ -243,8 +254,10 @@ def encode(vocab: Vocabulary, texts: list[bytes], seeds: np.ndarray, alpha: floa
     counts[full] = np.bincount(doc, weights=per_chunk, minlength=int(full.sum())).astype(np.int64)
     back, edge = decode(vocab, ids, counts)
     if back.tobytes() != b"".join(texts):
+        if by_bytes:
+            raise AssertionError("decoding lost bytes")
         if len(texts) == 1:
-            raise RuntimeError("two different chunks of one text share a hash; use another slice")
+            return encode(vocab, texts, seeds, alpha, by_bytes=True)
         parts = [encode(vocab, [t], seeds[i : i + 1], alpha) for i, t in enumerate(texts)]
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     return ids, counts
@@ -255,18 +268,19 @@ def tokenize(docs: DataFrame, keep: list[str], key_col: str = "doc_id", text_col
     spark = docs.sparkSession
     prepare(spark)
     sent = spark.sparkContext.broadcast(Vocabulary(model))
-    slim = docs.select(*keep, F.xxhash64(F.col(key_col).cast("string"), F.lit(seed)).alias("__seed"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("__text"))
+    name, whole = free_name(docs, "seed"), free_name(docs, "text")
+    slim = docs.select(*keep, F.xxhash64(F.col(key_col).cast("string"), F.lit(seed)).alias(name), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias(whole))
     k = len(keep)
 
     def run(batches):
         vocab = sent.value
-        for part in slices(batches, "__text", SLICE_BYTES):
+        for part in slices(batches, whole, SLICE_BYTES):
             raw, off = byte_view(part.column(k + 1))
             texts = [raw[x:y].tobytes() for x, y in zip(off[:-1].tolist(), off[1:].tolist())]
             ids, counts = encode(vocab, texts, part.column(k).to_numpy().view(np.uint64), alpha)
             back, edge = decode(vocab, ids, counts)
-            whole = back.tobytes()
-            sha = [hashlib.sha256(whole[x:y]).hexdigest() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist())]
+            out = back.tobytes()
+            sha = [hashlib.sha256(out[x:y]).hexdigest() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist())]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(k)], lists, pa.array(counts, pa.int32()), pa.array(sha, pa.string())], [*keep, "ids", "n_ids", "decoded_sha256"])
 

@@ -16,13 +16,16 @@ not read."""
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, pieces, prepare, span_hashes
+from .common import free_name, mix64, pieces, prepare, span_hashes
 
 SIZE = 1 << 18
 SLICE_BYTES = 512 << 10
@@ -30,11 +33,25 @@ BLOCK = 64
 PARTS = (("word", 0), ("head", 4), ("head", 5), ("head", 6), ("tail", 4))
 
 
+@cache
+def _uneven() -> re.Pattern:
+    """Characters whose lower-case form takes another number of bytes."""
+    size = lambda c: len(c.encode("utf-8", "surrogatepass"))
+    return re.compile("([" + "".join(c for c in map(chr, range(128, 0x20000)) if size(c.lower()) != size(c)) + "])")
+
+
+def lower_in_place(text: str) -> str:
+    """The text in lower case, every character at its place: those that would change their length stay."""
+    if text.isascii() or not _uneven().search(text):
+        return text.lower()
+    return "".join(p if i % 2 else p.lower() for i, p in enumerate(_uneven().split(text)))
+
+
 class Tokens:
     """Tokens of several texts: spans in the joined bytes, the text of each, and hashed features."""
 
     def __init__(self, texts: list[str]):
-        low = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+        low = [lower_in_place(t).encode("utf-8", "surrogatepass") for t in texts]
         sizes = np.fromiter(map(len, low), np.int64, len(low))
         self.raw = np.frombuffer(b" ".join([*low, b""]), np.uint8)
         blank = (self.raw == 32) | ((self.raw >= 9) & (self.raw <= 13))
@@ -245,28 +262,32 @@ class Model:
         tokens, p = self.tags(texts)
         return summaries(p, tokens.doc, len(texts))
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        if self.weights is None:
-            return np.zeros(len(texts))
-        return 1 / (1 + np.exp(-np.clip(self.summary(texts) @ self.curve, -30, 30)))
-
-    def spans(self, texts: list[str], least: float = 0.5) -> list[list[tuple[int, int, float]]]:
-        """Per text: (first, past last, largest marginal) of each offending run, in bytes of the lower-cased UTF-8 text."""
+    def judge(self, texts: list[str], least: float = 0.5) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
+        """The score of each text, and its offending runs: (first, past last, largest marginal), in characters of the text."""
         out: list[list[tuple[int, int, float]]] = [[] for _ in texts]
         if self.weights is None:
-            return out
+            return np.zeros(len(texts)), out
         tokens, p = self.tags(texts)
-        before = -2
-        for i in np.flatnonzero(p >= least).tolist():
-            d = int(tokens.doc[i])
-            s, e = int(tokens.s[i] - tokens.base[d]), int(tokens.e[i] - tokens.base[d])
-            if before == i - 1 and out[d]:
-                s0, _, q = out[d].pop()
-                out[d].append((s0, e, max(q, float(p[i]))))
-            else:
-                out[d].append((s, e, float(p[i])))
-            before = i
-        return out
+        hit = np.flatnonzero(p >= least)
+        if len(hit):
+            before = np.concatenate([[0], np.cumsum((tokens.raw & 0xC0) != 0x80)])  # characters before a byte
+            d = tokens.doc[hit]
+            own = before[tokens.base[d]]
+            starts, ends = before[tokens.s[hit]] - own, before[tokens.e[hit]] - own
+            joins = np.append(False, (np.diff(hit) == 1) & (d[1:] == d[:-1]))
+            for doc, s, e, q, join in zip(d.tolist(), starts.tolist(), ends.tolist(), p[hit].tolist(), joins.tolist()):
+                if join:
+                    s, _, most = out[doc].pop()
+                    q = max(q, most)
+                out[doc].append((s, e, q))
+        x = summaries(p, tokens.doc, len(texts)) @ self.curve
+        return 1 / (1 + np.exp(-np.clip(x, -30, 30))), out
+
+    def score(self, texts: list[str]) -> np.ndarray:
+        return self.judge(texts)[0]
+
+    def spans(self, texts: list[str], least: float = 0.5) -> list[list[tuple[int, int, float]]]:
+        return self.judge(texts, least)[1]
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2500) -> Model:
@@ -300,20 +321,21 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2500) -> Model:
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", spans: bool = False) -> DataFrame:
-    """The columns named in keep, with score (and spans, if asked for), per row; every text is read whole."""
+    """The columns named in keep, with score (and spans, offsets in characters of the text, if asked for), per row; every text is read whole."""
     spark = docs.sparkSession
     prepare(spark)
     sent = spark.sparkContext.broadcast(model)
-    slim = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    whole = free_name(docs, "text")
+    slim = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(whole))
     names = [*keep, "score", *["spans"] * spans]
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
 
     def run(batches):
-        for part in pieces(batches, "__text", SLICE_BYTES):
-            texts = part.column(len(keep)).to_pylist()
-            cols = [*[part.column(i) for i in range(len(keep))], pa.array(sent.value.score(texts), pa.float64())]
+        for part in pieces(batches, whole, SLICE_BYTES):
+            scores, runs = sent.value.judge(part.column(len(keep)).to_pylist())
+            cols = [*[part.column(i) for i in range(len(keep))], pa.array(scores, pa.float64())]
             if spans:
-                found = [[{"start": s, "end": e, "marginal": p} for s, e, p in x] for x in sent.value.spans(texts)]
-                cols.append(pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))))
+                cols.append(pa.array([[{"start": s, "end": e, "marginal": p} for s, e, p in x] for x in runs], kind))
             yield pa.RecordBatch.from_arrays(cols, names)
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
@@ -326,5 +348,5 @@ def held_out(column: str = "doc_id") -> F.Column:
 
 def op6(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs.where(~held_out()), labels.where(~held_out()).select("doc_id", "toxic"))
-    out = score(docs.withColumn("held_out", held_out()).select("doc_id", "held_out", "text"), model, ["doc_id", "held_out"])
-    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+    out = score(docs.withColumn("held_out", held_out()).select("doc_id", "held_out", "text"), model, ["doc_id", "held_out"], spans=True)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")

@@ -48,3 +48,18 @@ def test_sliced_filter_equals_sets_and_corrects():
                 hit &= mask[p]
             assert ((hit >> mask.dtype.type(b % 64)) & mask.dtype.type(1)).all()
         assert (f.rate < 0.01).all()
+
+
+def test_counts_against_exact_sets():
+    """Predictions and corrected popcounts against look-ups in exact sets."""
+    import numpy as np
+
+    train = {"aa": [f"lorem ipsum dolor number {i} sit" for i in range(40)], "bb": [f"quick brown foxes {i} over lazy dogs" for i in range(40)], "cc": ["один два три четыре пять"] * 40}
+    tables = {k: langid.gram_table(v) for k, v in train.items()}
+    model = langid.Filter(sorted(tables), {k: h for k, (h, _) in tables.items()})
+    texts = ["ipsum dolor", "lazy foxes over", "два три", "ipsum foxes четыре", "12 34", None]
+    found, total, has = model.counts(texts)
+    h, doc, _ = langid.ngrams(texts)
+    exact = np.array([[np.isin(h[doc == d], tables[k][0]).sum() for k in sorted(tables)] for d in range(len(texts))])
+    assert (np.abs(found - exact) <= 1 + 0.01 * total[:, None]).all() and not has[4] and not has[5]
+    assert model.predict(texts)[0][:3] == ["aa", "bb", "cc"] and model.predict(texts)[0][4:] == ["und", "und"]

@@ -60,3 +60,26 @@ def test_file_and_row_give_the_schedules_order(spark, tmp_path):
     got = cp.encode(spark, spark.read.parquet(f"{tmp_path}/mix"), "").collect()
     assert slots > 4 and len({r.file for r in got}) > 1
     assert [r.doc_id for r in sorted(got, key=lambda r: (r.file, r.row))] == want
+
+
+def test_stages_with_nulls_repeats_and_clashing_names(spark, tmp_path):
+    rnd = random.Random(8)
+    text = lambda n: " ".join(f"some{rnd.randrange(10**6)} letters" for _ in range(n))
+    a, b = text(40), text(30)
+    rows = [(1, a, "en", "s"), (1, b, "en", "s"), (2, a, None, None), (2, a, None, None), (None, b, "en", "s"), (None, None, "en", "s"), (3, text(5), "de", "t"), (4, "", None, "t"), (5, text(20_000), "en", "t")]
+    names = "__lang __text __score __id __tag __cut __lo __hi __source __range __slot __shuffle row slot block key tag id text_ size source_".split()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(*r, 0, *names) for r in rows], schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in cp.STAGES[:-1]:
+        table = stage(spark, table, str(tmp_path))
+        assert table.columns == docs.columns
+        table.write.parquet(f"{tmp_path}/{name}")
+        table = spark.read.parquet(f"{tmp_path}/{name}")
+        assert all([r[n] for n in names] == names for r in table.collect())
+        if name == "language":
+            assert sorted(str(r.doc_id) for r in table.collect()) == ["1", "1", "2", "2", "3", "5", "None"]
+    left = sorted((str(r.doc_id), r.text) for r in table.collect())
+    assert left == sorted([("1", a), ("1", b), ("None", b), ("3", rows[6][1]), ("5", rows[8][1])])
+    assert sorted(str(r.doc_id) for r in cp.encode(spark, table, str(tmp_path)).collect()) == ["1", "1", "3", "5", "None"]

@@ -74,3 +74,13 @@ def test_held_out_documents_and_edges(spark):
     assert spans and all(any(b in text[s.start : s.end] for b in bad) for s in spans)
     assert {r.score for r in toxicity.op6(docs, marks.where("toxic = 0")).collect()} == {0.0}
     assert toxicity.op6(docs.limit(0), marks).count() == 0
+
+
+def test_offsets_are_places_of_the_text():
+    text = "İẞ K Abc ÉÜ Σ"
+    assert len(toxicity.lower_in_place(text).encode()) == len(text.encode()) and toxicity.lower_in_place(text)[-7:-4] == "bc "[:3]
+    bad = "İİİ ẞoo Zurk rest of é text"
+    texts = [f"word{i} plain text here" for i in range(60)] + [f"word{i} zurk text" for i in range(60)]
+    model = toxicity.Model.learn(texts, np.arange(120) >= 60)
+    _, runs = model.judge([bad, "", "plain"])
+    assert [bad[a:b] for a, b, _ in runs[0]] == ["Zurk"] and runs[1:] == [[], []]
