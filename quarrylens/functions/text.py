@@ -61,3 +61,11 @@ def search_pattern(c: F.Column) -> F.Column:
     words = F.filter(F.split(F.lower(c), r"\s+"), lambda w: (F.octet_length(w) > 2) & ~w.isin(STOP_WORDS))
     found = F.transform(words, lambda w: regex_escape(stem(w)))
     return F.when(F.size(found) == 0, regex_escape(c)).otherwise(F.concat_ws("|", found))
+
+
+def epoch_text(seconds: F.Column) -> F.Column:
+    """Seconds since 1970 as `YYYY-MM-DD HH:MM:SS UTC`, whatever the session's time zone."""
+    day, rest = F.floor(seconds / 86_400).cast("int"), F.pmod(seconds, F.lit(86_400))
+    two = lambda c: F.lpad(F.floor(c).cast("string"), 2, "0")
+    clock = F.concat_ws(":", two(rest / 3600), two(F.pmod(rest, F.lit(3600)) / 60), two(F.pmod(rest, F.lit(60))))
+    return F.concat(F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), day), "yyyy-MM-dd"), F.lit(" "), clock, F.lit(" UTC"))

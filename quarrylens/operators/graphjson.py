@@ -26,6 +26,35 @@ EDGE_WEIGHTS = {"Circular": 2.0, "Extends": 1.5, "Implements": 1.5, "Calls": 1.2
 MODULE_FILES = ["mod.rs", "lib.rs", "main.rs", "index.ts", "index.tsx", "index.js", "index.jsx", "__init__.py"]
 
 
+# Masses and sizes of the drawn view by kind, and how they change with the number of nodes.
+MASSES = {"project": 50, "package": 30, "module": 20, "folder": 15, "file": 3, "class": 5, "interface": 5, "struct": 5, "trait": 5, "function": 2, "method": 2, "impl_method": 2, "enum": 2, "component": 2, "type": 1.5, "macro": 1.5}
+MASS_FACTORS = [(5_000, 2.0), (1_000, 1.5)]
+SIZES = {"project": 20, "package": 18, "module": 16, "folder": 15, "file": 7, "class": 5, "struct": 5, "interface": 5, "trait": 5, "enum": 4.5, "component": 4.5, "function": 4, "method": 4, "impl_method": 4, "type": 3.5, "macro": 3.5}
+SIZE_FACTORS = [(50_000, 0.4, 1.0), (20_000, 0.5, 1.5), (5_000, 0.65, 2.0), (1_000, 0.8, 2.5)]  # over so many nodes: factor, least size
+
+
+def _by_kind(kind: F.Column, values: dict[str, float], rest: float) -> F.Column:
+    table = F.create_map(*[F.lit(x) for k, v in values.items() for x in (k, float(v))])
+    return F.coalesce(F.try_element_at(table, F.lower(kind)), F.lit(rest))
+
+
+def node_mass(kind: F.Column, nodes: F.Column) -> F.Column:
+    """The mass of a node of the drawn view."""
+    factor = F.lit(1.0)
+    for least, f in reversed(MASS_FACTORS):
+        factor = F.when(nodes >= least, f).otherwise(factor)
+    return _by_kind(kind, MASSES, 1.0) * factor
+
+
+def scaled_size(kind: F.Column, nodes: F.Column) -> F.Column:
+    """The size of a node of the drawn view: smaller in large graphs, down to a least size."""
+    own = _by_kind(kind, SIZES, 3.0)
+    out = own
+    for over, f, least in reversed(SIZE_FACTORS):
+        out = F.when(nodes > over, F.greatest(own * f, F.lit(least))).otherwise(out)
+    return out
+
+
 def edge_weight(kind: F.Column) -> F.Column:
     out = F.lit(1.0)
     for k, v in EDGE_WEIGHTS.items():

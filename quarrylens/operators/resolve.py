@@ -237,7 +237,8 @@ def python_imports(parsed: DataFrame, files: DataFrame, max_hops: int = 10) -> D
     found = found.join(ended, "rid", "left").withColumn("target", F.coalesce("end", "target"))
     head = F.split("module", r"\.")[0]
     std = (F.col("level") == 0) & head.isin(sorted(sys.stdlib_module_names))
-    dst = F.when(F.col("target").isNotNull(), F.col("target")).when((F.col("level") == 0) & (std | (head != "")), F.concat(F.lit("pkg:"), head))
+    # the standard library comes first: a project file of such a name does not hide it
+    dst = F.when(std, F.concat(F.lit("pkg:"), head)).when(F.col("target").isNotNull(), F.col("target")).when((F.col("level") == 0) & (head != ""), F.concat(F.lit("pkg:"), head))
     spec = F.concat(F.repeat(F.lit("."), F.col("level").cast("int")), "module")
     kind = F.when(F.col("how") == "PythonConditional", "ConditionalImport").otherwise("ResolvedImport")
     return found.select("src", dst.alias("dst"), spec.alias("specifier"), "seq", F.when(dst.isNull(), "not found").alias("reason"), kind.alias("kind"))

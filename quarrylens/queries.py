@@ -598,3 +598,6 @@ def p1(spark, sf):
     body = """CASE c_custkey % 4 WHEN 0 THEN 'export class C' || c_custkey || ' { run() { go(); } }\nexport const f = () => 1;\n' WHEN 1 THEN 'pub struct S' || c_custkey || ';\nimpl S { pub fn new() {} }\n' WHEN 2 THEN 'class C' || c_custkey || ':\n    def m(self): pass\n' ELSE 'package p\ntype T' || c_custkey || ' struct {}\nfunc (t *T) M() {}\n' END"""
     files = table(spark, sf, "customer").selectExpr("'f' || c_custkey || CASE c_custkey % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.rs' WHEN 2 THEN '.py' ELSE '.go' END AS path", f"{body} AS content")
     return symbol_table(parse_sources(files)).select("file", "name", "kind", "line", "line_end", "is_exported")
+
+
+from . import project_queries  # noqa: E402, F401 - registers the queries over generated projects

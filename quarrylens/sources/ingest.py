@@ -14,7 +14,7 @@ from ..operators.resolve import Manifests, resolve
 from ..plans.lineage import cut
 from ..schema import DECORATOR, CodeGraph
 from .parsers import parse_file
-from .walk import cargo_crates, file_table, go_modules, node_workspaces, other_files, source_files
+from .walk import cargo_crates, file_table, go_modules, node_workspaces, other_files, project_options, source_files, typescript_paths
 
 _FLAT = f"name: string, kind: string, line: int, col: int, line_end: int, is_exported: boolean, is_default: boolean, visibility: string, trait_impl: string, decorators: array<{DECORATOR}>"
 _SPEC = "struct<name: string, alias: string, is_default: boolean, is_namespace: boolean>"
@@ -55,13 +55,17 @@ def symbol_table(parsed: DataFrame) -> DataFrame:
 
 
 def build(files: DataFrame, exclude: list[str] | None = None, languages: list[str] | None = None, ts_paths: dict[str, str] | None = None) -> tuple[CodeGraph, DataFrame]:
-    """(graph, parse results) of a project's files (path, content, ...)."""
+    """(graph, parse results) of a project's files (path, content, ...).
+
+    The configuration file at the root adds to exclude; path patterns come from its tsconfig.json unless ts_paths are given."""
     spark = files.sparkSession
+    exclude = [*(exclude or []), *project_options(files).exclude]
+    ts_paths = typescript_paths(files) if ts_paths is None else ts_paths
     sources, others = source_files(files, exclude, languages), other_files(files, exclude)
     parsed = cut(parse_sources(sources))
     table = file_table(sources.join(parsed.select("path"), "path", "left_semi")).unionByName(file_table(others))
     g = CodeGraph.empty(spark).with_(files=cut(table), symbols=cut(symbol_table(parsed)))
-    manifests = Manifests(node_workspaces(files), cargo_crates(files), go_modules(files), ts_paths or {})
+    manifests = Manifests(node_workspaces(files), cargo_crates(files), go_modules(files), ts_paths)
     g = resolve(g, parsed, manifests)
     langs = located(g).select("symbol_id", "language")
     return g.with_(symbols=with_frameworks(g.symbols.join(langs, "symbol_id", "left")).drop("language")), parsed

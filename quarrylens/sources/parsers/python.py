@@ -1,8 +1,9 @@
-"""Python files, by the language's own parser."""
+"""Python files, by the language's own parser; statements with syntax errors are left out."""
 
 from __future__ import annotations
 
 import ast
+import re
 
 from .scan import decorator, imported, result, specifier, symbol
 
@@ -39,8 +40,36 @@ def _all_names(tree: ast.Module) -> set[str] | None:
     return None
 
 
+BLANK = re.compile(r"[^\n]")
+
+
+def _tree(text: str) -> ast.Module:
+    """The module; of one with syntax errors, the top-level statements that parse, at their own lines."""
+    try:
+        return ast.parse(text)
+    except SyntaxError as e:
+        fault = e  # the name of the handler ends with it
+    lines = text.splitlines(keepends=True)
+    # a statement begins at an unindented line that does not go on with the one before
+    starts = [i for i, x in enumerate(lines) if x.strip() and not x[0].isspace() and not re.match(r"(?:else|elif|except|finally)\b|[)\]}#]", x)]
+    body: list[ast.stmt] = []
+    held = 0  # decorators belong to the statement below them
+    for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(lines)])):
+        if lines[a].startswith("@") and i + 1 < len(starts):
+            held = held or a + 1
+            continue
+        first, held = (held - 1 if held else a), 0
+        try:
+            body += ast.parse(BLANK.sub("", "".join(lines[:first])) + "".join(lines[first:b])).body
+        except SyntaxError:
+            continue
+    if not body:
+        raise fault
+    return ast.Module(body, [])
+
+
 def parse(text: str, ext: str = "py") -> dict:
-    tree, out = ast.parse(text), result()
+    tree, out = _tree(text), result()
     exported = _all_names(tree)
     shown = lambda name: name in exported if exported is not None else not name.startswith("_")
 
@@ -87,8 +116,7 @@ def parse(text: str, ext: str = "py") -> dict:
         elif isinstance(s, ast.TypeAlias):
             out["symbols"].append(symbol(s.name.id, "type", s.lineno, s.col_offset, s.end_lineno, shown(s.name.id), visibility="pub" if shown(s.name.id) else "private"))
         for n in names:
-            if n != "__all__":
-                out["symbols"].append(symbol(n, "variable", s.lineno, s.col_offset, s.end_lineno, shown(n), visibility="pub" if shown(n) else "private"))
+            out["symbols"].append(symbol(n, "variable", s.lineno, s.col_offset, s.end_lineno, shown(n), visibility="pub" if shown(n) else "private"))
 
     def imports(s: ast.stmt, conditional: bool) -> None:
         kind = "PythonConditional" if conditional else "PythonAbsolute"

@@ -165,19 +165,16 @@ def _imports(s: Source, out: dict) -> None:
 
 
 def _exports(s: Source, out: dict) -> None:
+    """Export clauses by the names that their source gives them, star and default exports; exported declarations are symbols, not exports."""
     for m in re.finditer(r"\bexport\b", s.code):
         if s.depth[m.start()]:
             continue
-        t = s.text
-        if x := re.compile(r"export\s+(?:type\s+)?\*\s*(?:as\s+([\w$]+)\s*)?from\s*(['\"])([^'\"]*)\2").match(t, m.start()):
-            out["exports"].append({"kind": "ReExport" if x[1] else "ReExportAll", "names": [x[1]] if x[1] else [], "source": x[3]})
-        elif x := re.compile(r"export\s+(?:type\s+)?\{([^}]*)\}\s*(?:from\s*(['\"])([^'\"]*)\2)?").match(t, m.start()):
-            out["exports"].append({"kind": "ReExport" if x[3] else "Named", "names": [a for a, _ in _names(x[1])], "source": x[3]})
-        elif re.compile(r"export\s+default\b").match(t, m.start()):
-            x = re.compile(r"export\s+default\s+(?:async\s+|abstract\s+)*(?:function\s*\*?|class)?\s*([A-Za-z_$][\w$]*)?").match(t, m.start())
-            out["exports"].append({"kind": "Default", "names": [x[1]] if x[1] else [], "source": None})
-        elif (x := DECL.match(s.code, m.start())) and (name := x["name"] or x["ename"] or x["vname"]):
-            out["exports"].append({"kind": "Named", "names": [name], "source": None})
+        if x := re.compile(r"export\s+(?:type\s+)?\*\s*from\s*(['\"])([^'\"]*)\1").match(s.text, m.start()):
+            out["exports"].append({"kind": "ReExportAll", "names": [], "source": x[2]})
+        elif x := re.compile(r"export\s+(?:type\s+)?\{([^}]*)\}\s*(?:from\s*(['\"])([^'\"]*)\2)?").match(s.text, m.start()):
+            out["exports"].append({"kind": "ReExport" if x[3] else "Named", "names": [original or local for local, original in _names(x[1])], "source": x[3]})
+        elif re.compile(r"export\s+default\b").match(s.text, m.start()):
+            out["exports"].append({"kind": "Default", "names": [], "source": None})
 
 
 def _relationships(s: Source, out: dict, heads: set[int]) -> None:

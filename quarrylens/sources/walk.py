@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import fnmatch
+import json
 import re
 import tomllib
 from dataclasses import dataclass, field
@@ -30,11 +30,51 @@ class Options:
 
     @staticmethod
     def from_toml(content: str) -> Options:
-        t = tomllib.loads(content)
+        """Options of a configuration text; what cannot be read leaves the defaults."""
+        try:
+            t = tomllib.loads(content)
+        except tomllib.TOMLDecodeError:
+            return Options()
         impact = t.get("impact", {})
         return Options(list(t.get("exclude", [])), int(impact.get("high_threshold", 20)), int(impact.get("medium_threshold", 5)))
 
 
+OPTIONS_FILE = "quarrylens.toml"
+
+
+def _root_text(files: DataFrame, name: str) -> str | None:
+    """The text of one file at the root; such files are small."""
+    row = files.where(F.col("path") == name).select(F.col("content").cast("string").alias("c")).first()
+    return row.c if row else None
+
+
+def project_options(files: DataFrame) -> Options:
+    """What the configuration file at the root sets."""
+    text = _root_text(files, OPTIONS_FILE)
+    return Options.from_toml(text) if text else Options()
+
+
+def typescript_paths(files: DataFrame) -> dict[str, str]:
+    """Path patterns of the tsconfig.json at the root with the first folder each stands for; comments and spare commas are allowed."""
+    text = _root_text(files, "tsconfig.json")
+    if not text:
+        return {}
+    bare = re.sub(r'("(?:[^"\\]|\\.)*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", text, flags=re.S)
+    try:
+        options = json.loads(re.sub(r",(\s*[}\]])", r"\1", bare)).get("compilerOptions", {})
+    except (ValueError, AttributeError):
+        return {}
+    base = str(PurePosixPath(options.get("baseUrl", ".")))
+    base = "" if base == "." else base + "/"
+    return {k: base + re.sub(r"^(?:\./)+", "", v[0]) for k, v in options.get("paths", {}).items() if v}
+
+
+def _glob(pattern: str) -> str:
+    """A pattern over folders as a regular expression; stars stay within a folder, two stars do not."""
+    parts = re.split(r"(\*\*/?|\*|\?)", re.sub(r"^(?:\./)+|/+$", "", pattern))
+    return "^" + "".join({"*": "[^/]*", "?": "[^/]", "**": ".*", "**/": "(?:.*/)?"}.get(x, re.escape(x)) for x in parts) + "$"
+
+
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, size, mtime, content) of all files below root, paths relative to it."""
     root = root.rstrip("/")
@@ -129,8 +169,6 @@ def node_workspaces(files: DataFrame) -> DataFrame:
     patterns: list[str] = []
     for r in root:
         if r.path == "package.json":
-            import json
-
             try:
                 w = json.loads(r.c).get("workspaces", [])
             except ValueError:
@@ -140,13 +178,21 @@ def node_workspaces(files: DataFrame) -> DataFrame:
             patterns += re.findall(r"^\s*-\s*['\"]?([^'\"\s]+)", r.c, re.M)
     keep = F.lit(False)
     for p in patterns:
-        keep = keep | F.col("dir").rlike(fnmatch.translate(p.strip("./").rstrip("/")).replace(".*", "[^/]*").replace(r"\Z", "$").replace(r"\z", "$"))
+        keep = keep | F.col("dir").rlike(_glob(p))
     has_src = files.where(F.col("path").rlike("/src/")).select(F.regexp_extract("path", "^(.*?)/src/", 1).alias("dir"), F.lit(True).alias("src")).distinct()
     return packs.where(F.col("name").isNotNull() & (F.col("dir") != "") & keep).join(has_src, "dir", "left").select("name", F.when(F.col("src"), F.concat("dir", F.lit("/src"))).otherwise(F.col("dir")).alias("dir"))
 
 
 def cargo_crates(files: DataFrame) -> DataFrame:
-    """(crate_name, root): each manifest's package, dashes as underscores, and its root file ([lib] path, src/lib.rs, src/main.rs)."""
+    """(crate_name, root): each package, dashes as underscores, and its root file ([lib] path, src/lib.rs, src/main.rs).
+
+    Packages are those of the manifest at the root and of the members its workspace names; without one, every manifest's."""
+    members = None
+    if text := _root_text(files, "Cargo.toml"):
+        try:
+            members = tomllib.loads(text).get("workspace", {}).get("members", [])
+        except tomllib.TOMLDecodeError:
+            members = []
 
     def run(frames):
         for f in frames:
@@ -164,14 +210,25 @@ def cargo_crates(files: DataFrame) -> DataFrame:
                             rows.append((name.replace("-", "_"), base + root, i))
             yield pd.DataFrame(rows, columns=["crate_name", "root", "i"])
 
-    found = files.where(file_name("path") == "Cargo.toml").select("path", "content").mapInPandas(run, "crate_name string, root string, i int")
+    manifests = files.where(file_name("path") == "Cargo.toml")
+    if members is not None:
+        wanted = F.col("path") == "Cargo.toml"
+        for m in members:
+            wanted = wanted | F.regexp_replace("path", "/?Cargo[.]toml$", "").rlike(_glob(m))
+        manifests = manifests.where(wanted)
+    found = manifests.select("path", "content").mapInPandas(run, "crate_name string, root string, i int")
     there = found.join(files.select(F.col("path").alias("root")), "root", "left_semi")
     return there.groupBy("crate_name").agg(F.min_by("root", "i").alias("root"))
 
 
 def go_modules(files: DataFrame) -> DataFrame:
-    """(module, dir) of go.mod files, with their local replacements."""
+    """(module, dir) of go.mod files, with their local replacements: with a go.work, those at the root and in the folders it uses, else all."""
     text = F.col("content").cast("string")
+    if not files.where("path = 'go.work'").isEmpty():
+        used = go_work_dirs(files).withColumnRenamed("dir", "used")
+        at = F.regexp_replace("path", "/?[^/]*$", "")
+        files = files.where(file_name("path") == "go.mod")
+        files = files.where("path = 'go.mod'").unionByName(files.where("path <> 'go.mod'").join(used, at == F.col("used"), "left_semi"))
     mods = files.where(file_name("path") == "go.mod").select(F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), text.alias("t"))
     own = mods.select(F.regexp_extract("t", r"(?m)^\s*module\s+(\S+)", 1).alias("module"), "dir")
     swap = mods.select("dir", F.explode(F.regexp_extract_all("t", F.lit(r"(?m)^\s*(?:replace\s+)?(\S+(?:\s+v\S+)?\s+=>\s+\.{1,2}/\S+)"), 1)).alias("r"))
