@@ -7,8 +7,8 @@ with halving radii, each node's point being its own child below. Node pairs are
 farther apart than the threshold and both covering radii, counted whole when even the farthest points are within it,
 and else opened; single points are compared by their cosine in double precision.
 
-A task returns no pairs: it returns the number of vectors each class links to, and a spanning forest of the links.
-Counts are summed by class, forests joined into components.
+A task returns no pairs: it returns the number of vectors each class links to, and for each class the least one that
+links of the task lead to. Counts are summed by class, the latter joined into components.
 
 Defined cases: null, zero, empty or non-finite vectors and rows without a label or id link with nothing (n_links 0,
 a component of their own); vectors of different lengths do not link; repeated rows are vectors of their own and link
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare
+from .common import materialize, mix64, prepare
 from .components import components
 
 PIVOTS = 2_048
@@ -31,6 +31,7 @@ BATCH = 64
 DENSE = 4_096
 ROWS = 512
 SLACK = 1e-9
+DEALT = 20_000
 
 
 class CoverTree:
@@ -132,25 +133,38 @@ def _open_both(a: CoverTree, p: int, b: CoverTree, q: int, t: float, same: bool)
 
 
 class Forest:
+    """Components of numbered points: every point knows the least point of its own."""
+
     def __init__(self, n: int):
-        self.root, self.edges = list(range(n)), []
+        self.least = np.arange(n)
+
+    def join(self, u: np.ndarray, v: np.ndarray) -> None:
+        """Add links; those within a component cost one look-up."""
+        while True:
+            a, b = self.least[u], self.least[v]
+            apart = a != b
+            if not apart.any():
+                return
+            u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+            np.minimum.at(self.least, np.maximum(a, b), np.minimum(a, b))
+            while ((up := self.least[self.least]) != self.least).any():
+                self.least = up
+
+    def edges(self) -> np.ndarray:
+        """(point, least of its component) of the points that are not the least themselves."""
+        own = np.flatnonzero(self.least != np.arange(len(self.least)))
+        return np.column_stack([own, self.least[own]])
 
-    def find(self, i: int) -> int:
-        root = self.root
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
 
-    def join(self, a: int, b: int) -> None:
-        x, y = self.find(a), self.find(b)
-        if x != y:
-            self.root[max(x, y)] = min(x, y)
-            self.edges.append((a, b))
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each number of the ranges lo to hi - 1: which range it is of, and itself."""
+    n = hi - lo
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
 
 
-def dual(a: CoverTree, b: CoverTree, cos: float, count_a: np.ndarray, count_b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Linked vectors of each point of a, and of b, and a spanning forest (points of b numbered after those of a).
+def dual(a: CoverTree, b: CoverTree, cos: float, count_a: np.ndarray, count_b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Linked vectors of each point of a, and of b, and pairs that hold the same components together as the links (points of b numbered after those of a).
 
     same: both are one tree; its points do not link to themselves, and only the first counts are meant."""
     t = float(np.sqrt(max(0.0, 2 - 2 * cos)))
@@ -197,13 +211,10 @@ def dual(a: CoverTree, b: CoverTree, cos: float, count_a: np.ndarray, count_b: n
             to = got_a if same else got_b
             np.add.at(to, ql, w)
             np.add.at(to, qh, -w)
-            for r, s, u, v in zip(pl.tolist(), ph.tolist(), ql.tolist(), qh.tolist()):
-                top = int(a.order[r])
-                for j in range(u, v):
-                    forest.join(top, shift + int(b.order[j]))
-                other = shift + int(b.order[u])
-                for j in range(r + 1, s):
-                    forest.join(int(a.order[j]), other)
+            which, at = _ranges(ql, qh)  # the first point of p with all of q, all of p with the first of q
+            forest.join(a.order[pl[which]], shift + b.order[at])
+            which, at = _ranges(pl, ph)
+            forest.join(a.order[at], shift + b.order[ql[which]])
         rest = np.flatnonzero(live & ~whole & ~single)
         if len(rest):
             p, q = p[rest], q[rest]
@@ -229,7 +240,7 @@ def dual(a: CoverTree, b: CoverTree, cos: float, count_a: np.ndarray, count_b: n
     out_a, out_b = np.zeros(na), np.zeros(nb)
     out_a[a.order] = np.cumsum(got_a)[:na]
     out_b[b.order] = np.cumsum(got_b)[:nb]
-    return out_a.round().astype(np.int64), out_b.round().astype(np.int64), forest.edges
+    return out_a.round().astype(np.int64), out_b.round().astype(np.int64), forest.edges()
 
 
 def _classes(table: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
@@ -299,23 +310,23 @@ def links(table: DataFrame, cos: float = 0.93, id_col: str = "vec_id", vec_col:
     sent_routes = spark.sparkContext.broadcast((route, blocks))
 
     def deal(frames):
+        table, count = sent_routes.value
+        targets = {k: np.array([(j, b) for j, n in own for b in range(n)], np.int64).reshape(-1, 2) for k, own in table.items()}
         for f in frames:
-            out = []
-            table, count = sent_routes.value
-            for at, (label, d, cell, rep) in enumerate(zip(f.label, f.d, f.cell, f.rep)):
-                k = (label, int(d), int(cell))
-                own = hash((int(rep), 7)) % count[k]
-                for j, n in table[k]:
-                    for b in range(n):
-                        me, it = (int(cell), own), (j, b)
-                        lo, hi = min(me, it), max(me, it)
-                        out.append((at, lo[0], lo[1], hi[0], hi[1], me == hi and me != lo))
-            o = np.array(out, np.int64).reshape(-1, 6)
-            g = f.iloc[o[:, 0]][["label", "d", "x", "rep", "n"]].reset_index(drop=True)
-            for c, name in enumerate(("c1", "b1", "c2", "b2"), 1):
-                g[name] = o[:, c]
-            g["second"] = o[:, 5] == 1
-            yield g
+            for k, at in f.groupby(["label", "d", "cell"], sort=False).indices.items():
+                k = (k[0], int(k[1]), int(k[2]))
+                to = targets[k]
+                own = (mix64(f.rep.to_numpy()[at].astype(np.int64).view(np.uint64)) % np.uint64(count[k])).astype(np.int64)
+                for i in range(0, len(at), max(1, DEALT // max(1, len(to)))):
+                    rows, mine = at[i : i + max(1, DEALT // max(1, len(to)))], own[i : i + max(1, DEALT // max(1, len(to)))]
+                    r, t = np.repeat(np.arange(len(rows)), len(to)), np.tile(np.arange(len(to)), len(rows))
+                    c, b, j, o = k[2], mine[r], to[t, 0], to[t, 1]
+                    first = (c < j) | (c == j) & (b <= o)  # the lower of two blocks comes first
+                    g = f.iloc[rows[r]][["label", "d", "x", "rep", "n"]].reset_index(drop=True)
+                    g["c1"], g["b1"] = np.where(first, c, j), np.where(first, b, o)
+                    g["c2"], g["b2"] = np.where(first, j, c), np.where(first, o, b)
+                    g["second"] = ~first
+                    yield g
 
     def task(frame: pd.DataFrame) -> pd.DataFrame:
         first = frame[~frame.second].sort_values("rep")
@@ -332,7 +343,7 @@ def links(table: DataFrame, cos: float = 0.93, id_col: str = "vec_id", vec_col:
         reps = np.concatenate([first.rep.to_numpy(), second.rep.to_numpy()]) if not same else first.rep.to_numpy()
         got = got_a if same else np.concatenate([got_a, got_b])
         own = got > 0
-        e = np.array(edges, np.int64).reshape(-1, 2)
+        e = edges
         out = pd.DataFrame({"rep": pd.array(reps[own], "Int64"), "links": pd.array(got[own], "Int64"), "u": pd.array([pd.NA] * own.sum(), "Int64"), "v": pd.array([pd.NA] * own.sum(), "Int64")})
         forest = pd.DataFrame({"rep": pd.array([pd.NA] * len(e), "Int64"), "links": pd.array([pd.NA] * len(e), "Int64"), "u": pd.array(reps[e[:, 0]], "Int64"), "v": pd.array(reps[e[:, 1]], "Int64")})
         return pd.concat([out, forest], ignore_index=True)
