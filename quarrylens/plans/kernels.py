@@ -1,13 +1,18 @@
 """Graph kernels as bounded iterations of joins: every round is one plan, its result a new table.
 
+Graphs of a checked size (LOCAL_EDGES) are solved in one task over arrays instead, with the same rows (local.py).
 Only row counts come to the driver. A round's frontier is distinct before it is joined, visited nodes leave by an
 anti join, and joins are equi-joins that adaptive execution may split or broadcast by their measured size."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import prepare
+from . import local
 from .lineage import cut
 
 
@@ -18,18 +23,47 @@ def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None, by: st
     keys = [by, "node"] if by else ["node"]
     edges = cut(edges.select("src", "dst").distinct())
     frontier = cut(seeds.select(*keys).distinct())
+    if (size := edges.count()) <= local.LOCAL_EDGES and (n := frontier.count()) <= local.LOCAL_EDGES and (size + n) * (n if by else 1) <= local.LOCAL_STEPS:
+        return _bfs_locally(frontier, edges, max_depth, by)
     seen = frontier.withColumn("depth", F.lit(0))
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
         step = frontier.join(edges, F.col("node") == F.col("src")).select(*([by] if by else []), F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen.select(*keys), keys, "left_anti"))
+        been = seen.select(F.col("node").alias("been"), *([F.col(by).alias("been_by")] if by else []))
+        same = F.col("node") == F.col("been")
+        frontier = cut(step.join(been, same & F.col(by).eqNullSafe(F.col("been_by")) if by else same, "left_anti"))  # a null search is one of its own
         if frontier.isEmpty():
             break
         seen = cut(seen.unionByName(frontier.withColumn("depth", F.lit(depth))))
     return seen
 
 
+def _bfs_locally(seeds: DataFrame, edges: DataFrame, max_depth: int | None, by: str | None) -> DataFrame:
+    prepare(edges.sparkSession)
+    kind = seeds.schema["node"].dataType.simpleString()
+    key = f"`{by}` {seeds.schema[by].dataType.simpleString()}, " if by else ""
+    by_of = F.col(by) if by else F.lit(0)
+    rows = edges.select("src", "dst", by_of_none(seeds, by).alias("by"), F.lit(False).alias("seed")).unionByName(seeds.select(F.col("node").alias("src"), F.col("node").alias("dst"), by_of.alias("by"), F.lit(True).alias("seed")))
+
+    def solve(f: pd.DataFrame):
+        at = f.seed.to_numpy(bool)
+        g = local.Csr(f.src[~at], f.dst[~at], f.src[at])
+        search, names = pd.factorize(f.by[at], use_na_sentinel=False)
+        most = max(1, 4_000_000 // max(1, g.n))  # searches that go together
+        for low in range(0, len(names), most):
+            own = (search >= low) & (search < low + most)
+            for s, node, depth in local.levels(g, search[own] - low, g.more[own], max_depth):
+                out = {by: names[s + low]} if by else {}
+                yield pd.DataFrame({**out, "node": g.names[node], "depth": np.full(len(node), depth, np.int32)})
+
+    return cut(local.in_one_task(rows, solve, f"{key}node {kind}, depth int"))
+
+
+def by_of_none(seeds: DataFrame, by: str | None) -> F.Column:
+    return F.lit(None).cast(seeds.schema[by].dataType if by else "int")
+
+
 def _spread(labels: DataFrame, edges: DataFrame, along: tuple[str, str], within: bool) -> DataFrame:
     """The least label that reaches each node along edges, to a fixpoint; within: only between nodes of one colour."""
     src, dst = along
@@ -56,6 +90,8 @@ def scc(edges: DataFrame) -> DataFrame:
     while True:
         while True:
             n = edges.count()
+            if n <= local.LOCAL_EDGES:  # what is left of a larger graph, or a small one
+                return found.unionByName(_scc_locally(edges))
             edges = cut(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
             if edges.count() == n:
                 break
@@ -75,6 +111,19 @@ def scc(edges: DataFrame) -> DataFrame:
             return found.join(sizes.select("component"), "component", "left_semi").select("node", "component")
 
 
+def _scc_locally(edges: DataFrame) -> DataFrame:
+    prepare(edges.sparkSession)
+
+    def solve(f: pd.DataFrame):
+        g = local.Csr(f.src, f.dst)
+        comp = local.strong_components(g)
+        own = np.bincount(comp, minlength=g.n)[comp] > 1 if g.n else np.zeros(0, bool)
+        yield pd.DataFrame({"node": g.names[np.flatnonzero(own)], "component": g.names[comp[own]]})
+
+    kind = edges.schema["src"].dataType.simpleString()
+    return cut(local.in_one_task(edges, solve, f"node {kind}, component {kind}"))
+
+
 def label_propagation(labels: DataFrame, links: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, label) after synchronous rounds: each node takes its neighbours' commonest label, the least of ties.
 
@@ -82,6 +131,8 @@ def label_propagation(labels: DataFrame, links: DataFrame, rounds: int = 100) ->
     both = links.select("src", "dst").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     both = cut(both.groupBy("src", "dst").agg(F.count("*").alias("w")))
     labels = cut(labels.select("node", "label"))
+    if both.count() <= local.LOCAL_EDGES and labels.count() <= local.LOCAL_EDGES:
+        return _labels_locally(labels, both, rounds)
     best = Window.partitionBy("node").orderBy(F.desc("n"), "l")
     for _ in range(rounds):
         votes = both.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("l")), "dst").groupBy(F.col("src").alias("node"), "l").agg(F.sum("w").alias("n"))
@@ -93,6 +144,23 @@ def label_propagation(labels: DataFrame, links: DataFrame, rounds: int = 100) ->
     return labels
 
 
+def _labels_locally(labels: DataFrame, both: DataFrame, rounds: int) -> DataFrame:
+    prepare(labels.sparkSession)
+    rows = both.select("src", F.col("dst").alias("to"), F.col("w").alias("w")).unionByName(labels.select(F.col("node").alias("src"), F.col("label").alias("to"), F.lit(None).cast("long").alias("w")))
+
+    def solve(f: pd.DataFrame):
+        own = f.w.isna().to_numpy()
+        nodes = f.src[own].to_numpy(object)
+        label, names = pd.factorize(f.to[own], sort=True)
+        place = pd.Index(nodes)
+        src, dst = place.get_indexer(f.src[~own]), place.get_indexer(f.to[~own])
+        live = (src >= 0) & (dst >= 0)
+        got = local.propagate(src[live].astype(np.int64), dst[live].astype(np.int64), f.w[~own].to_numpy(float)[live], label.astype(np.int64), rounds) if len(nodes) else label
+        yield pd.DataFrame({"node": nodes, "label": np.asarray(names, object)[got]})
+
+    return cut(local.in_one_task(rows, solve, f"node {labels.schema['node'].dataType.simpleString()}, label {labels.schema['label'].dataType.simpleString()}"))
+
+
 def simple_paths(entries: DataFrame, targets: DataFrame, edges: DataFrame, max_depth: int, max_paths: int) -> DataFrame:
     """(hops, depth): up to max_paths simple paths from entries to targets, shortest first, then by their hops.
 

@@ -183,12 +183,12 @@ def a10(spark, sf):
     return aggregates.package_dependencies(code_graph(spark, sf))
 
 
-@query("i1_blast_radius", """WITH b(n, d) AS (SELECT path, 0 FROM sups WHERE s_suppkey = 1 UNION SELECT i.src, b.d + 1 FROM b JOIN imports i ON i.dst = b.n WHERE b.d < 8)
+@query("i1_blast_radius", """WITH b(n, d) AS (SELECT path, 0 FROM sups WHERE s_suppkey = 1 UNION SELECT i.src, b.d + 1 FROM b JOIN imports i ON i.dst = b.n WHERE b.d < 20)
 SELECT n AS file_path, min(d) AS depth FROM b GROUP BY n HAVING min(d) > 0""")
 def i1(spark, sf):
     g = code_graph(spark, sf)
     seeds = g.files.where(F.col("path").rlike("/s1[.]rs$")).select(F.col("path").alias("node"))
-    return bfs(seeds, g.file_imports().select(F.col("dst").alias("src"), F.col("src").alias("dst")), 8).where("depth > 0").select(F.col("node").alias("file_path"), "depth")
+    return bfs(seeds, g.file_imports().select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("depth > 0").select(F.col("node").alias("file_path"), "depth")
 
 
 @query("i2_impact", f"""WITH own AS (SELECT {LOCATED}), q AS (SELECT * FROM own WHERE name = 'findUser63' AND file_path IS NOT NULL), seeds AS (SELECT DISTINCT 'x' AS path), up(n, d) AS (SELECT file_path, 0 FROM q UNION SELECT i.src, up.d + 1 FROM up JOIN imports i ON i.dst = up.n WHERE up.d < 9),
@@ -301,15 +301,8 @@ def df2(spark, sf):
     return snapshots.snapshot(code_graph(spark, sf), "now", 1).select("file", "symbol_count", "import_count", "importer_count")
 
 
-@query("df3_rotate", "SELECT name, created_at FROM (SELECT DISTINCT 's' || event_id AS name, CAST(floor(epoch(ts)) AS BIGINT) AS created_at FROM events WHERE event_id < 500) ORDER BY created_at DESC, name LIMIT 9", view=False)
-def df3(spark, sf):
-    e = table(spark, sf, "events").where("event_id < 500").selectExpr("'s' || event_id AS name", "unix_seconds(cast(ts AS timestamp)) AS created_at")
-    return snapshots.rotate(e)
-
-
-@query("df3_rotate_all", "SELECT name, created_at FROM (SELECT DISTINCT 's' || event_id AS name, CAST(floor(epoch(ts)) AS BIGINT) AS created_at FROM events) ORDER BY created_at DESC, name LIMIT 9", view=False)
+@query("df3_rotate", "SELECT name, created_at FROM (SELECT DISTINCT 's' || event_id AS name, CAST(floor(epoch(ts)) AS BIGINT) AS created_at FROM events) ORDER BY created_at DESC, name LIMIT 9", view=False)
 def df3_all(spark, sf):
-    """df3_rotate over all events; its own SQL holds the first 500 only."""
     return snapshots.rotate(table(spark, sf, "events").selectExpr("'s' || event_id AS name", "unix_seconds(cast(ts AS timestamp)) AS created_at"))
 
 
@@ -368,24 +361,14 @@ def t5(spark, sf):
     return search.bm25_search(docs, "Blue ring", 20).select("symbol_name", "line", F.round("score", 6).alias("score"))
 
 
-@query("t6_rank_fusion", """WITH a AS (SELECT p_name AS symbol_name, p_partkey AS line, row_number() OVER (ORDER BY p_size DESC, p_brand, p_partkey, p_name) AS rank, 0 AS s FROM part WHERE p_partkey < 40), b AS (SELECT p_name, p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_brand, p_partkey, p_name), 1 FROM part WHERE p_partkey BETWEEN 20 AND 60),
-u AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT symbol_name, line, round(sum(1.0 / (60 + rank)), 6) AS score FROM u GROUP BY symbol_name, line""", view=False)
-def t6(spark, sf):
-    p = table(spark, sf, "part").select(F.col("p_name").alias("symbol_name"), F.col("p_brand").alias("file_path"), F.col("p_partkey").alias("line"), "p_size", "p_retailprice")
-    a = search.ranked(p.where("line < 40").withColumn("score", F.col("p_size")))
-    b = search.ranked(p.where("line BETWEEN 20 AND 60").withColumn("score", F.col("p_retailprice")))
-    return search.fuse(a, b).select("symbol_name", "line", F.round("score", 6).alias("score"))
-
-
 FUSED_SQL = BM25_SQL.replace("'blue', 'ring'", "'cold', 'widget'")
 
-
-@query("t6_rank_fusion_all", f"""WITH {FUSED_SQL}, td AS (SELECT DISTINCT p_name AS name, list_distinct([substr(lower(p_name), i, 3) FOR i IN range(1, len(p_name) - 1)]) AS g FROM part), tq AS (SELECT list_distinct([substr('cold widget', i, 3) FOR i IN range(1, 10)]) AS h),
+@query("t6_rank_fusion", f"""WITH {FUSED_SQL}, td AS (SELECT DISTINCT p_name AS name, list_distinct([substr(lower(p_name), i, 3) FOR i IN range(1, len(p_name) - 1)]) AS g FROM part), tq AS (SELECT list_distinct([substr('cold widget', i, 3) FOR i IN range(1, 10)]) AS h),
 ts AS (SELECT name, len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))) AS score FROM td, tq), x AS (SELECT p_name AS symbol_name, p_partkey AS line, row_number() OVER (ORDER BY score DESC, p_brand, p_partkey, p_name) AS rank FROM part JOIN ts ON ts.name = p_name WHERE score >= 0.3),
 y AS (SELECT p_name AS symbol_name, p_partkey AS line, row_number() OVER (ORDER BY round(score, 9) DESC, p_brand, p_partkey, p_name) AS rank FROM part JOIN s ON s.name = p_name), z AS (SELECT * FROM x WHERE rank <= 500 UNION ALL SELECT * FROM y WHERE rank <= 500)
 SELECT symbol_name, line, round(sum(1.0 / (60 + rank)), 6) AS score FROM z GROUP BY symbol_name, line""", view=False)
 def t6_all(spark, sf):
-    """Fusion of two searches of the whole table at a search's largest limit; t6_rank_fusion's own SQL holds some ids only."""
+    """Fusion of two searches of the whole table at a search's largest limit."""
     docs = _part_docs(spark, sf)
     a, b = search.trigram_search(docs, "cold widget", 500), search.bm25_search(docs, "cold widget", 500)
     return search.fuse(search.ranked(a), search.ranked(b)).select("symbol_name", "line", F.round("score", 6).alias("score"))
@@ -448,18 +431,10 @@ def r5(spark, sf):
     return retrieval.conceptual(retrieval.symbol_vectors(code_graph(spark, sf)), "how does findUser63 work")
 
 
-@query("r7_merge", """WITH a AS (SELECT row_number() OVER (ORDER BY p_partkey) AS i, p_brand AS f, p_name AS n, p_partkey AS l, 0 AS s FROM part WHERE p_partkey < 4), b AS (SELECT row_number() OVER (ORDER BY p_partkey), p_brand, p_name, p_partkey, 1 FROM part WHERE p_partkey BETWEEN 2 AND 9), u AS (SELECT * FROM a UNION ALL SELECT * FROM b),
-k AS (SELECT *, row_number() OVER (PARTITION BY f, n ORDER BY s, i) AS r FROM u) SELECT CAST(row_number() OVER (ORDER BY s, i) AS INT) AS index, f AS file_path, l AS line_start, n AS symbol_name FROM k WHERE r = 1 ORDER BY s, i LIMIT 5""", view=False)
-def r7(spark, sf):
-    p = table(spark, sf, "part").select(F.col("p_brand").alias("file_path"), F.col("p_partkey").alias("line_start"), F.col("p_name").alias("symbol_name"))
-    a, b = (retrieval._numbered(p.where(w), "line_start").select("index", "file_path", "line_start", "symbol_name") for w in ("line_start < 4", "line_start BETWEEN 2 AND 9"))
-    return retrieval.merge(a, b)
-
-
-@query("r7_merge_all", """WITH u AS (SELECT p_brand AS f, p_name AS n, p_partkey AS l, p_partkey AS i, 0 AS s FROM part WHERE p_name = 'cold widget' AND p_brand = 'Brand#13' UNION ALL SELECT p_brand, p_name, p_partkey, -p_partkey, 1 FROM part),
+@query("r7_merge", """WITH u AS (SELECT p_brand AS f, p_name AS n, p_partkey AS l, p_partkey AS i, 0 AS s FROM part WHERE p_name = 'cold widget' AND p_brand = 'Brand#13' UNION ALL SELECT p_brand, p_name, p_partkey, -p_partkey, 1 FROM part),
 k AS (SELECT *, row_number() OVER (PARTITION BY f, n ORDER BY s, i) AS r FROM u) SELECT CAST(row_number() OVER (ORDER BY s, i) AS INT) AS index, f AS file_path, l AS line_start, n AS symbol_name FROM k WHERE r = 1 ORDER BY s, i LIMIT 5""", view=False)
 def r7_all(spark, sf):
-    """The matches of a name, then all parts from the last one on; r7_merge's own SQL holds some ids only."""
+    """The matches of a name, then all parts from the last one on."""
     p = table(spark, sf, "part").select(F.col("p_brand").alias("file_path"), F.col("p_partkey").alias("line_start"), F.col("p_name").alias("symbol_name"))
     a = p.where("symbol_name = 'cold widget' AND file_path = 'Brand#13'").withColumn("index", F.col("line_start"))
     return retrieval.merge(a, p.withColumn("index", -F.col("line_start")))
@@ -539,14 +514,17 @@ def w2(spark, sf):
     return e.select("event_id", "path", watch.classify().alias("event"))
 
 
-@query("w1_debounce", """WITH e AS (SELECT user_id, ts, event_type <> 'error' AS x, CASE WHEN ts < lag(ts) OVER w + INTERVAL 3 HOUR THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM e)
-SELECT 'u' || user_id AS path, CAST(epoch_us(max(ts)) AS BIGINT) AS us, arg_max(x, ts) AS exists FROM b GROUP BY user_id, burst""", view=False)
+BURSTS = """WITH e AS (SELECT user_id, ts, event_type <> 'error' AS x, CASE WHEN ts < lag(ts) OVER w + INTERVAL 3 HOUR THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM e)
+SELECT 'u' || user_id AS path, CAST(epoch_us(max(ts)) AS BIGINT) AS us, arg_max(x, ts) AS exists FROM b GROUP BY user_id, burst"""
+
+
+@query("w1_debounce", BURSTS, view=False)
 def w1(spark, sf):
     e = table(spark, sf, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("exists"))
     return watch.debounce(e, "3 hours").select("path", F.unix_micros("ts").alias("us"), "exists")
 
 
-@query("w1_debounce_stream")
+@query("w1_debounce_stream", BURSTS, view=False)
 def w1s(spark, sf):
     """The same bursts from a stream over the events file, drained; then an event past the watermark closes the last ones."""
     import uuid
@@ -567,7 +545,7 @@ def w1s(spark, sf):
     drain()
     end.write.mode("append").parquet(f"{folder}/end")  # only now: before, it would make events of later files late
     drain()
-    return spark.read.schema("path string, ts timestamp, exists boolean").parquet(f"{folder}/out")
+    return spark.read.schema("path string, ts timestamp, exists boolean").parquet(f"{folder}/out").select("path", F.unix_micros("ts").alias("us"), "exists")
 
 
 @query("w6_staleness", """WITH a AS (SELECT p_partkey AS k, p_size AS s FROM part WHERE p_partkey % 10 <> 1), b AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS s FROM part WHERE p_partkey % 10 <> 2)
@@ -592,7 +570,10 @@ def s3(spark, sf):
     return code_graph(spark, sf).files.select("path", paths.excluded("path", ["tests", "n1", "src/b2/*"]).alias("excluded"))
 
 
-@query("p1_parse_sources")
+@query("p1_parse_sources", """WITH c AS (SELECT c_custkey AS k, c_custkey % 4 AS m FROM customer), r AS (
+SELECT * FROM (VALUES (0, '.ts', true, 'C~', 'class', 1, 1, true), (0, '.ts', false, 'run', 'method', 1, 1, false), (0, '.ts', true, 'f', 'function', 2, 2, true), (1, '.rs', true, 'S~', 'struct', 1, 1, true), (1, '.rs', true, 'S::new', 'impl_method', 2, 2, true),
+ (2, '.py', true, 'C~', 'class', 1, 2, true), (2, '.py', false, 'm', 'method', 2, 2, true), (3, '.go', true, 'T~', 'struct', 2, 2, true), (3, '.go', true, 'M', 'method', 3, 3, true)) v(m, e, top, name, kind, line, line_end, is_exported))
+SELECT CASE WHEN top THEN 'f' || k || e END AS file, replace(name, '~', k::VARCHAR) AS name, kind, line, line_end, is_exported FROM c JOIN r USING (m)""", view=False)
 def p1(spark, sf):
     """Generated sources of four languages, one a customer, parsed to symbols."""
     body = """CASE c_custkey % 4 WHEN 0 THEN 'export class C' || c_custkey || ' { run() { go(); } }\nexport const f = () => 1;\n' WHEN 1 THEN 'pub struct S' || c_custkey || ';\nimpl S { pub fn new() {} }\n' WHEN 2 THEN 'class C' || c_custkey || ':\n    def m(self): pass\n' ELSE 'package p\ntype T' || c_custkey || ' struct {}\nfunc (t *T) M() {}\n' END"""

@@ -378,3 +378,23 @@ def test_deep_module_trees_are_walked_to_their_end(spark):
     parsed = spark.createDataFrame([(p, ["m"]) for p in paths], "path string, mods array<string>").coalesce(1)
     tree = resolve.module_tree(parsed, parsed.select("path"), spark.createDataFrame([("k", "lib.rs")], "crate_name string, root string"))
     assert {r.path for r in tree.collect()} == set(paths)
+
+
+def test_kernels_in_one_task_and_in_rounds_give_the_same_rows(spark, monkeypatch):
+    import random
+
+    from quarrylens.plans import kernels, local
+
+    rnd = random.Random(6)
+    e = spark.createDataFrame([(f"n{rnd.randrange(60)}", f"n{rnd.randrange(60)}") for _ in range(110)] + [("x", "y"), ("y", "x")], "src string, dst string")
+    seeds = spark.createDataFrame([("a", "n1"), ("b", "n2"), ("b", "n3"), ("c", "alone"), (None, "n4")], "q string, node string")
+    labels = spark.createDataFrame([(f"n{i}", f"l{i % 7}") for i in range(60)] + [("z", "l1")], "node string, label string")
+
+    def all_three():
+        rows = lambda df: sorted(map(str, df.collect()))
+        out = [rows(kernels.bfs(seeds, e, None, "q").orderBy("q", "node").select("q", "node", "depth")), rows(kernels.bfs(seeds, e, 2)), rows(kernels.bfs(seeds.limit(0), e)), rows(kernels.scc(e)), rows(kernels.scc(e.limit(0)))]
+        return out + [rows(kernels.label_propagation(labels, e, r)) for r in (1, 4)]
+
+    quick = all_three()
+    monkeypatch.setattr(local, "LOCAL_EDGES", -1)
+    assert all_three() == quick
