@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylens.operators import lookup, resolve, traverse
+from quarrylens.sources import walk
 from quarrylens.sources.ingest import build
 from quarrylens.sources.parsers import parse_file
 
@@ -117,6 +118,25 @@ def test_parsers():
     go = parse_file("a.go", b'package p\n//go:generate x\ntype T struct {\n\tA int `json:"a"`\n}\nconst X, y = 1, 2\nfunc (t *T) M() {}\n')
     assert [(s["name"], s["kind"], s["is_exported"], s["trait_impl"], [d["name"] for d in s["decorators"]]) for s in go["symbols"]] == [("T", "struct", True, None, ["go:generate", "json"]), ("X", "const", True, None, []), ("y", "const", False, None, []), ("M", "method", True, "T", [])]
     py = parse_file("a.py", b"__all__ = ['f']\n@app.route('/x')\ndef f(): pass\nclass C:\n    def m(self): pass\nfrom ..a import b as c\n")
-    assert [(s["name"], s["kind"], s["is_exported"]) for s in py["symbols"]] == [("f", "function", True), ("C", "class", False)]
-    assert py["symbols"][0]["decorators"][0] == {"name": "app.route", "object": "app", "attribute": "route", "args_raw": "('/x')", "framework": None}
+    assert [(s["name"], s["kind"], s["is_exported"]) for s in py["symbols"]] == [("__all__", "variable", False), ("f", "function", True), ("C", "class", False)]
+    assert py["symbols"][1]["decorators"][0] == {"name": "app.route", "object": "app", "attribute": "route", "args_raw": "('/x')", "framework": None}
+    py = parse_file("a.py", b"import os\n@deco\ndef f(): pass\ndef broken(:\n    pass\nclass C:\n  def m(self): pass\n")
+    assert [(s["name"], s["line"], len(s["decorators"])) for s in py["symbols"]] == [("f", 3, 1), ("C", 6, 0)] and [i["module_path"] for i in py["imports"]] == ["os"]
     assert parse_file("a.py", b"def (") is None and parse_file("a.txt", b"") is None and parse_file("a.ts", b"\xff") is None
+
+
+def test_configuration_of_the_root(spark):
+    rows = {
+        "tsconfig.json": '{"compilerOptions": {"baseUrl": "./web", /* of the app */ "paths": {"@a/*": ["./x/*", "y/*"], "b": ["c"]}}, "note": "// kept",}',
+        "quarrylens.toml": 'exclude = ["d"]\n[impact]\nmedium_threshold = 2\n',
+        "Cargo.toml": '[package]\nname = "top"\n[workspace]\nmembers = ["in/*"]\n',
+        "src/lib.rs": "", "in/a/Cargo.toml": '[package]\nname = "in-a"\n', "in/a/src/main.rs": "", "in/a/b/Cargo.toml": '[package]\nname = "deeper"\n', "in/a/b/src/lib.rs": "",
+        "go.mod": "module top.io/m\n", "go.work": "use (\n\t./used\n)\n", "used/go.mod": "module used.io/m\n", "spare/go.mod": "module spare.io/m\n",
+    }
+    files = spark.createDataFrame([(p, bytearray(c.encode())) for p, c in rows.items()], "path string, content binary")
+    assert walk.typescript_paths(files) == {"@a/*": "web/x/*", "b": "web/c"}
+    assert walk.project_options(files) == walk.Options(["d"], 20, 2) and walk.project_options(files.limit(0)) == walk.Options()
+    assert walk.Options.from_toml("= broken") == walk.Options()
+    assert {tuple(r) for r in walk.cargo_crates(files).collect()} == {("top", "src/lib.rs"), ("in_a", "in/a/src/main.rs")}
+    assert {r.module for r in walk.go_modules(files).collect()} == {"top.io/m", "used.io/m"}
+    assert {r.module for r in walk.go_modules(files.where("path <> 'go.work'")).collect()} == {"top.io/m", "used.io/m", "spare.io/m"}
