@@ -110,8 +110,8 @@ def interleave(docs: DataFrame, weights: dict[str | None, float] | None = None,
     return out.select("row.*", F.col("block").alias("__source_block"), F.col("slot").alias("__slot"), F.col("shuffle").alias("__shuffle")), slots
 
 
-def _interleave(docs: DataFrame, weights: dict[str | None, float] | None, block_chars: int, period: int = 1000, key_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17) -> tuple[DataFrame, int]:
-    """(row: all columns of docs, block, slot, shuffle) and the number of slots; rows travel packed, so their names meet no others."""
+def _interleave(docs: DataFrame, weights: dict[str | None, float] | None, block_chars: int, period: int = 1000, key_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17, carry: list[str] | None = None) -> tuple[DataFrame, int]:
+    """(row: the columns of docs named in carry, all if none are, block, slot, shuffle) and the number of slots; rows travel packed, so their names meet no others."""
     prepare(docs.sparkSession)
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))
     size = F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0)).cast("long")
@@ -124,7 +124,7 @@ def _interleave(docs: DataFrame, weights: dict[str | None, float] | None, block_
         target = {k: given.get(k, min(given.values(), default=1.0)) for k in sums}
     schedule = Schedule(blocks, target, period)
     shuffle = F.shiftrightunsigned(F.xxhash64(F.col(key_col).cast("string"), F.lit(seed)), 11)
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source.alias("source"), size.alias("size"), shuffle.alias("shuffle"), F.col(key_col).cast("string").alias("key"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"), source.alias("source"), size.alias("size"), shuffle.alias("shuffle"), F.col(key_col).cast("string").alias("key"))
     if not sums:
         return keyed.select("row", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("slot"), "shuffle"), 0
     ranges = F.create_map(*[x for k, (n, _) in sums.items() for x in (F.lit(k), F.lit(max(1, math.isqrt(n))))])[F.col("source")]
@@ -150,8 +150,8 @@ def _interleave(docs: DataFrame, weights: dict[str | None, float] | None, block_
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    out, _ = interleave(docs.select("doc_id", "source", "text"))
-    return out.select("doc_id", "source", F.col("__source_block").alias("block"), F.col("__slot").alias("slot"), F.col("__shuffle").alias("order_in_slot"))
+    out, _ = _interleave(docs, None, 65_536, carry=["doc_id", "source"])
+    return out.select("row.doc_id", "row.source", "block", "slot", F.col("shuffle").alias("order_in_slot"))
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_chars: int = 65_536) -> DataFrame:
