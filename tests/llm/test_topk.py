@@ -33,6 +33,10 @@ def test_against_sql(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK_QUERIES", 7)
     monkeypatch.setattr(topk, "PILOT", 3)
     assert take() == want
+    monkeypatch.setattr(topk, "PILOT", 40)  # many cells, whose shards the second wave prunes
+    monkeypatch.setattr(topk, "CELL_ROWS", 30)
+    monkeypatch.setattr(topk, "SHARD_ROWS", 50)
+    assert take() == want
     assert topk.op7(df.limit(0)).count() == 0
 
 
@@ -50,7 +54,17 @@ def test_tree_search_equals_all_products():
 
 def test_large_components_use_integers():
     x = np.array([[1e15, 1.0], [1e15, 2.0], [3.0, 4.0]])
-    assert topk.exact_small(x, np.array([1, 2, 3]), x[:1], np.array([1]), 2) == [(1, 2, 10**30 + 2), (1, 3, 3 * 10**15 + 4)]
+    found = topk.exact_large(x, np.array([1, 2, 3]), x[:1], np.array([1]), 2)
+    assert found == [(1, 2, topk.LONG), (1, 3, 3 * 10**15 + 4)]
+    gen = np.random.default_rng(4)
+    x = np.floor(gen.normal(size=(400, 3)) * 1e9)
+    x[200:] = x[:200] + gen.integers(-1, 2, size=(200, 3))  # scores that doubles cannot tell apart
+    ids = gen.permutation(400).astype(np.int64)
+    found = topk.exact_large(x, ids, x[:30], ids[:30], 5)
+    for a in range(30):
+        clamp = lambda s: max(-topk.LONG - 1, min(topk.LONG, s))
+        best = sorted((-clamp(sum(int(u) * int(v) for u, v in zip(x[a], x[b]))), int(ids[b])) for b in range(400) if b != a)[:5]
+        assert [(-s, j) for i, j, s in found if i == ids[a]] == best
 
 
 def test_repeated_rows_of_the_query_leave_k_others():
