@@ -64,7 +64,7 @@ def bm25_search(docs: DataFrame, query: str, limit: int = 20) -> DataFrame:
     own = own.join(df, "term").join(total, F.lit(True))
     idf = F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / AVERAGE))
-    scored = own.withColumn("part", part).groupBy("symbol_name").agg(F.sum("part").alias("score"))
+    scored = own.withColumn("part", part).groupBy("symbol_name").agg(F.round(F.sum("part"), 12).alias("score"))  # ties do not hang on the order of the sum
     return top(docs.join(scored, "symbol_name"), "score", limit)
 
 

@@ -216,9 +216,30 @@ def i4(spark, sf):
     return simple_paths(at("find%"), at("load%"), g.edges.where("kind = 'Calls'"), 4, 5000).select(F.array_join("hops", ">").alias("path"), "depth")
 
 
-@query("i4_trace_flow")
+def _flow_sql(entry: str, target: str) -> str:
+    """The three shortest chains of names; without any, the nearest name that both ends reach."""
+    return f"""WITH k AS (SELECT src, dst FROM calls UNION SELECT src, dst FROM imports), o AS (SELECT 's:' || min(symbol_id) AS n FROM syms WHERE name = '{entry}' HAVING count(*) > 0), t AS (SELECT 's:' || symbol_id AS n FROM syms WHERE name = '{target}'),
+names AS (SELECT 's:' || symbol_id AS n, name FROM syms UNION ALL SELECT path, regexp_extract(path, '[^/]*$') FROM files),
+w(hops, here, d) AS (SELECT [n], n, 0 FROM o UNION ALL SELECT list_append(hops, dst), dst, d + 1 FROM w JOIN k ON k.src = w.here WHERE d < 20 AND here NOT IN (SELECT n FROM t) AND NOT list_contains(hops, dst)),
+p AS (SELECT hops, d, row_number() OVER (ORDER BY d, hops) AS r FROM w WHERE d > 0 AND here IN (SELECT n FROM t) QUALIFY r <= 3),
+a(n, d) AS (SELECT n, 0 FROM o UNION SELECT dst, d + 1 FROM a JOIN k ON src = n WHERE d < 20), b(n, d) AS (SELECT n, 0 FROM t UNION SELECT dst, d + 1 FROM b JOIN k ON src = n WHERE d < 20),
+m AS (SELECT n, min(d) AS d FROM a WHERE n IN (SELECT n FROM b GROUP BY n HAVING min(d) > 0) GROUP BY n HAVING min(d) > 0 ORDER BY 2, 1 LIMIT 1)
+SELECT string_agg(name, '>' ORDER BY i) AS hops, CAST(d AS INT) AS depth, NULL AS shared_dependency FROM (SELECT r, d, unnest(hops) AS n, unnest(range(len(hops))) AS i FROM p) JOIN names USING (n) GROUP BY r, d
+UNION ALL SELECT '', 0, name FROM m JOIN names USING (n) WHERE (SELECT count(*) FROM p) = 0"""
+
+
+def _flow(spark, sf, entry: str, target: str) -> DataFrame:
+    return traverse.trace_flow(code_graph(spark, sf), entry, target).withColumn("hops", F.array_join("hops", ">"))
+
+
+@query("i4_trace_flow", _flow_sql("parseUser70", "findUser21"))
 def i4b(spark, sf):
-    return traverse.trace_flow(code_graph(spark, sf), "findUser63", "loadOrder37")
+    return _flow(spark, sf, "parseUser70", "findUser21")
+
+
+@query("i5_shared_dependency", _flow_sql("findIndex0", "parseUser44"))
+def i5(spark, sf):
+    return _flow(spark, sf, "findIndex0", "parseUser44")
 
 
 def _lpa_sql(rounds: int) -> str:
@@ -235,9 +256,11 @@ def i6(spark, sf):
     return traverse.cluster_members(code_graph(spark, sf))
 
 
-@query("i6_cluster_report")
+@query("i6_cluster_report", _lpa_sql(3).replace(" SELECT n AS node, l AS label FROM l3", """, g AS (SELECT dst AS n, count(*) AS k FROM every GROUP BY dst),
+z AS (SELECT l, name, row_number() OVER (PARTITION BY l ORDER BY coalesce(k, 0) DESC, name, symbol_id) AS r, count(*) OVER (PARTITION BY l) AS c FROM l3 JOIN syms ON 's:' || symbol_id = l3.n LEFT JOIN g ON g.n = l3.n)
+SELECT l AS label, any_value(c) AS member_count, string_agg(name, ',' ORDER BY r) AS top_symbols FROM z WHERE r <= 5 GROUP BY l"""))
 def i6b(spark, sf):
-    return traverse.clusters(code_graph(spark, sf))
+    return traverse.clusters(code_graph(spark, sf)).withColumn("top_symbols", F.array_join("top_symbols", ","))
 
 
 @query("i7_directory_label", "SELECT path, CASE WHEN NOT contains(path, '/') THEN 'core' WHEN split_part(path, '/', 1) IN ('src', 'lib') THEN CASE WHEN len(string_split(path, '/')) > 2 THEN split_part(path, '/', 2) ELSE 'core' END ELSE split_part(path, '/', 1) END AS label FROM files")
@@ -311,12 +334,20 @@ def df5(spark, sf):
     return export.counts(code_graph(spark, sf), export.Export("file", exclude=["lib/n1/*"]), True).drop("warnings")
 
 
-@query("s12_dot")
+@query("s12_dot", r"""WITH f AS (SELECT path, 'n' || substr(sha1(path), 1, 12) AS node, coalesce(crate_name, CASE WHEN split_part(path, '/', 1) <> 'src' THEN split_part(path, '/', 1) WHEN contains(path, '/') THEN split_part(path, '/', 2) ELSE 'root' END) AS p FROM files),
+k AS (SELECT p, regexp_replace(p, '[^A-Za-z0-9_]', '_', 'g') AS id, min(path) AS path FROM f GROUP BY p), a AS (SELECT k.p, id, node FROM k JOIN f USING (path)),
+e AS (SELECT x.p AS s, y.p AS t, count(*) AS n FROM imports JOIN f x ON x.path = src JOIN f y ON y.path = dst WHERE x.p <> y.p AND src <> dst GROUP BY ALL)
+SELECT * FROM (VALUES (0, '0', 'digraph code {'), (0, '1', '    rankdir=TB;'), (0, '2', '    node [style=filled fontname=monospace];'), (9, '', '}')) v(part, key, line)
+UNION ALL SELECT 1, p || chr(9) || '0', '    subgraph cluster_' || id || ' {' || chr(10) || '        label="' || p || '";' || chr(10) || '        color=lightgrey;' || chr(10) || '        style=filled;' FROM a
+UNION ALL SELECT 1, p || chr(9) || '1' || path, '        ' || node || ' [label="' || path || '" fillcolor="#AED6F1"];' FROM f UNION ALL SELECT 1, p || chr(9) || '2', '    }' FROM a
+UNION ALL SELECT 2, s || '>' || t, '    ' || x.node || ' -> ' || y.node || ' [ltail=cluster_' || x.id || ' lhead=cluster_' || y.id || ' label="' || n || '"];' FROM e JOIN a x ON x.p = s JOIN a y ON y.p = t""")
 def s12(spark, sf):
-    return export.dot_lines(code_graph(spark, sf), export.Export("package", root="lib"))
+    return export.dot_lines(code_graph(spark, sf), export.Export("package"))
 
 
-@query("s13_mermaid")
+@query("s13_mermaid", """WITH s AS (SELECT 's:' || symbol_id AS id, 'n' || symbol_id AS node, name || ' (' || CASE kind WHEN 'function' THEN 'fn' ELSE kind END || ')' AS label, kind FROM syms WHERE parent_id IS NULL AND starts_with(file, 'lib/n1/'))
+SELECT 0 AS part, '0' AS key, 'flowchart TB' AS line UNION ALL SELECT 1, node, '    ' || node || CASE WHEN kind IN ('struct', 'trait', 'interface') THEN '(["' || label || '" ])' WHEN kind = 'enum' THEN '{"' || label || '" }' ELSE '["' || label || '"]' END FROM s
+UNION ALL SELECT 2, a.node || '>' || b.node || '>Calls', '    ' || a.node || ' --> ' || b.node FROM calls JOIN s a ON a.id = src JOIN s b ON b.id = dst""")
 def s13(spark, sf):
     return export.mermaid_lines(code_graph(spark, sf), export.Export("symbol", root="lib/n1"))
 
@@ -379,7 +410,15 @@ def t7(spark, sf):
     return search.search(code_graph(spark, sf), "finduser63").select("symbol_name", "kind", "file_path", "line")
 
 
-@query("t7_search_fused")
+@query("t7_search_fused", """WITH d AS (SELECT s.name, s.kind, coalesce(s.file, p.file) AS f, s.line, s.line_end, s.is_exported FROM syms s LEFT JOIN syms p ON s.parent_id = p.symbol_id WHERE coalesce(s.file, p.file) IS NOT NULL),
+n AS (SELECT name, count(*) AS n, list_distinct([substr(lower(name), i, 3) FOR i IN range(1, len(name) - 1)]) AS g, [w FOR w IN string_split_regex(lower(name || ' ' || regexp_replace(name, '([^_])([A-Z])', '\\1_\\2', 'g')), '[^a-z0-9]+') IF w <> ''] AS w FROM d GROUP BY name),
+h AS (SELECT [substr('fnd user 63', i, 3) FOR i IN range(1, 10)] AS h), ts AS (SELECT name, len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))) AS score FROM n, h),
+q AS (SELECT name, n, len(w) AS l, t, count(*) AS tf FROM (SELECT name, n, w, unnest(w) AS t FROM n) WHERE t IN ('fnd', 'user', '63') GROUP BY ALL), c AS (SELECT t, sum(n) AS df FROM q GROUP BY t),
+bs AS (SELECT name, sum(ln(1 + ((SELECT count(*) FROM d) - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * l / 8.0))) AS score FROM q JOIN c USING (t) GROUP BY name),
+z AS (SELECT * FROM (SELECT d.*, 0 AS src, row_number() OVER (ORDER BY score DESC, f, line, name) AS rank FROM d JOIN ts USING (name) WHERE score >= 0.3) WHERE rank <= 20
+ UNION ALL SELECT * FROM (SELECT d.*, 1, row_number() OVER (ORDER BY round(score, 12) DESC, f, line, name) AS rank FROM d JOIN bs USING (name)) WHERE rank <= 20),
+o AS (SELECT *, sum(1.0::DOUBLE / (60 + rank)) OVER (PARTITION BY name, line) AS score, row_number() OVER (PARTITION BY name, line ORDER BY src, rank) AS r FROM z)
+SELECT name AS symbol_name, kind, f AS file_path, line, line_end, is_exported FROM o WHERE r = 1 ORDER BY score DESC, f, line LIMIT 20""")
 def t7b(spark, sf):
     return search.search(code_graph(spark, sf), "fnd user 63")
 
@@ -392,9 +431,19 @@ def r1(spark, sf):
     return c.select("conv_id", "turn", text.query_kind(q).alias("kind"))
 
 
-@query("r2_search_pattern")
+def _pattern_sql() -> str:
+    stem = "w"
+    for e in reversed(text.ENDINGS):
+        rest = f"substr(w, 1, len(w) - {len(e)})"
+        stem = f"CASE WHEN w LIKE '%{e}' AND strlen({rest}) >= 3 THEN {rest}{' || ' + repr('y') if e == 'ies' else ''} ELSE {stem} END"
+    escape = lambda c: f"regexp_replace({c}, '([\\\\.+*?()|\\[\\]{{}}^$#&~-])', '\\\\\\1', 'g')"
+    words = f"[{escape(stem)} FOR w IN string_split_regex(lower(text), '[ \\t\\n\\v\\f\\r]+') IF strlen(w) > 2 AND NOT list_contains({text.STOP_WORDS}, w)]"
+    return f"SELECT conv_id, turn, CASE WHEN len(p) = 0 THEN {escape('text')} ELSE array_to_string(p, '|') END AS pattern FROM (SELECT *, {words} AS p FROM conversations)"
+
+
+@query("r2_search_pattern", _pattern_sql(), view=False)
 def r2(spark, sf):
-    return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", text.search_pattern(F.col("text")).alias("pattern"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", text.search_pattern(F.col("text")).alias("pattern"))
 
 
 @query("r3_stem", """WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) || e.e AS w FROM part, (SELECT unnest(['ies', 'ing', 'tion', 'ment', 'ness', 'ed', 'ly', 's', '']) AS e) e)
@@ -471,7 +520,9 @@ def g2(spark, sf):
     return graphjson.symbol_graph(code_graph(spark, sf))[0].where("kind NOT IN ('file', 'module')").select("key", "kind", F.round("size", 6).alias("size"))
 
 
-@query("g2_symbol_graph_edges")
+@query("g2_symbol_graph_edges", """WITH k AS (SELECT path AS id, path AS key FROM files UNION ALL SELECT 's:' || symbol_id, coalesce(file, '') || '::' || name || '::' || line FROM syms)
+SELECT a.key AS source, b.key AS target, kind AS edge_type, CASE kind WHEN 'Calls' THEN '#7c3aed' WHEN 'Contains' THEN '#2d5a3d' WHEN 'HasDecorator' THEN '#b45309' ELSE '#4a4060' END AS color, false AS is_circular, CASE kind WHEN 'Calls' THEN 1.2 WHEN 'Contains' THEN 0.5 ELSE 1.0 END::DOUBLE AS weight
+FROM every JOIN k a ON a.id = src JOIN k b ON b.id = dst WHERE kind <> 'ResolvedImport'""")
 def g2b(spark, sf):
     return graphjson.symbol_graph(code_graph(spark, sf))[1]
 
