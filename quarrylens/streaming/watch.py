@@ -16,8 +16,8 @@ from ..operators.lookup import located
 from ..operators.resolve import Manifests, resolve
 from ..plans.lineage import cut
 from ..schema import CodeGraph, is_file, null_string
-from ..sources.ingest import parse_sources, symbol_table
-from ..sources.store import load_graph, save_graph
+from ..sources.ingest import PARSED, parse_sources, symbol_table
+from ..sources.store import load_graph, load_parsed, save_graph
 from ..sources.walk import file_table
 
 # Files whose change calls for a rebuild, and those among them that are roots of crates.
@@ -88,7 +88,7 @@ def apply_changes(g: CodeGraph, parsed: DataFrame, changed: DataFrame, deleted:
 
 
 def run_watcher(events: DataFrame, read: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, m: Manifests, on_update: Callable[[str], None] | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Keep the graph stored at path (with its parse results) up to date with a stream of events (path, ts, exists).
+    """Keep the graph stored at path/graph (its parse results with it) up to date with a stream of events (path, ts, exists).
 
     read: gives (path, content) of paths. A batch that holds a rebuild event re-parses all files of the graph.
     on_update gets a JSON message after each batch that changed something; trigger defaults to one second."""
@@ -100,7 +100,9 @@ def run_watcher(events: DataFrame, read: Callable[[DataFrame], DataFrame], path:
             return
         loaded = load_graph(spark, f"{path}/graph")
         g, state = loaded if loaded else (CodeGraph.empty(spark), spark.createDataFrame([], "path string, size long, mtime long"))
-        parsed = spark.read.parquet(f"{path}/parsed")
+        parsed = load_parsed(spark, f"{path}/graph")
+        if parsed is None:
+            parsed = spark.createDataFrame([], PARSED)
         rebuild = not batch.where(F.col("event").isin("CrateRootChanged", "ConfigChanged")).isEmpty()
         gone = batch.where("event = 'Deleted' OR NOT exists").select("path")
         now = batch.where("exists").where(extension("path").isin(SOURCE_EXT)).select("path")
@@ -108,8 +110,7 @@ def run_watcher(events: DataFrame, read: Callable[[DataFrame], DataFrame], path:
             now = now.unionByName(g.files.where("kind = 'Source'").select("path")).distinct().join(gone, "path", "left_anti")
         new, results = apply_changes(g, parsed, cut(read(now)), gone, m)
         results = cut(results)
-        save_graph(new, f"{path}/graph", state)
-        results.write.mode("overwrite").parquet(f"{path}/parsed")
+        save_graph(new, f"{path}/graph", state, results)
         if on_update:
             on_update(json.dumps({"type": "graph_updated"}))
 

@@ -45,8 +45,7 @@ def test_deleting_leaves_unresolved_imports(spark):
 def test_stream_drained_equals_rebuild(spark, tmp_path):
     root = str(tmp_path)
     g, parsed = build(files_of(spark, BEFORE))
-    save_graph(g, f"{root}/store/graph")
-    parsed.write.parquet(f"{root}/store/parsed")
+    save_graph(g, f"{root}/store/graph", parsed=parsed)
     t = datetime(2024, 1, 1)
     events = [("b.ts", t, True), ("b.ts", t + timedelta(milliseconds=20), True), ("c.ts", t, False), ("c.ts", t + timedelta(milliseconds=30), True), ("old.py", t, False), ("notes.txt", t, True), ("node_modules/x.ts", t, True)]
     spark.createDataFrame(events, "path string, ts timestamp, exists boolean").write.parquet(f"{root}/events")
@@ -110,3 +109,14 @@ def test_drained_query_gives_the_last_bursts_too(spark, tmp_path):
     next(tmp_path.glob("e/*.parquet")).rename(tmp_path / "events.parquet")
     got, want = (sorted(map(tuple, QUERIES[n](spark, str(tmp_path)).select("path", "us", "exists").collect())) for n in ("w1_debounce_stream", "w1_debounce"))
     assert got == want
+
+
+def test_a_replacement_cut_short_keeps_the_graph(spark, tmp_path):
+    g, parsed = build(files_of(spark, BEFORE))
+    path = tmp_path / "graph"
+    save_graph(g, str(path), parsed=parsed)
+    path.rename(tmp_path / "graph.old")  # as after the first of the two moves
+    (tmp_path / "graph.new").mkdir()
+    assert content(load_graph(spark, str(path))[0]) == content(g)
+    save_graph(g.with_(files=g.files.limit(0)), str(path))
+    assert load_graph(spark, str(path))[0].files.count() == 0 and sorted(p.name for p in tmp_path.iterdir()) == ["graph"]
