@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import epoch_text
-from .operators import graphjson, resolve
+from .operators import aggregates, graphjson, lookup, resolve
 from .plans.lineage import cut, shared_folder
 from .plans.views import table
 from .queries import query
@@ -425,6 +425,55 @@ def j13(spark, sf):
 SOURCES = [p for p in PROJECT if p.rpartition(".")[2] in ("ts", "rs", "py", "go") and "node_modules" not in p and ".skip." not in p and not p.startswith("left/")]
 
 
+# The graph of the whole project, seen through lookups and aggregates. Unlike the rows above, these were printed by the
+# engine first and then held against the sources and rules by reading.
+
+
+@query("a3_crate_symbols", expected("crate_name file_count symbol_count fn_count struct_count enum_count", [("one_~", 4, 2, 1, 1, 0), ("two_~", 1, 1, 1, 0, 0)]), view=False)
+def a3p(spark, sf):
+    return aggregates.crate_stats(built(spark, sf)).select("crate_name", "file_count", "symbol_count", "fn_count", "struct_count", "enum_count")
+
+
+@query("d2_project_symbols", expected("path name kind line", [
+    ("p~/py/pkg/many.py", "Out~", "class", 3), ("p~/py/pkg/many.py", "__all__", "variable", 1), ("p~/web/app.ts", "C~", "class", 10), ("p~/web/app.ts", "I~", "interface", 11),
+]), view=False)
+def d2p(spark, sf):
+    return aggregates.unreferenced_symbols(built(spark, sf))
+
+
+@query("f4_context_types", expected("section symbol_name kind file_path line", [
+    ("definitions", "C~", "class", APP, 10), ("definitions", "I~", "interface", APP, 11), ("definitions", "Base~", "class", "p~/web/a.ts", 2),
+    ("definitions", "Root~", "struct", "p~/go/handlers/h.go", 2), ("definitions", "H~", "struct", "p~/go/handlers/h.go", 3), ("callees", "only~", "function", "p~/web/a.ts", 3),
+    ("extends", "Base~", "class", "p~/web/a.ts", 2), ("extended_by", "C~", "class", APP, 10), ("implements", "I~", "interface", APP, 11), ("implements", "Runner~", "interface", "p~/go/handlers/h.go", 7),
+    ("implemented_by", "C~", "class", APP, 10), ("references", None, "Import", "p~/go/main.go", None),
+]), view=False)
+def f4p(spark, sf):
+    """All sections, for classes, structs and interfaces."""
+    g = built(spark, sf)
+    return lookup.context(g, g.symbols.where("name RLIKE '^(C|I|Base|Root|H)[0-9]+$'").select("symbol_id")).select("section", "symbol_name", "kind", "file_path", "line")
+
+
+@query("f5_import_categories", expected("file_path specifier category is_reexport", [
+    ("p~/crates/one/src/a/inner.rs", "self::x", "Internal", False), ("p~/crates/one/src/a/inner.rs", "super::super::b::*", "Internal", False), ("p~/crates/one/src/a/mod.rs", "super::b::f", "Internal", False),
+    *[("p~/crates/one/src/lib.rs", s, c, False) for s, c in (("crate::a::inner::Thing", "Internal"), ("crate::nowhere::X", "Internal"), ("serde::Serialize", "External"), ("std::io", "Builtin"), ("two_~::thing", "Workspace"))],
+    *[("p~/go/main.go", s, c, False) for s, c in (("example.com/app~/handlers", "Internal"), ("example.com/app~/handlers", "Internal"), ("fmt", "External"), ("github.com/x/y", "External"))],
+    *[("p~/py/main.py", s, c, False) for s, c in ((".pkg", "Internal"), (".pkg", "Internal"), (".pkg.many", "Internal"), ("logging", "External"), ("os.path", "External"), ("requests.api", "External"))],
+    ("p~/py/pkg/__init__.py", ".impl", "Internal", False), ("p~/util/src/index.ts", "p~/util/src/deep.ts", "Internal", True),
+    *[(APP, s, c, False) for s, c in (("./barrel", "Internal"), ("./barrel", "Internal"), ("./ring", "Internal"), ("@lib/alias~.js", "Internal"), ("@org/util~", "Internal"), ("@scope/pack/x", "External"), ("lodash/merge", "External"), ("node:fs", "Builtin"), ("path", "Builtin"))],
+]), view=False)
+def f5p(spark, sf):
+    return lookup.file_imports(built(spark, sf)).drop("seq")
+
+
+@query("f10_roles", expected("relative_path role", [
+    *[(f"p~/{p}", "Config") for p in ("crates/one/Cargo.toml", "crates/two/Cargo.toml", "other/Cargo.toml", "util/package.json")],
+    *[(f"p~/{p}", "LibraryRoot") for p in ("crates/one/src/lib.rs", "crates/one/src/a/mod.rs", "other/src/lib.rs")],
+    *[(f"p~/{p}", "Types") for p in ("crates/one/src/a/inner.rs", "go/handlers/h.go")],
+]), view=False)
+def f10p(spark, sf):
+    return lookup.file_summaries(built(spark, sf)).where("role <> 'Utility' AND relative_path LIKE 'p%/%'").select("relative_path", "role")
+
+
 @query("s1_source_files", expected("path language", [(p, {"ts": "typescript", "rs": "rust", "py": "python", "go": "go"}[p.rpartition(".")[2]]) for p in SOURCES]), view=False)
 def s1(spark, sf):
     return built(spark, sf).files.where("kind = 'Source'").select("path", "language")

@@ -398,3 +398,32 @@ def test_kernels_in_one_task_and_in_rounds_give_the_same_rows(spark, monkeypatch
     quick = all_three()
     monkeypatch.setattr(local, "LOCAL_EDGES", -1)
     assert all_three() == quick
+
+
+def test_nearest_of_questions_and_recall_of_the_approximate_search(spark):
+    import numpy as np
+    import pandas as pd
+
+    from quarrylens.operators import retrieval
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 16))
+    x[300:] = x[:300] + rng.normal(size=(300, 16)) * 0.2
+    df = spark.createDataFrame([(i, [float(u) for u in v]) for i, v in enumerate(x)], "key long, vec array<float>").cache()
+    f = x.astype(np.float32).astype(float)
+    hits = 0
+    for i in (3, 77, 150):
+        distance = 1 - f @ f[i] / np.sqrt((f * f).sum(axis=1) * (f[i] @ f[i]))
+        want = sorted(range(600), key=lambda j: (distance[j], j))[:10]
+        assert [r.key for r in retrieval.nearest(df, list(f[i]), 10).collect()] == want
+        hits += len(set(want) & {r.key for r in retrieval.nearest_approx(df, list(f[i]), 10).collect()})
+    assert hits >= 27
+    # a question's citations are the nearest texts by the same embedder, computed apart
+    names = [f"find{a}{b}" for a in ("User", "Order", "Index") for b in range(20)]
+    rows = [(i, f"src/{n}.ts", n, i + 1, "function") for i, n in enumerate(names)]
+    vectors = retrieval.embed_symbols(spark.createDataFrame(rows, "key long, file_path string, symbol_name string, line_start int, kind string"))
+    embed = retrieval.hashing_embedder()
+    own = np.array(embed(pd.Series([f"{n} in {p}:{line}" for _, p, n, line, _ in rows])).tolist())
+    q = np.array(embed(pd.Series(["how does findOrder7 work"])).iloc[0])
+    best = sorted(range(len(rows)), key=lambda i: (round(1 - own[i] @ q / np.linalg.norm(own[i]) / np.linalg.norm(q), 9), i))[:5]
+    assert [r.symbol_name for r in retrieval.conceptual(vectors, "how does findOrder7 work").orderBy("index").collect()] == [names[i] for i in best]
