@@ -128,7 +128,8 @@ def _interleave(docs: DataFrame, weights: dict[str | None, float] | None, block_
     if not sums:
         return keyed.select("row", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("slot"), "shuffle"), 0
     ranges = F.create_map(*[x for k, (n, _) in sums.items() for x in (F.lit(k), F.lit(max(1, math.isqrt(n))))])[F.col("source")]
-    keyed = keyed.withColumn("range", F.floor(F.col("shuffle") * ranges / F.lit(float(1 << 53))).cast("long"))
+    # divided first: a key has 53 bits, which a double holds exactly, while its product with over 1,024 ranges overflows a long
+    keyed = keyed.withColumn("range", F.floor(F.col("shuffle") / F.lit(float(1 << 53)) * ranges).cast("long"))
     parts = keyed.groupBy("source", "range").agg(F.sum("size").alias("chars"))
     along = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("source", "range", F.coalesce(F.sum("chars").over(along), F.lit(0)).alias("before"))

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarrylens.llm import mixing
 
@@ -55,3 +56,20 @@ def test_documents(spark):
     assert order.columns == df.columns
     assert Counter(order.collect()) == Counter(df.collect())
     assert mixing.op1(df.limit(0)).count() == 0 and mixing.mixed(df.limit(0)).count() == 0
+
+
+def test_a_source_of_over_a_million_rows(spark):
+    n = 1_060_000  # 1,029 ranges, whose products with keys of 53 bits reach beyond a long
+    df = spark.range(n).selectExpr("id AS doc_id", "if(id < 5, 'small', 'hot') AS source", "'0123456789' AS text")
+    got = mixing.op1(df).toPandas()
+    assert len(got) == n and got.doc_id.nunique() == n
+    for _, own in got.groupby("source"):
+        # a walk along the source in order of its keys gives the same blocks, and blocks follow their slots
+        own = own.sort_values(["order_in_slot", "doc_id"])
+        at = np.arange(len(own)) * 10
+        assert (own.block.to_numpy() == np.minimum(at // 65_536, max(0, -(-10 * len(own) // 65_536) - 1))).all()
+        assert (np.diff(own.slot.to_numpy()) >= 0).all()
+    placed = mixing.mixed(df).select("doc_id", F.spark_partition_id().alias("part")).toPandas()
+    assert len(placed) == n and placed.doc_id.nunique() == n
+    both = placed.merge(got, on="doc_id")
+    assert (both.groupby("part").slot.min().to_numpy()[1:] >= both.groupby("part").slot.max().to_numpy()[:-1]).all()
