@@ -18,12 +18,16 @@ def check_regex(spark, pattern: str) -> None:
         raise ValueError(f"invalid pattern {pattern!r}: {e.java_exception.getMessage() if hasattr(e, 'java_exception') else e}") from None
 
 
-def located(g: CodeGraph) -> DataFrame:
-    """Symbols with file_path and language: a nested symbol's file is its parent's."""
+def placed(g: CodeGraph) -> DataFrame:
+    """Symbols with file_path: a nested symbol's file is its parent's."""
     parents = g.symbols.select(F.col("symbol_id").alias("parent_id"), F.col("file").alias("parent_file"))
-    own = g.symbols.join(parents, "parent_id", "left").withColumn("file_path", F.coalesce("file", "parent_file")).drop("parent_file")
+    return g.symbols.join(parents, "parent_id", "left").withColumn("file_path", F.coalesce("file", "parent_file")).drop("parent_file")
+
+
+def located(g: CodeGraph) -> DataFrame:
+    """Symbols with file_path and language."""
     files = g.files.select(F.col("path").alias("file_path"), F.col("language").alias("language"), F.col("crate_name"))
-    return own.join(files, "file_path", "left")
+    return placed(g).join(files, "file_path", "left")
 
 
 def find(g: CodeGraph, pattern: str, ignore_case: bool = False, kinds: list[str] | None = None, file_prefix: str | None = None, language: str | None = None) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import query_kind, search_pattern
 from ..schema import CodeGraph
-from .lookup import find, located
+from ..session import prepare, spread
+from .lookup import find, placed
 
 CITATIONS, SNIPPETS, SNIPPET_LINES, SESSIONS, BATCH = 5, 3, 40, 100, 256
 
@@ -39,21 +40,45 @@ def embedding_text(name: str = "symbol_name", path: str = "file_path", line: str
     return F.concat(F.col(name), F.lit(" in "), F.col(path), F.lit(":"), F.col(line).cast("string"))
 
 
+_HASHES: dict[int, int] = {}  # of trigrams met by this process
+_MOST_HASHES = 1 << 20
+
+
+def _trigram_hashes(codes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of trigrams, each three characters of 21 bits."""
+    if len(_HASHES) > _MOST_HASHES:
+        _HASHES.clear()
+    out = np.empty(len(codes), np.uint64)
+    for i, c in enumerate(codes.tolist()):
+        if (h := _HASHES.get(c)) is None:
+            text = chr(c >> 42) + chr(c >> 21 & 0x1FFFFF) + chr(c & 0x1FFFFF)
+            h = _HASHES[c] = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big")
+        out[i] = h
+    return out
+
+
+def _trigram_vectors(texts: list[str], dimensions: int) -> np.ndarray:
+    """Rows of signed counts of the texts' hashed trigrams, scaled to one; a whole batch is counted in arrays."""
+    padded = [f"  {t.lower()} " for t in texts]
+    chars = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.int64)
+    size = np.fromiter(map(len, padded), np.int64, len(padded))
+    row = np.repeat(np.arange(len(padded)), size)
+    inside = np.flatnonzero(row[2:] == row[:-2]) if len(row) > 2 else np.zeros(0, np.int64)
+    codes, at = np.unique(chars[inside] << 42 | chars[inside + 1] << 21 | chars[inside + 2], return_inverse=True)
+    h = _trigram_hashes(codes)
+    place, sign = (h % np.uint64(dimensions)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)
+    v = np.bincount(row[inside] * dimensions + place[at], sign[at], len(padded) * dimensions).reshape(len(padded), dimensions).astype(np.float32)
+    n = np.sqrt((v * v).sum(1, dtype=np.float64)).astype(np.float32)  # counts: sums of squares are exact
+    return v / np.where(n > 0, n, np.float32(1))[:, None]
+
+
 def hashing_embedder(dimensions: int = 384) -> Callable[[pd.Series], pd.Series]:
     """A deterministic embedder for use without a model: signed hashes of a text's character trigrams, scaled to one."""
 
     def embed(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            v = np.zeros(dimensions, np.float32)
-            s = f"  {(t or '').lower()} "
-            for i in range(len(s) - 2):
-                h = int.from_bytes(hashlib.blake2b(s[i : i + 3].encode(), digest_size=8).digest(), "big")
-                v[h % dimensions] += 1 if h >> 63 else -1
-            n = float(np.linalg.norm(v))
-            out.append((v / n if n else v).tolist())
-        return pd.Series(out)
+        return pd.Series(_trigram_vectors([t or "" for t in texts], dimensions).tolist())
 
+    embed.matrix = lambda texts: _trigram_vectors([t or "" for t in texts], dimensions)  # the same, as an array
     return embed
 
 
@@ -68,12 +93,17 @@ def embed_symbols(symbols: DataFrame, embedder: Callable[[pd.Series], pd.Series]
             yield pd.concat([f(texts.iloc[i : i + BATCH]) for i in range(0, len(texts), BATCH)]) if len(texts) else pd.Series([], dtype=object)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    prepare(symbols.sparkSession)
     return symbols.withColumn("vec", F.pandas_udf(run, "array<float>")(embedding_text()))
 
 
+def symbol_texts(g: CodeGraph) -> DataFrame:
+    """(key, file_path, symbol_name, line_start, kind) of all symbols with a file, dealt out anew for the embedder."""
+    return spread(placed(g).where("file_path IS NOT NULL").select(F.col("symbol_id").alias("key"), "file_path", F.col("name").alias("symbol_name"), F.col("line").alias("line_start"), "kind"), "key")
+
+
 def symbol_vectors(g: CodeGraph, embedder=None) -> DataFrame:
-    s = located(g).where("file_path IS NOT NULL").select(F.col("symbol_id").alias("key"), "file_path", F.col("name").alias("symbol_name"), F.col("line").alias("line_start"), "kind")
-    return embed_symbols(s, embedder)
+    return embed_symbols(symbol_texts(g), embedder)
 
 
 def cosine_distance(a: F.Column, b: F.Column) -> F.Column:
@@ -88,6 +118,52 @@ def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "key", ve
     return vectors.where(F.size(vec) == len(query)).withColumn("distance", cosine_distance(F.col(vec), q)).orderBy("distance", key).limit(k)
 
 
+def _distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """cosine_distance of rows to a vector, summed in the same order and so to the last bit."""
+    dot = lambda a, b: np.add.accumulate(a * b, axis=-1)[..., -1]
+    norm = np.sqrt(dot(vectors, vectors) * dot(query, query))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(norm == 0, 1.0, 1.0 - dot(vectors, query) / norm)
+
+
+def nearest_symbols(symbols: DataFrame, query: list[float], k: int, embedder: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
+    """The rows of nearest(embed_symbols(symbols, embedder), query, k) without vec: each task keeps its k best, so that no vector leaves it."""
+    prepare(symbols.sparkSession)
+    f = embedder or hashing_embedder()
+    columns = ["key", "file_path", "symbol_name", "line_start", "kind"]
+
+    def matrix(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the texts whose vectors are as long as the query, and these vectors."""
+        if hasattr(f, "matrix"):
+            m = f.matrix(texts)
+            return np.arange(len(texts)) if m.shape[1] == len(query) else np.zeros(0, np.int64), m
+        found = list(f(texts))
+        fit = [i for i, v in enumerate(found) if v is not None and len(v) == len(query)]
+        return np.array(fit, np.int64), np.array([found[i] for i in fit], np.float32).reshape(len(fit), len(query))
+
+    def run(frames):
+        q = np.asarray(query, float)
+        best = None
+        for frame in frames:
+            for i in range(0, len(frame), BATCH):
+                part = frame.iloc[i : i + BATCH]
+                at, m = matrix(part["text"])
+                if not len(at):
+                    continue
+                d = _distances(m.astype(float), q)
+                if best is not None and len(best) == k:
+                    low = ~(d > best["distance"].iloc[-1])
+                    at, d = at[low], d[low]
+                if len(at):
+                    own = part.iloc[at][columns].assign(distance=d)
+                    best = (own if best is None else pd.concat([best, own])).sort_values(["distance", "key"]).head(k)
+        if best is not None:
+            yield best
+
+    kinds = ", ".join(f"`{c}` {symbols.schema[c].dataType.simpleString()}" for c in columns)
+    return symbols.select(*columns, embedding_text().alias("text")).mapInPandas(run, f"{kinds}, distance double").orderBy("distance", "key").limit(k)
+
+
 def nearest_approx(vectors: DataFrame, query: list[float], k: int, key: str = "key", vec: str = "vec", tables: int = 6, width: float = 0.7, seed: int = 1) -> DataFrame:
     """Approximate nearest rows by random projections of unit vectors; candidates are re-ranked by exact distance."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
@@ -103,10 +179,10 @@ def nearest_approx(vectors: DataFrame, query: list[float], k: int, key: str = "k
 
 
 def conceptual(vectors: DataFrame, query: str, embedder=None) -> DataFrame:
-    """Up to five citations whose texts lie nearest to the question."""
+    """Up to five citations whose texts lie nearest to the question; vectors without vec are embedded on the way."""
     f = embedder or hashing_embedder()
-    v = f(pd.Series([query])).iloc[0]
-    near = nearest(vectors, list(v), CITATIONS)
+    v = list(f(pd.Series([query])).iloc[0])
+    near = nearest(vectors, v, CITATIONS) if "vec" in vectors.columns else nearest_symbols(vectors, v, CITATIONS, f)
     return _numbered(near, "distance", "key").select("index", "file_path", "line_start", "symbol_name")
 
 

@@ -427,3 +427,31 @@ def test_nearest_of_questions_and_recall_of_the_approximate_search(spark):
     q = np.array(embed(pd.Series(["how does findOrder7 work"])).iloc[0])
     best = sorted(range(len(rows)), key=lambda i: (round(1 - own[i] @ q / np.linalg.norm(own[i]) / np.linalg.norm(q), 9), i))[:5]
     assert [r.symbol_name for r in retrieval.conceptual(vectors, "how does findOrder7 work").orderBy("index").collect()] == [names[i] for i in best]
+
+
+def test_citations_without_carried_vectors_and_the_embedder_in_arrays(spark):
+    import hashlib
+
+    import numpy as np
+
+    def vector(t, dimensions=384):
+        v, s = np.zeros(dimensions, np.float32), f"  {(t or '').lower()} "
+        for i in range(len(s) - 2):
+            h = int.from_bytes(hashlib.blake2b(s[i : i + 3].encode(), digest_size=8).digest(), "big")
+            v[h % dimensions] += 1 if h >> 63 else -1
+        n = float(np.linalg.norm(v))
+        return (v / n if n else v).tolist()
+
+    texts = ["parseUser in src/a.ts:1", "", None, "ÄÖ Σ ΟΔΟΣ \U0001f600", "x" * 3000, "aaaa"]
+    assert retrieval.hashing_embedder()(pd.Series(texts, dtype=object)).tolist() == [vector(t) for t in texts]
+    names = [f"{v}{n}{i % 7}" for i, (v, n) in enumerate((v, n) for v in ("find", "load", "parse") for n in ("User", "Order", "Index") for _ in range(40))]
+    g = graph(spark, ["a.ts"], [{"name": n, "file": "a.ts", "line": i // 3} for i, n in enumerate(names)])
+    symbols = retrieval.symbol_texts(g)
+    # rows are few bytes and long work: they go to more tasks than adaptive execution would leave
+    assert symbols.select(F.spark_partition_id().alias("p")).distinct().count() >= 8
+    q = vector("how does findOrder3 work")
+    want = retrieval.nearest(retrieval.embed_symbols(symbols), q, 7).select("key", "symbol_name", "distance").collect()
+    assert retrieval.nearest_symbols(symbols, q, 7).select("key", "symbol_name", "distance").collect() == want
+    odd = lambda t: pd.Series([None if "User" in x else [1.0, float(len(x))] if "3" in x else [1.0] for x in t])
+    want = retrieval.nearest(retrieval.embed_symbols(symbols, odd), [1.0, 2.0], 90).select("key", "distance").collect()
+    assert retrieval.nearest_symbols(symbols, [1.0, 2.0], 90, odd).select("key", "distance").collect() == want
