@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import split_identifier, trigrams
 from ..schema import CodeGraph
-from .lookup import find, located
+from .lookup import find, placed
 
 K1, B, AVERAGE = 1.2, 0.75, 8.0
 RRF_K = 60
@@ -17,7 +17,7 @@ MIN_TRIGRAM = 0.3
 
 
 def documents(g: CodeGraph) -> DataFrame:
-    return located(g).where("file_path IS NOT NULL").select(F.col("name").alias("symbol_name"), "kind", "file_path", "line", "line_end", "col", "is_exported", "is_default", "visibility", "decorators")
+    return placed(g).where("file_path IS NOT NULL").select(F.col("name").alias("symbol_name"), "kind", "file_path", "line", "line_end", "col", "is_exported", "is_default", "visibility", "decorators")
 
 
 def top(df: DataFrame, score: str, limit: int) -> DataFrame:
@@ -82,20 +82,28 @@ def fuse(a: DataFrame, b: DataFrame) -> DataFrame:
     return scored.drop("key", "r", "source", "rank").orderBy(F.desc("score"), "file_path", "line")
 
 
+FOUND = ["symbol_name", "kind", "file_path", "line", "line_end", "is_exported"]
+
+
+def fused(g: CodeGraph, query: str, limit: int = 20) -> DataFrame:
+    """Trigram and BM25 hits as one list, rows of one name and line as one, also where one of the two finds nothing."""
+    docs = documents(g)
+    return fuse(ranked(trigram_search(docs, query, limit)), ranked(bm25_search(docs, query, limit))).limit(limit).select(FOUND)
+
+
 def search(g: CodeGraph, query: str, limit: int = 20) -> DataFrame:
     """Matches of the query as a pattern, case aside; without any, trigram and BM25 hits, fused if both have some."""
     limit = min(limit, 500)
-    cols = ["symbol_name", "kind", "file_path", "line", "line_end", "is_exported"]
     try:
         exact = find(g, query, ignore_case=True).limit(limit)
         if not exact.isEmpty():
-            return exact.select(cols)
+            return exact.select(FOUND)
     except ValueError:
         pass  # not a pattern: the tiers below still apply
     docs = documents(g)
     a, b = trigram_search(docs, query, limit), bm25_search(docs, query, limit)
     if a.isEmpty():
-        return b.select(cols)
+        return b.select(FOUND)
     if b.isEmpty():
-        return a.select(cols)
-    return fuse(ranked(a), ranked(b)).limit(limit).select(cols)
+        return a.select(FOUND)
+    return fused(g, query, limit)

@@ -455,3 +455,11 @@ def test_citations_without_carried_vectors_and_the_embedder_in_arrays(spark):
     odd = lambda t: pd.Series([None if "User" in x else [1.0, float(len(x))] if "3" in x else [1.0] for x in t])
     want = retrieval.nearest(retrieval.embed_symbols(symbols, odd), [1.0, 2.0], 90).select("key", "distance").collect()
     assert retrieval.nearest_symbols(symbols, [1.0, 2.0], 90, odd).select("key", "distance").collect() == want
+
+
+def test_fused_search_where_one_list_is_empty(spark):
+    g = graph(spark, ["a.ts", "b.ts"], [{"name": "saveUserAccountRecord", "file": "a.ts", "line": 3}, {"name": "saveUserAccountRecord", "file": "b.ts", "line": 3}])
+    found = lambda df: [(r.symbol_name, r.file_path) for r in df.collect()]
+    assert found(search.fused(g, "qq user")) == [("saveUserAccountRecord", "a.ts")]  # one name and line: one row
+    assert found(search.search(g, "qq user")) == [("saveUserAccountRecord", "a.ts"), ("saveUserAccountRecord", "b.ts")]  # a single list stays as it is
+    assert search.fused(g, "zz yy").count() == 0
