@@ -68,4 +68,5 @@ def epoch_text(seconds: F.Column) -> F.Column:
     day, rest = F.floor(seconds / 86_400).cast("int"), F.pmod(seconds, F.lit(86_400))
     two = lambda c: F.lpad(F.floor(c).cast("string"), 2, "0")
     clock = F.concat_ws(":", two(rest / 3600), two(F.pmod(rest, F.lit(3600)) / 60), two(F.pmod(rest, F.lit(60))))
-    return F.concat(F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), day), "yyyy-MM-dd"), F.lit(" "), clock, F.lit(" UTC"))
+    date = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), day), "yyyy-MM-dd")
+    return F.concat(F.regexp_replace(date, "^[+]", ""), F.lit(" "), clock, F.lit(" UTC"))  # years over 9999 come with a sign

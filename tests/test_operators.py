@@ -463,3 +463,8 @@ def test_fused_search_where_one_list_is_empty(spark):
     assert found(search.fused(g, "qq user")) == [("saveUserAccountRecord", "a.ts")]  # one name and line: one row
     assert found(search.search(g, "qq user")) == [("saveUserAccountRecord", "a.ts"), ("saveUserAccountRecord", "b.ts")]  # a single list stays as it is
     assert search.fused(g, "zz yy").count() == 0
+
+
+def test_epoch_text_of_long_years(spark):
+    shown = spark.sql("SELECT explode(array(0L, 253402300799L, 253402300800L, 520104067200L)) AS s").select(text.epoch_text(F.col("s")).alias("t"))
+    assert [r.t for r in shown.collect()] == ["1970-01-01 00:00:00 UTC", "9999-12-31 23:59:59 UTC", "10000-01-01 00:00:00 UTC", "18451-06-11 00:00:00 UTC"]
