@@ -14,6 +14,7 @@ from .plans.lineage import cut, shared_folder
 from .plans.views import table
 from .queries import query
 from .schema import CodeGraph, symbol_of
+from .session import spread
 from .sources import walk
 from .sources.ingest import build, parse_sources, symbol_table
 from .sources.store import load_graph, save_graph
@@ -180,7 +181,7 @@ ROOT = {
 def _files(spark: SparkSession, sf: str, templates: dict[str, str], root: dict[str, str] | None = None) -> DataFrame:
     """(path, size, mtime, content) of the templates of every supplier, and of the files at the root."""
     texts = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(c).alias("content")) for p, c in templates.items()])
-    own = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("k"), F.explode(texts).alias("f"))
+    own = spread(table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("k")), "k").select("k", F.explode(texts).alias("f"))
     rows = own.select(F.replace("f.path", F.lit("~"), F.col("k")).alias("path"), F.replace("f.content", F.lit("~"), F.col("k")).alias("content"))
     if root:
         rows = rows.unionByName(spark.createDataFrame(list(root.items()), "path string, content string"))

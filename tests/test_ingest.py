@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +142,15 @@ def test_configuration_of_the_root(spark):
     assert {tuple(r) for r in walk.cargo_crates(files).collect()} == {("top", "src/lib.rs"), ("in_a", "in/a/src/main.rs")}
     assert {r.module for r in walk.go_modules(files).collect()} == {"top.io/m", "used.io/m"}
     assert {r.module for r in walk.go_modules(files.where("path <> 'go.work'")).collect()} == {"top.io/m", "used.io/m", "spare.io/m"}
+
+
+def test_generated_files_are_dealt_out_and_only_those_asked_for_are_parsed(spark):
+    from quarrylens import project_queries as q
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test data here")
+    for files in (q._project(spark, data).where("path LIKE 'p%/web/app.ts'"), q._files(spark, data, q.SINGLES)):
+        assert files.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    plan = q._singles(spark, data, ".go")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("EndsWith(") and "EndsWith(" not in plan[: plan.index("MapInArrow")]
