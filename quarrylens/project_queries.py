@@ -190,8 +190,9 @@ def _files(spark: SparkSession, sf: str, templates: dict[str, str], root: dict[s
     return rows.select("path", F.length("content").cast("long").alias("size"), F.lit(1).cast("long").alias("mtime"), F.col("content").cast("binary").alias("content"))
 
 
-def _singles(spark, sf) -> DataFrame:
-    return parse_sources(_files(spark, sf, SINGLES))
+def _singles(spark, sf, ext: str = "") -> DataFrame:
+    """Parse results of the single files of an ending; others are not parsed, as a file's results are its own."""
+    return parse_sources(_files(spark, sf, SINGLES).where(F.col("path").endswith(ext)))
 
 
 def _project(spark, sf) -> DataFrame:
@@ -229,7 +230,7 @@ def expected(columns: str, rows: list[tuple], once: list[tuple] = ()) -> str:
 
 
 def _symbols(spark, sf, ext: str) -> DataFrame:
-    s = cut(symbol_table(_singles(spark, sf).where(F.col("path").endswith(ext))))
+    s = cut(symbol_table(_singles(spark, sf, ext)))
     up = s.select(F.col("symbol_id").alias("parent_id"), F.col("name").alias("parent"))
     return s.join(up, "parent_id", "left")
 
@@ -289,7 +290,7 @@ def p7(spark, sf):
 
 def _imports(spark, sf, ext: str) -> DataFrame:
     one = lambda s: F.concat_ws(" ", s["name"], F.concat(F.lit("< "), s["alias"]), F.when(s["is_default"], "default"), F.when(s["is_namespace"], "all"))
-    i = _singles(spark, sf).where(F.col("path").endswith(ext)).select(F.explode("imports").alias("i")).select("i.*")
+    i = _singles(spark, sf, ext).select(F.explode("imports").alias("i")).select("i.*")
     return i.select("kind", "level", "module_path", "line", F.array_join(F.transform("specifiers", one), ", ").alias("specifiers"))
 
 
@@ -302,12 +303,12 @@ def p8(spark, sf):
 
 @query("p9_typescript_exports", expected("kind names source", [("Default", "", None), ("ReExportAll", "", "./all~"), ("ReExport", "p~,q~", "./some~"), ("Named", "fn~", None)]), view=False)
 def p9(spark, sf):
-    return _singles(spark, sf).where(F.col("path").endswith(".tsx")).select(F.explode("exports").alias("x")).select("x.kind", F.array_join("x.names", ",").alias("names"), "x.source")
+    return _singles(spark, sf, ".tsx").select(F.explode("exports").alias("x")).select("x.kind", F.array_join("x.names", ",").alias("names"), "x.source")
 
 
 @query("p10_rust_uses", expected("path is_pub_use", [("std::fmt", False), ("crate::a::{B, C}", True)]), view=False)
 def p10(spark, sf):
-    return _singles(spark, sf).select(F.explode("rust_uses").alias("u")).select("u.path", "u.is_pub_use")
+    return _singles(spark, sf, ".rs").select(F.explode("rust_uses").alias("u")).select("u.path", "u.is_pub_use")
 
 
 @query("p11_python_imports", expected("kind level module_path line specifiers", [
@@ -327,7 +328,7 @@ def p12(spark, sf):
     ("Svc~", "Base~", "Extends", 7), ("Svc~", "Face~", "Implements", 7), (None, "Id~", "TypeReference", 9), (None, "load~", "MethodCall", 9), (None, "go~", "Calls", 15), (None, "Injectable", "Calls", 6), (None, "Get", "Calls", 8),
 ]), view=False)
 def p13(spark, sf):
-    return _singles(spark, sf).where(F.col("path").endswith(".tsx")).select(F.explode("relationships").alias("r")).select("r.from_name", "r.to_name", "r.kind", "r.line")
+    return _singles(spark, sf, ".tsx").select(F.explode("relationships").alias("r")).select("r.from_name", "r.to_name", "r.kind", "r.line")
 
 
 @query("p15_module_tree", expected("crate_name path module", [
