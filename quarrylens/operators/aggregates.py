@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import components, file_name, under
-from ..schema import KIND_CODES, CodeGraph, is_file, symbol_node
+from ..schema import KIND_CODES, CodeGraph, is_file, join_sparse, symbol_node
 from .lookup import located
 
 
@@ -21,7 +21,7 @@ def project_stats(g: CodeGraph) -> DataFrame:
     """One wide row: symbols and files in one pass each, edges in one, joined as single rows."""
     s = located(g).select("symbol_id", "kind", "parent_id", "language")
     parents = g.symbols.select(F.col("symbol_id").alias("parent_id"), F.col("kind").alias("parent_kind"))
-    s = s.join(parents, "parent_id", "left")
+    s = join_sparse(s, parents, "parent_id", F.col("symbol_id"))
     k, lang, top = F.col("kind"), F.col("language"), F.col("parent_id").isNull()
     n = F.count_if
     symbols = s.agg(

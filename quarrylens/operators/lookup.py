@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import components, file_name, of_language, parse_language, under
-from ..schema import CodeGraph, is_file, is_symbol, null_string, symbol_node, symbol_of
+from ..schema import CodeGraph, is_file, is_symbol, join_sparse, null_string, symbol_node, symbol_of
 from .decorators import with_frameworks
 
 
@@ -18,23 +18,23 @@ def check_regex(spark, pattern: str) -> None:
         raise ValueError(f"invalid pattern {pattern!r}: {e.java_exception.getMessage() if hasattr(e, 'java_exception') else e}") from None
 
 
-def placed(g: CodeGraph) -> DataFrame:
-    """Symbols with file_path: a nested symbol's file is its parent's."""
+def placed(g: CodeGraph, own: DataFrame | None = None) -> DataFrame:
+    """Symbols (own: these of them) with file_path: a nested symbol's file is its parent's."""
     parents = g.symbols.select(F.col("symbol_id").alias("parent_id"), F.col("file").alias("parent_file"))
-    return g.symbols.join(parents, "parent_id", "left").withColumn("file_path", F.coalesce("file", "parent_file")).drop("parent_file")
+    return join_sparse(g.symbols if own is None else own, parents, "parent_id", F.col("symbol_id")).withColumn("file_path", F.coalesce("file", "parent_file")).drop("parent_file")
 
 
-def located(g: CodeGraph) -> DataFrame:
+def located(g: CodeGraph, own: DataFrame | None = None) -> DataFrame:
     """Symbols with file_path and language."""
     files = g.files.select(F.col("path").alias("file_path"), F.col("language").alias("language"), F.col("crate_name"))
-    return placed(g).join(files, "file_path", "left")
+    return placed(g, own).join(files, "file_path", "left")
 
 
 def find(g: CodeGraph, pattern: str, ignore_case: bool = False, kinds: list[str] | None = None, file_prefix: str | None = None, language: str | None = None) -> DataFrame:
     """Symbols whose name the unanchored pattern matches, in order of path and line; language is the graph's own name."""
     pattern = f"(?i){pattern}" if ignore_case else pattern
     check_regex(g.spark, pattern)
-    out = located(g).where(F.col("name").rlike(pattern))
+    out = located(g, g.symbols.where(F.col("name").rlike(pattern)))
     if kinds:
         out = out.where(F.col("kind").isin(kinds))
     out = out.where(F.col("file_path").isNotNull() & under("file_path", file_prefix))
@@ -52,8 +52,9 @@ def match_symbols(g: CodeGraph, pattern: str, ignore_case: bool = False) -> Data
 
 def refs(g: CodeGraph, symbols: DataFrame, kind: str | None = None, file: str | None = None, language: str | None = None) -> DataFrame:
     """(file_path, ref_kind, symbol_name, line): files that import a defining file, and callers of the symbols (symbol_id)."""
-    where = located(g).select("symbol_id", "file_path", F.col("name").alias("symbol_name"), "line")
-    homes = where.join(symbols.select("symbol_id"), "symbol_id", "left_semi").select(F.col("file_path").alias("path")).distinct()
+    where = placed(g).select("symbol_id", "file_path", F.col("name").alias("symbol_name"), "line")
+    asked = g.symbols.join(symbols.select("symbol_id"), "symbol_id", "left_semi")
+    homes = placed(g, asked).select(F.col("file_path").alias("path")).distinct()
     imports = g.file_imports().join(homes.withColumnRenamed("path", "dst"), "dst", "left_semi").select(F.col("src").alias("path")).distinct()
     imports = imports.join(homes, "path", "left_anti").select(F.col("path").alias("file_path"), F.lit("Import").alias("ref_kind"), null_string().alias("symbol_name"), F.lit(None).cast("int").alias("line"))
     calls = g.edges.where("kind = 'Calls'").join(symbols.select(symbol_node("symbol_id").alias("dst")), "dst", "left_semi")
@@ -70,7 +71,7 @@ SECTIONS = ("definitions", "references", "callees", "callers", "extends", "imple
 
 def context(g: CodeGraph, symbols: DataFrame, sections: tuple[str, ...] = SECTIONS) -> DataFrame:
     """(section, symbol_name, kind, file_path, line) around symbols (symbol_id); only the sections asked for are planned."""
-    where = located(g).select("symbol_id", F.col("name").alias("symbol_name"), "kind", "file_path", "line").where("file_path IS NOT NULL")
+    where = placed(g).select("symbol_id", F.col("name").alias("symbol_name"), "kind", "file_path", "line").where("file_path IS NOT NULL")
     own = where.join(symbols.select("symbol_id").distinct(), "symbol_id", "left_semi")
     ids = own.select(symbol_node("symbol_id").alias("node"))
     parts = []

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import directory, extension, file_name
 from ..plans.lineage import cut
-from ..schema import CodeGraph, null_string, symbol_node
+from ..schema import CodeGraph, join_sparse, null_string, symbol_node
 
 # The order in which a specifier's file is tried, and what the runtimes bring along.
 TS_EXT = [".ts", ".tsx", ".mts", ".js", ".jsx", ".mjs", ".json", ".node"]
@@ -127,7 +127,7 @@ def named_reexports(parsed: DataFrame, files: DataFrame, linked: DataFrame) -> D
 
 def _symbols(g: CodeGraph) -> DataFrame:
     parents = g.symbols.select(F.col("symbol_id").alias("parent_id"), F.col("file").alias("pf"))
-    return g.symbols.join(parents, "parent_id", "left").select("symbol_id", "name", "kind", "line", "col", "file", F.coalesce("file", "pf").alias("home"), "parent_id", "trait_impl", "decorators")
+    return join_sparse(g.symbols, parents, "parent_id", F.col("symbol_id")).select("symbol_id", "name", "kind", "line", "col", "file", F.coalesce("file", "pf").alias("home"), "parent_id", "trait_impl", "decorators")
 
 
 def inheritance(g: CodeGraph, parsed: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from .operators import aggregates, graphjson, lookup, resolve
 from .plans.lineage import cut, shared_folder
 from .plans.views import table
 from .queries import query
-from .schema import CodeGraph, symbol_of
+from .schema import CodeGraph, join_sparse, symbol_of
 from .session import spread
 from .sources import walk
 from .sources.ingest import build, parse_sources, symbol_table
@@ -232,7 +232,7 @@ def expected(columns: str, rows: list[tuple], once: list[tuple] = ()) -> str:
 def _symbols(spark, sf, ext: str) -> DataFrame:
     s = cut(symbol_table(_singles(spark, sf, ext)))
     up = s.select(F.col("symbol_id").alias("parent_id"), F.col("name").alias("parent"))
-    return s.join(up, "parent_id", "left")
+    return join_sparse(s, up, "parent_id", F.col("symbol_id"))
 
 
 @query("p2_typescript_symbols", expected("parent name kind line is_exported is_default", [
@@ -345,7 +345,7 @@ def _edges(spark, sf, like: str, *kinds: str) -> DataFrame:
     e = g.edges.where(F.col("kind").isin(*kinds))
     name = g.symbols.select("symbol_id", "name")
     for end in ("src", "dst"):
-        e = e.withColumn("symbol_id", symbol_of(end)).join(name, "symbol_id", "left").withColumn(end, F.when(F.col("symbol_id").isNotNull(), F.concat(F.lit("s:"), "name")).when(F.col(end).startswith("unresolved:"), "unresolved").otherwise(F.col(end))).drop("name", "symbol_id")
+        e = join_sparse(e.withColumn("symbol_id", symbol_of(end)), name, "symbol_id", F.xxhash64("src", "dst", "specifier")).withColumn(end, F.when(F.col("symbol_id").isNotNull(), F.concat(F.lit("s:"), "name")).when(F.col(end).startswith("unresolved:"), "unresolved").otherwise(F.col(end))).drop("name", "symbol_id")
     return e.where(F.col("src").like(like)).select("src", "dst", "specifier", "kind")
 
 

@@ -69,6 +69,14 @@ class CodeGraph:
         return self.edges.where("kind = 'ResolvedImport'").where(is_file("src") & is_file("dst")).select("src", "dst")
 
 
+def join_sparse(rows: DataFrame, table: DataFrame, key: str, place: F.Column) -> DataFrame:
+    """rows left-joined with table (one row a key), where most rows hold no key: these are dealt out by place.
+
+    In a plain left join all rows of a null key go to one task, which grows with the table."""
+    own = rows.withColumn("__key", F.coalesce(F.col(key), place))
+    return own.join(table.withColumnRenamed(key, "__one"), (F.col("__key") == F.col("__one")) & F.col(key).isNotNull(), "left").drop("__key", "__one")
+
+
 def null_string() -> F.Column:
     return F.lit(None).cast("string")
 

@@ -468,3 +468,28 @@ def test_fused_search_where_one_list_is_empty(spark):
 def test_epoch_text_of_long_years(spark):
     shown = spark.sql("SELECT explode(array(0L, 253402300799L, 253402300800L, 520104067200L)) AS s").select(text.epoch_text(F.col("s")).alias("t"))
     assert [r.t for r in shown.collect()] == ["1970-01-01 00:00:00 UTC", "9999-12-31 23:59:59 UTC", "10000-01-01 00:00:00 UTC", "18451-06-11 00:00:00 UTC"]
+
+
+def test_symbols_without_a_parent_are_dealt_out(spark):
+    """In a plain left join their null keys all go to one task."""
+    g = graph(spark, ["a.ts"], [{"name": "up", "file": "a.ts"}, {"name": "in", "file": None, "parent_id": 1}] + [{"name": f"s{i}", "file": "a.ts"} for i in range(400)])
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        rows = lookup.placed(g).select("symbol_id", "file_path", F.spark_partition_id().alias("p")).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 402 and {r.file_path for r in rows} == {"a.ts"}
+    assert max(sum(r.p == p for r in rows) for p in range(4)) < 201
+
+
+def test_rename_and_decorators_join_only_the_symbols_asked_for(spark):
+    g = graph(spark, ["a.py"], [{"name": "up", "file": "a.py", "line": 1, "decorators": ["app.get", "x"]}, {"name": "in", "file": None, "parent_id": 1, "line": 2, "decorators": ["get"]}, {"name": "no", "file": "a.py", "decorators": ["y"]}, {"name": "own", "file": "a.py", "decorators": ["__get"]}])
+    assert [(r.symbol_name, r.file_path, r.decorator_name) for r in lookup.find_by_decorator(g, "GET").collect()] == [("up", "a.py", "app.get"), ("in", "a.py", "get")]
+    assert [(r.file_path, r.line) for r in lookup.plan_rename(g, "in", "new").collect()] == [("a.py", 2)]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    # the wide side of the join holds what the filter left
+    below = lambda df, what: what in plan(df)[plan(df).index("Join LeftOuter") :]
+    assert below(lookup.find_by_decorator(g, "GET"), "exists(")
