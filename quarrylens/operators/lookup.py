@@ -133,8 +133,10 @@ def imports_of(g: CodeGraph, path: str) -> DataFrame:
 def find_by_decorator(g: CodeGraph, pattern: str, language: str | None = None, framework: str | None = None, limit: int = 100) -> DataFrame:
     """Symbols with a decorator that the pattern matches, case aside; names of our own (`__...`) are left out."""
     check_regex(g.spark, f"(?i){pattern}")
-    d = with_frameworks(located(g)).select("name", "kind", "file_path", "line", "line_end", "language", F.explode("decorators").alias("d"))
-    d = d.where(F.col("d.name").rlike(f"(?i){pattern}") & ~F.col("d.name").startswith("__"))
+    own = lambda d: d["name"].rlike(f"(?i){pattern}") & ~d["name"].startswith("__")
+    # only symbols with such a decorator are joined, not all with their decorators
+    d = with_frameworks(located(g, g.symbols.where(F.exists("decorators", own)))).select("name", "kind", "file_path", "line", "line_end", "language", F.explode("decorators").alias("d"))
+    d = d.where(own(F.col("d")))
     if language:
         d = d.where(of_language("file_path", language))
     if framework:
