@@ -147,8 +147,9 @@ def find_by_decorator(g: CodeGraph, pattern: str, language: str | None = None, f
 
 def plan_rename(g: CodeGraph, symbol: str, new_name: str) -> DataFrame:
     """(file_path, line, old_text, new_text, note): definitions and references of a name, one row a place, definitions first."""
-    ids = g.symbols.where(F.col("name") == symbol).select("symbol_id")
-    own = located(g).join(ids, "symbol_id", "left_semi").where("file_path IS NOT NULL").select("file_path", "line", F.lit(0).alias("rank"))
+    named = g.symbols.where(F.col("name") == symbol)
+    ids = named.select("symbol_id")
+    own = placed(g, named).where("file_path IS NOT NULL").select("file_path", "line", F.lit(0).alias("rank"))
     used = refs(g, ids).select("file_path", F.coalesce("line", F.lit(0)).alias("line"), F.lit(1).alias("rank"))
     first = Window.partitionBy("file_path", "line").orderBy("rank")
     rows = own.unionByName(used).withColumn("r", F.row_number().over(first)).where("r = 1")
