@@ -76,14 +76,18 @@ def trace_flow(g: CodeGraph, entry: str, target: str, max_paths: int = 3, max_de
     e = g.edges.where(F.col("kind").isin("Calls", "ResolvedImport")).where((is_symbol("src") | is_file("src")) & (is_symbol("dst") | is_file("dst")))
     first = g.symbols.where(F.col("name") == entry).agg(F.min("symbol_id").alias("symbol_id")).where("symbol_id IS NOT NULL").select(symbol_node("symbol_id").alias("node"))
     targets = g.symbols.where(F.col("name") == target).select(symbol_node("symbol_id").alias("node"))
-    names = located(g).select(symbol_node("symbol_id").alias("node"), F.col("name").alias("label")).unionByName(g.files.select(F.col("path").alias("node"), file_name("path").alias("label")))
-    found = simple_paths(first, targets, e, max_depth, max_paths)
+    e = cut(e.select("src", "dst").distinct())
+    names = g.symbols.select(symbol_node("symbol_id").alias("node"), F.col("name").alias("label")).unionByName(g.files.select(F.col("path").alias("node"), file_name("path").alias("label")))
+    named_of = lambda df: df.join(names.join(F.broadcast(df.select("node").distinct()), "node", "left_semi"), "node", "left")  # noqa: E731 - of a few nodes
+    found = simple_paths(first, targets, e, max_depth, max_paths, ready=True)
     if not found.isEmpty():
-        steps = found.select("hops", "depth", F.posexplode("hops").alias("i", "node")).join(names, "node", "left")
+        steps = named_of(found.select("hops", "depth", F.posexplode("hops").alias("i", "node")))
         named = steps.groupBy("hops", "depth").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("label", F.lit("?")).alias("label")))), lambda x: x["label"]).alias("names"))
         return named.orderBy("depth", "hops").select(F.col("names").alias("hops"), "depth", F.lit(None).cast("string").alias("shared_dependency"))
-    a, b = bfs(first, e, max_depth).where("depth > 0"), bfs(targets, e, max_depth).where("depth > 0").select("node")
-    near = a.join(b, "node", "left_semi").orderBy("depth", "node").limit(1).join(names, "node", "left").select(F.coalesce("label", F.lit("?")).alias("shared_dependency"))
+    a = bfs(first, e, max_depth, ready=True).where("depth > 0")
+    b = targets.limit(0) if a.isEmpty() else bfs(targets, e, max_depth, ready=True).where("depth > 0").select("node")
+    near = cut(a.join(b, "node", "left_semi").orderBy("depth", "node").limit(1))
+    near = named_of(near).select(F.coalesce("label", F.lit("?")).alias("shared_dependency"))
     return near.select(F.array().cast("array<string>").alias("hops"), F.lit(0).alias("depth"), "shared_dependency")
 
 

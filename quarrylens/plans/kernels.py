@@ -16,26 +16,41 @@ from . import local
 from .lineage import cut
 
 
-def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None, by: str | None = None) -> DataFrame:
+SMALL = 100_000  # rows that are sent to all tasks, so that the edges stay where they are
+
+
+def _sent(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= SMALL else df
+
+
+def bfs(seeds: DataFrame, edges: DataFrame, max_depth: int | None = None, by: str | None = None, ready: bool = False) -> DataFrame:
     """(by, node, depth): nodes reached from seeds (node) along edges (src, dst), with the least number of hops.
 
-    by: a column of seeds that keeps searches apart; seeds have depth 0."""
+    by: a column of seeds that keeps searches apart; seeds have depth 0. ready: edges are distinct and cut already.
+    A small frontier goes to the edges and to the nodes seen; these are neither dealt out nor written anew each round."""
     keys = [by, "node"] if by else ["node"]
-    edges = cut(edges.select("src", "dst").distinct())
+    edges = edges if ready else cut(edges.select("src", "dst").distinct())
     frontier = cut(seeds.select(*keys).distinct())
-    if (size := edges.count()) <= local.LOCAL_EDGES and (n := frontier.count()) <= local.LOCAL_EDGES and (size + n) * (n if by else 1) <= local.LOCAL_STEPS:
+    n = frontier.count()
+    if (size := edges.count()) <= local.LOCAL_EDGES and n <= local.LOCAL_EDGES and (size + n) * (n if by else 1) <= local.LOCAL_STEPS:
         return _bfs_locally(frontier, edges, max_depth, by)
     seen = frontier.withColumn("depth", F.lit(0))
     depth = 0
+    same = F.col("node") == F.col("been")
+    same = same & F.col(by).eqNullSafe(F.col("been_by")) if by else same  # a null search is one of its own
     while max_depth is None or depth < max_depth:
         depth += 1
-        step = frontier.join(edges, F.col("node") == F.col("src")).select(*([by] if by else []), F.col("dst").alias("node")).distinct()
+        step = cut(edges.join(_sent(frontier, n), F.col("node") == F.col("src")).select(*([by] if by else []), F.col("dst").alias("node")).distinct())
+        n = step.count()
         been = seen.select(F.col("node").alias("been"), *([F.col(by).alias("been_by")] if by else []))
-        same = F.col("node") == F.col("been")
-        frontier = cut(step.join(been, same & F.col(by).eqNullSafe(F.col("been_by")) if by else same, "left_anti"))  # a null search is one of its own
-        if frontier.isEmpty():
+        if n <= SMALL:
+            been = F.broadcast(been.join(F.broadcast(step), same, "left_semi"))  # no more rows than step
+        frontier = cut(step.join(been, same, "left_anti"))
+        if not (n := frontier.count()):
             break
-        seen = cut(seen.unionByName(frontier.withColumn("depth", F.lit(depth))))
+        seen = seen.unionByName(frontier.withColumn("depth", F.lit(depth)))
+        if depth % 16 == 0:
+            seen = cut(seen)
     return seen
 
 
@@ -161,13 +176,20 @@ def _labels_locally(labels: DataFrame, both: DataFrame, rounds: int) -> DataFram
     return cut(local.in_one_task(rows, solve, f"node {labels.schema['node'].dataType.simpleString()}, label {labels.schema['label'].dataType.simpleString()}"))
 
 
-def simple_paths(entries: DataFrame, targets: DataFrame, edges: DataFrame, max_depth: int, max_paths: int) -> DataFrame:
+def simple_paths(entries: DataFrame, targets: DataFrame, edges: DataFrame, max_depth: int, max_paths: int, ready: bool = False) -> DataFrame:
     """(hops, depth): up to max_paths simple paths from entries to targets, shortest first, then by their hops.
 
     A path stops at its first target; expansion stops once the paths wanted are complete, as later ones are longer.
-    Only nodes from which a target is within the hops left are stepped on."""
-    edges = cut(edges.select("src", "dst").distinct())
-    left = bfs(targets, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), max_depth).select(F.col("node").alias("dst"), F.col("depth").alias("left"))
+    Only nodes from which a target is within the hops left are stepped on; few entries first leave only what they reach.
+    ready: edges are distinct and cut already."""
+    edges = edges if ready else cut(edges.select("src", "dst").distinct())
+    starts = cut(entries.select("node").distinct())
+    if starts.count() <= SMALL:
+        reach = bfs(starts, edges, max_depth, ready=True).select("node")
+        reach = _sent(reach, reach.count())
+        edges = cut(edges.join(reach.withColumnRenamed("node", "src"), "src", "left_semi"))
+        targets = cut(targets.join(reach, "node", "left_semi"))
+    left = bfs(targets, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), max_depth, ready=True).select(F.col("node").alias("dst"), F.col("depth").alias("left"))
     edges = cut(edges.join(left, "dst"))
     marks = targets.select(F.col("node").alias("dst"), F.lit(True).alias("hit")).distinct()
     frontier = entries.select(F.array("node").alias("hops"), F.col("node").alias("at"))
