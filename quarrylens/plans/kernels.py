@@ -95,23 +95,104 @@ def _spread(labels: DataFrame, edges: DataFrame, along: tuple[str, str], within:
             return labels
 
 
+HOT = 1_024
+
+
+def _met(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """rows (u, v), n in all, with m of least (u, m, n: how many rows hold u): the few keys that hold over a HOTth of all rows by broadcast, the others by shuffle."""
+    most = max(1, n // HOT)
+    hot = least.where(F.col("n") > most).drop("n").limit(HOT)
+    cold = rows.join(F.broadcast(hot.select("u")), "u", "left_anti")
+    return rows.join(F.broadcast(hot), "u").unionByName(cold.join(least.where(F.col("n") <= most).drop("n"), "u"))
+
+
+def weak_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of edges (u, v), taken both ways: component is the least node.
+
+    A round hangs the neighbours of each node on the least of them (large stars, then small ones), so rounds grow with the
+    logarithm of the longest way."""
+    e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    sums = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    now, seen = sums(e), None
+    while now != seen:
+        seen = now
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        large = cut(_met(both, least, 2 * seen[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _met(large, least, seen[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        now = sums(e)
+    root = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    return root.unionByName(root.select(F.col("component").alias("node"), "component").distinct())
+
+
 def scc(edges: DataFrame) -> DataFrame:
     """(node, component) of strongly connected components of two nodes or more; component is the least member.
 
-    Nodes without edges in both directions are trimmed; then every node takes the least node that reaches it as its
-    colour, and a node belongs to its colour's component if it also reaches that node within the colour."""
+    A graph over LOCAL_EDGES is parted into what hangs together at all, which is cheap over hashes of the nodes (two parts
+    that meet by a hash are solved as one). Parts of up to LOCAL_EDGES edges are solved in tasks over arrays, larger ones
+    in rounds."""
     edges = cut(edges.where("src <> dst").select("src", "dst").distinct())
+    n = edges.count()
+    if n <= max(0, local.LOCAL_EDGES):
+        return _scc_locally(edges)
+    parts = weak_components(edges.select(F.xxhash64("src").alias("u"), F.xxhash64("dst").alias("v")))
+    edges = cut(edges.withColumn("node", F.xxhash64("src")).join(parts, "node").select("src", "dst", "component"))
+    large = F.broadcast(edges.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > local.LOCAL_EDGES).select("component").limit(n // max(1, local.LOCAL_EDGES)))
+    found = _scc_of_parts(edges.join(large, "component", "left_anti"), n)
+    rest = cut(edges.join(large, "component", "left_semi").select("src", "dst"))
+    return found if rest.isEmpty() else found.unionByName(_scc_in_rounds(rest))
+
+
+def _scc_of_parts(edges: DataFrame, n: int) -> DataFrame:
+    """Components of edges (src, dst, component) whose parts are whole and small: a task takes parts one after the other, as many at once as fit."""
+    spark = edges.sparkSession
+    prepare(spark)
+    kind = edges.schema["src"].dataType.simpleString()
+    most = max(1, local.LOCAL_EDGES // 4)
+
+    def run(frames):
+        held, size = [], 0
+        for f in frames:
+            while len(f):
+                if size + len(f) < most:
+                    held.append(f)
+                    size += len(f)
+                    break
+                part = f["component"].to_numpy()
+                last = held[-1]["component"].iloc[-1] if held else part[0]
+                ends = np.flatnonzero(np.append(part[1:] != part[:-1], False)) + 1  # where another part begins
+                starts = ends if part[0] == last else np.append(0, ends)
+                starts = starts[starts + size >= most] if len(starts) else starts
+                if not len(starts):
+                    held.append(f)
+                    size += len(f)
+                    break
+                held.append(f.iloc[: starts[0]])
+                yield from _components(pd.concat(held))
+                f, held, size = f.iloc[starts[0] :], [], 0
+        if size:
+            yield from _components(pd.concat(held))
+
+    dealt = edges.repartition(max(2 * spark.sparkContext.defaultParallelism, 1 + n // most), "component").sortWithinPartitions("component")
+    return cut(dealt.mapInPandas(run, f"node {kind}, component {kind}"))
+
+
+def _scc_in_rounds(edges: DataFrame) -> DataFrame:
+    """Nodes without edges in both directions are trimmed; then every node takes the least node that reaches it as its
+    colour, and a node belongs to its colour's component if it also reaches that node within the colour."""
     found = edges.limit(0).select(F.col("src").alias("node"), F.col("src").alias("component"))
     while True:
         while True:
             n = edges.count()
             if n <= local.LOCAL_EDGES:  # what is left of a larger graph, or a small one
-                return found.unionByName(_scc_locally(edges))
+                return _of_two(found).unionByName(_scc_locally(edges))
             edges = cut(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
             if edges.count() == n:
                 break
         if not n:
-            return found
+            return _of_two(found)
         nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
         forward = _spread(nodes.withColumn("label", F.col("node")), edges, ("src", "dst"), False)
         # backward from each colour's own node: label '0' spreads against the edges
@@ -122,21 +203,26 @@ def scc(edges: DataFrame) -> DataFrame:
         gone = done.select("node")
         edges = cut(edges.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
         if edges.isEmpty():
-            sizes = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
-            return found.join(sizes.select("component"), "component", "left_semi").select("node", "component")
+            return _of_two(found)
 
 
-def _scc_locally(edges: DataFrame) -> DataFrame:
-    prepare(edges.sparkSession)
+def _of_two(found: DataFrame) -> DataFrame:
+    """Without the nodes that a round found to be components of their own."""
+    sizes = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
+    return found.join(sizes.select("component"), "component", "left_semi").select("node", "component")
 
-    def solve(f: pd.DataFrame):
-        g = local.Csr(f.src, f.dst)
-        comp = local.strong_components(g)
-        own = np.bincount(comp, minlength=g.n)[comp] > 1 if g.n else np.zeros(0, bool)
-        yield pd.DataFrame({"node": g.names[np.flatnonzero(own)], "component": g.names[comp[own]]})
 
+def _components(f: pd.DataFrame):
+    g = local.Csr(f.src, f.dst)
+    comp = local.strong_components(g)
+    own = np.bincount(comp, minlength=g.n)[comp] > 1 if g.n else np.zeros(0, bool)
+    yield pd.DataFrame({"node": g.names[np.flatnonzero(own)], "component": g.names[comp[own]]})
+
+
+def _scc_locally(edges: DataFrame) -> DataFrame:
+    prepare(edges.sparkSession)
     kind = edges.schema["src"].dataType.simpleString()
-    return cut(local.in_one_task(edges, solve, f"node {kind}, component {kind}"))
+    return cut(local.in_one_task(edges, _components, f"node {kind}, component {kind}"))
 
 
 def label_propagation(labels: DataFrame, links: DataFrame, rounds: int = 100) -> DataFrame:

@@ -493,3 +493,49 @@ def test_rename_and_decorators_join_only_the_symbols_asked_for(spark):
     # the wide side of the join holds what the filter left
     below = lambda df, what: what in plan(df)[plan(df).index("Join LeftOuter") :]
     assert below(lookup.find_by_decorator(g, "GET"), "exists(")
+
+
+def test_scc_of_a_graph_in_parts(spark, monkeypatch):
+    """Small parts in tasks, large ones in rounds, and a part of more edges than a batch."""
+    import random
+
+    from quarrylens.plans import kernels, local
+
+    rnd = random.Random(8)
+    small = [(f"p{p}n{rnd.randrange(7)}", f"p{p}n{rnd.randrange(7)}") for p in range(12) for _ in range(10)]
+    big = [(f"big{rnd.randrange(12)}", f"big{rnd.randrange(12)}") for _ in range(22)]
+    frame = lambda rows: spark.createDataFrame(rows, "src string, dst string")
+    found = lambda df: sorted(map(tuple, df.collect()))
+    want, of_small = found(kernels.scc(frame(small + big))), found(kernels.scc(frame(small)))
+    weak = {r.node: r.component for r in kernels.weak_components(spark.createDataFrame([(1, 2), (2, 3), (9, 3), (5, 6), (7, 7)], "u long, v long")).collect()}
+    assert weak == {1: 1, 2: 1, 3: 1, 9: 1, 5: 5, 6: 5}
+    rounds, own = [], kernels._scc_in_rounds
+    monkeypatch.setattr(kernels, "_scc_in_rounds", lambda df: rounds.append({r.src[:3] for r in df.collect()}) or own(df))
+    monkeypatch.setattr(local, "LOCAL_EDGES", 16)
+    assert found(kernels.scc(frame(small + big))) == want
+    assert rounds == [{"big"}]  # all else was small
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in ("3", "25"):  # parts begin and end within batches
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            parts = frame(small).where("src <> dst").distinct().withColumn("component", F.regexp_extract("src", "p([0-9]+)", 1).cast("long"))
+            assert found(kernels._scc_of_parts(parts, 8)) == of_small
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+
+
+def test_rounds_with_small_and_with_large_frontiers_give_the_same_rows(spark, monkeypatch):
+    import random
+
+    from quarrylens.plans import kernels, local
+
+    rnd = random.Random(9)
+    e = spark.createDataFrame([(f"n{rnd.randrange(50)}", f"n{rnd.randrange(50)}") for _ in range(90)], "src string, dst string")
+    node = lambda *n: spark.createDataFrame([(x,) for x in n], "node string")
+    found = lambda: (sorted(map(str, kernels.bfs(node("n1", "n2"), e, 3).collect())), [tuple(r.hops) for r in kernels.simple_paths(node("n3", "n9"), node("n4", "n5", "n6"), e, 4, 40).collect()])
+    want = found()
+    assert want[0] and want[1]
+    monkeypatch.setattr(local, "LOCAL_EDGES", -1)
+    assert found() == want
+    monkeypatch.setattr(kernels, "SMALL", -1)
+    assert found() == want
