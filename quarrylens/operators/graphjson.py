@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import file_name
 from ..plans.kernels import scc
-from ..plans.lineage import cut
-from ..schema import IMPORT_KINDS, CodeGraph, is_file, null_string, symbol_node
+from ..schema import IMPORT_KINDS, CodeGraph, is_file, is_symbol, null_string, symbol_node
 from .export import choose
 from .traverse import folders
 
@@ -62,25 +61,29 @@ def edge_weight(kind: F.Column) -> F.Column:
     return out
 
 
-def _degrees(g: CodeGraph) -> DataFrame:
-    e = g.all_edges()
-    return e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
+def _degrees(g: CodeGraph, of=is_file) -> DataFrame:
+    """(id, degree) of the nodes of one sort; others are left out before they are dealt out and counted."""
+    ends = g.all_edges().select(F.explode(F.array("src", "dst")).alias("id"))
+    return ends.where(of("id")).groupBy("id").agg(F.count("*").alias("degree"))
 
 
 def node_size(degree: str = "degree") -> F.Column:
     return 2.0 + F.sqrt(F.coalesce(F.col(degree), F.lit(0)).cast("double")) * 3.0
 
 
-def _finish_edges(e: DataFrame, in_cycle: DataFrame) -> DataFrame:
-    """Edges (source, target, kind) with colours; circular where both ends are in some cycle."""
-    e = e.join(in_cycle.select(F.col("path").alias("source"), F.lit(True).alias("a")), "source", "left").join(in_cycle.select(F.col("path").alias("target"), F.lit(True).alias("b")), "target", "left")
+def _finish_edges(e: DataFrame, in_cycle: DataFrame | None = None) -> DataFrame:
+    """Edges (source, target, kind) with colours; imports are circular where both ends are in some cycle (none: no imports)."""
+    if in_cycle is None:
+        e = e.withColumns({"a": F.lit(False), "b": F.lit(False)})
+    else:
+        e = e.join(in_cycle.select(F.col("path").alias("source"), F.lit(True).alias("a")), "source", "left").join(in_cycle.select(F.col("path").alias("target"), F.lit(True).alias("b")), "target", "left")
     circ = (F.col("kind") == "Imports") & F.coalesce("a", F.lit(False)) & F.coalesce("b", F.lit(False))
     return e.select("source", "target", F.col("kind").alias("edge_type"), choose(F.col("kind"), EDGE_COLOURS, "#4a4060").alias("color"), circ.alias("is_circular"), F.when(circ, EDGE_WEIGHTS["Circular"]).otherwise(edge_weight(F.col("kind"))).alias("weight"))
 
 
 def file_graph(g: CodeGraph) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of files and folders: key, label, kind, language, path, size, color, is_circular; imports and membership."""
-    in_cycle = cut(scc(g.file_imports()).select(F.col("node").alias("path")))
+    in_cycle = scc(g.file_imports()).select(F.col("node").alias("path"))
     module = file_name("path").isin(MODULE_FILES)
     f = g.files.join(_degrees(g), F.col("path") == F.col("id"), "left").join(in_cycle.withColumn("c", F.lit(True)), "path", "left")
     files = f.select(
@@ -101,21 +104,36 @@ def file_graph(g: CodeGraph) -> tuple[DataFrame, DataFrame]:
 
 def symbol_graph(g: CodeGraph) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of files and symbols; a symbol's key is path::name::line, with no path for a nested one."""
-    in_cycle = cut(scc(g.file_imports()).select(F.col("node").alias("path")))
+    return symbol_graph_nodes(g), symbol_graph_edges(g)
+
+
+def _symbol_path() -> F.Column:
+    return F.when(F.col("parent_id").isNull(), F.coalesce("file", F.lit(""))).otherwise("")
+
+
+def _symbol_key() -> F.Column:
+    return F.concat_ws("::", _symbol_path(), "name", F.col("line").cast("string"))
+
+
+def symbol_graph_nodes(g: CodeGraph) -> DataFrame:
+    in_cycle = scc(g.file_imports()).select(F.col("node").alias("path"))
     module = file_name("path").isin(MODULE_FILES)
     none, no_line = F.array().cast("array<string>"), F.lit(None).cast("int")
     files = g.files.join(in_cycle.withColumn("c", F.lit(True)), "path", "left").select(
-        F.col("path").alias("id"), F.col("path").alias("key"), file_name("path").alias("label"), F.when(module, "module").otherwise("file").alias("kind"), "language", "path", F.lit(5.0).alias("size"),
+        F.col("path").alias("key"), file_name("path").alias("label"), F.when(module, "module").otherwise("file").alias("kind"), "language", "path", F.lit(5.0).alias("size"),
         F.when(module, KIND_COLOURS["module"]).otherwise(KIND_COLOURS["file"]).alias("color"), F.coalesce("c", F.lit(False)).alias("is_circular"), none.alias("decorators"), no_line.alias("line"), no_line.alias("line_end"),
     )
-    path = F.when(F.col("parent_id").isNull(), F.coalesce("file", F.lit(""))).otherwise("")
-    s = g.symbols.withColumn("id", symbol_node("symbol_id")).join(_degrees(g), "id", "left")
+    s = g.symbols.withColumn("id", symbol_node("symbol_id")).join(_degrees(g, is_symbol), "id", "left")
     symbols = s.select(
-        "id", F.concat_ws("::", path, "name", F.col("line").cast("string")).alias("key"), F.col("name").alias("label"), "kind", null_string().alias("language"), path.alias("path"), node_size().alias("size"),
+        _symbol_key().alias("key"), F.col("name").alias("label"), "kind", null_string().alias("language"), _symbol_path().alias("path"), node_size().alias("size"),
         choose(F.col("kind"), KIND_COLOURS, KIND_COLOURS["file"]).alias("color"), F.lit(False).alias("is_circular"), F.coalesce("decorators.name", none).alias("decorators"), "line", "line_end",
     )
-    nodes = files.unionByName(symbols)
-    keys = nodes.select("id", "key")
+    return files.unionByName(symbols)
+
+
+def symbol_graph_edges(g: CodeGraph) -> DataFrame:
+    """Edges by the keys of their ends. There are no imports among them, so none is circular and no cycle is looked for."""
+    keys = g.files.select(F.col("path").alias("id"), F.col("path").alias("key")).unionByName(g.symbols.select(symbol_node("symbol_id").alias("id"), _symbol_key().alias("key")))
     e = g.all_edges().where(F.col("kind").isin("Contains", "Calls", "Extends", "Implements", "ChildOf", "HasDecorator"))
     e = e.join(keys.select(F.col("id").alias("src"), F.col("key").alias("source")), "src").join(keys.select(F.col("id").alias("dst"), F.col("key").alias("target")), "dst").select("source", "target", "kind")
-    return nodes.drop("id"), _finish_edges(e, in_cycle)
+    return _finish_edges(e)
